@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,21 @@ import pyarrow as pa
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words held by one generation of the cache; two generations are kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
+#: Lower-case Latin letters, which no normalisation changes, and a final run of ASCII punctuation.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)")
 _ODD = re.compile("[\x1c-\x1f]")
+
+
+def _byte_symbols() -> dict[int, int]:
+    """The printable character that byte-level models show each byte as: itself, or one from 256 on for the bytes that do not print."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_SYMBOLS = _byte_symbols()
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -42,28 +55,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode_stem(self, stem: str) -> bytes:
+        """The ids of a lower-case Latin word, which the normaliser and the splitting rule leave as it is: its byte symbols go straight to the model."""
+        symbols = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+
+    def _encode_end(self, end: str) -> bytes:
+        if end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            self.ends[end] = self._encode([end])[0]
+        return self.ends[end]
+
     def _learn(self, words: set[str]) -> None:
-        """Fills the cache with the given words: a plain word and the full stop or comma after it, in any ASCII case, share one encoding."""
+        """Fills the cache with the given words. A Latin word in any case and before any punctuation has one encoding."""
         young, old = self.young, self.old
-        missing = []
+        others = []
         for w in words:
             if (known := old.get(w)) is not None:
                 young[w] = known
-            else:
-                missing.append(w)
-        stems = {w: s for w in missing if (s := _stem(w)) != w}
-        need = {stems.get(w, w) for w in missing}
-        if stems:
-            need |= {",", "."}
-        need = [w for w in need if w not in young]
-        young.update(zip(need, self._encode(need), strict=True))
-        for w, s in stems.items():
-            young[w] = young[s] + young[w[-1]] if w[-1] in ",." else young[s]
+                continue
+            parts = _PLAIN.fullmatch(w.lower())
+            if not parts:
+                others.append(w)
+                continue
+            stem, end = parts.groups()
+            ids = young.get(stem) or old.get(stem) or self._encode_stem(stem)
+            young[stem] = ids
+            young[w] = ids + self._encode_end(end) if end else ids
+        young.update(zip(others, self._encode(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -77,15 +103,6 @@ class WordEncoder:
         return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for x, t in zip(split, texts, strict=True)]
 
 
-def _stem(word: str) -> str:
-    """The word that gives the same ids but for a final comma or full stop, which follow as tokens of their own."""
-    if not word.isascii() or "<|" in word:
-        return word
-    if len(word) > 1 and word[-1] in ",." and word[-2].isalnum():
-        word = word[:-1]
-    return word.lower()
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a tokenizer file; tasks of one worker share its cache."""
     if path not in _encoders:
