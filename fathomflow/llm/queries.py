@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, near_dedup, packing, quality, sql, token_files, urls
+from . import html, language_model, mixing, near_dedup, packing, quality, sql, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_extract_text, op3_near_duplicates, op7_quality_rules, op8_mix_sources, op9_url_verdicts, op10_token_files)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_extract_text, op3_near_duplicates, op6_language_model, op7_quality_rules, op8_mix_sources, op9_url_verdicts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
