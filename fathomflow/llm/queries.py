@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, language_model, mixing, near_dedup, packing, quality, sql, token_files, urls
+from . import ann, html, language_model, mixing, near_dedup, packing, passages, quality, sql, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_extract_text, op3_near_duplicates, op4_nearest_vectors, op6_language_model, op7_quality_rules, op8_mix_sources, op9_url_verdicts, op10_token_files)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_extract_text, op3_near_duplicates, op4_nearest_vectors, op5_repeated_passages, op6_language_model, op7_quality_rules, op8_mix_sources, op9_url_verdicts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
