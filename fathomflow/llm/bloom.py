@@ -36,8 +36,8 @@ def _set_bits(bits: int):
     return run
 
 
-def may_hold(rows: DataFrame, column: str, ids: DataFrame, count: int) -> DataFrame:
-    """The rows whose id may be among ``count`` non-null ids (id long): all that are, and a few others."""
+def may_hold(rows: DataFrame, column: str, ids: DataFrame, count: int, invert: bool = False) -> DataFrame:
+    """The rows whose id may be among ``count`` non-null ids (id long): all that are, and a few others. Inverted, the rest."""
     bits = 1 << max(10, min(MAX_BITS, count * BITS_PER_ID).bit_length())
     masks = ids.mapInArrow(_set_bits(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(bits // 64, np.uint64)
@@ -52,6 +52,6 @@ def may_hold(rows: DataFrame, column: str, ids: DataFrame, count: int) -> DataFr
             held = given.is_valid().to_numpy(zero_copy_only=False).copy()
             for at in _positions(values, bits):
                 held &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            yield batch.filter(pa.array(held))
+            yield batch.filter(pa.array(held != invert))
 
     return rows.mapInArrow(run, T.StructType(rows.schema.fields))

@@ -222,6 +222,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each component, with all its columns; of rows that share an id and a text, one."""
-    dropped = written(near_duplicates(docs, width).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped-ids")
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    """One document of each component, with all its columns; of rows that share an id and a text, one.
+
+    Only rows that a Bloom filter cannot clear of being dropped or repeated are shuffled."""
+    found = written(near_duplicates(docs, width).select("doc_id", "kept"), "near-duplicates")
+    counted = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    named = written(counted.where("rows > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"), "dropped-ids")
+    count = named.count()
+    rest = may_hold(docs, "doc_id", named, count, invert=True)
+    asked = may_hold(docs, "doc_id", named, count)
+    dropped = named.where(~F.col("kept"))
+    kept = asked.join(dropped, asked["doc_id"] == dropped["id"], "left_anti")
+    repeated = named.where("kept")
+    once = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    others = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_anti")
+    return rest.unionByName(others).unionByName(once)

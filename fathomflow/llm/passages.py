@@ -327,3 +327,35 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, place_bytes: int = PL
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def _cut_texts(length: int, columns: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("cut_ranges").to_pylist(), strict=True):
+                texts.append(_without((text or "").encode(), removed_runs(ranges, length)).decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+
+    return run
+
+
+def remove_passages(docs: DataFrame, length: int = LENGTH, place_bytes: int = PLACE_BYTES) -> DataFrame:
+    """The documents with all their columns, their texts without repeated strings (a character that a cut splits goes
+    whole) and ``n_chars``, where there is such a column, counted again.
+
+    Only texts that a Bloom filter cannot clear of repetitions are shuffled; equal texts are removed whole."""
+    hashed = docs.withColumn("cut_tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    long_texts = hashed.select("cut_tid", F.octet_length("text").alias("n")).where(F.col("n") >= length)
+    copies = long_texts.groupBy("cut_tid").agg(F.count("*").alias("copies"), F.max("n").alias("n")).where("copies > 1")
+    whole = copies.select(F.col("cut_tid").alias("tid"), F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))).alias("ranges"))
+    found = repeated_windows(docs.select("doc_id", "text"), length, place_bytes)
+    ranges = written(found.join(whole, "tid", "left_anti").unionByName(whole), "cut-ranges").select(F.col("tid").alias("id"), F.col("ranges").alias("cut_ranges"))
+    count = ranges.count()
+    clear = may_hold(hashed, "cut_tid", ranges.select("id"), count, invert=True)
+    asked = may_hold(hashed, "cut_tid", ranges.select("id"), count)
+    joined = asked.join(ranges, asked["cut_tid"] == ranges["id"], "left").withColumn("cut_ranges", F.coalesce("cut_ranges", F.array().cast(ranges.schema["cut_ranges"].dataType)))
+    changed = joined.select(*docs.columns, "cut_ranges").mapInArrow(_cut_texts(length, docs.columns), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clear.select(*docs.columns).unionByName(changed)
