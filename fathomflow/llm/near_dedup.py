@@ -6,11 +6,13 @@ least of them. Documents with equal sets form a class, and only classes go on:
 1. Inverted lists. Two sets of similarity s share so many retained values that each of them has one of these
    among its rarest ones; so a class is listed under its rarest retained values only (all that a prefix
    bound asks for), and values that no other class retains cost nothing.
-2. Stars. Each list links its classes to its least class. The union of two sketches estimates the similarity
-   and drops hopeless pairs; the rest are verified on full sets. That joins groups of near copies with as
-   many pairs as they have members.
-3. Rest. Lists that still hold several components are joined with themselves, between components only, and
-   pairs that pass the estimate are verified too; so no link between components is lost.
+2. Stars. Each list pairs its classes with its most central one, whose retained values are the most widely
+   shared. The union of two sketches estimates the similarity and drops hopeless pairs; the rest are verified
+   on full sets. That joins groups of near copies with as many pairs as they have members.
+3. Rest. Classes that follow one centre are a family. In a family, the classes that the centre's component did
+   not take in are held against all members of other components, on full sets, in blocks of bounded size. Lists
+   that hold several families are joined with themselves, between families and components only, and pairs that
+   pass the estimate are verified. So no link between components is lost.
 
 Components of the verified links give each document the least document id it can reach.
 
@@ -44,8 +46,10 @@ K = 48
 MIN_SHARED = 22
 #: Pairs whose estimated similarity is lower are not verified; the estimate's deviation at 0.8 is under 0.06.
 MIN_ESTIMATE = 0.5
-#: Members of a star that one task compares with its centre.
+#: Members of a star that one block compares with its centre; left-over and other classes of a family in one block.
 STAR_CHUNK = 512
+LEFT_CHUNK = 512
+FAMILY_CHUNK = 2048
 
 
 def shingle_sets(chunk, width: int) -> Iterator[np.ndarray]:
@@ -110,13 +114,14 @@ def _listed(n: Column) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, cid): classes under those of their rarest retained values that another class lists too."""
+    """(value, cid, support): classes under those of their rarest retained values that another class lists too.
+    Support is how widely the class's retained values are shared."""
     entries = classes.select("cid", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    found = entries.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    found = entries.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"), F.sum("df").alias("support"))
     alone = F.least(F.col("n"), F.lit(K)) - F.size("values")
     wanted = F.greatest(F.lit(0), _listed(F.col("n")) - alone).cast("int")
-    return found.select("cid", F.explode(F.slice("values", F.lit(1), wanted)).alias("entry")).select(F.col("entry.value").alias("value"), "cid")
+    return found.select("cid", "support", F.explode(F.slice("values", F.lit(1), wanted)).alias("entry")).select(F.col("entry.value").alias("value"), "cid", "support")
 
 
 def _near_sizes(n: Column, m: Column) -> Column:
@@ -142,68 +147,140 @@ def _full_sets(width: int):
             for chunk in text_chunks(batch.column("text")):
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 sets = list(shingle_sets(chunk, width))
-                same = pa.array([_digest(s)[0] for s in sets], pa.int64())
-                keep = pa.array(np.asarray(same) == part.column("cid").to_numpy())
-                rows = pa.RecordBatch.from_arrays([part.column("centres"), part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["centres", "cid", "values"])
-                yield rows.filter(keep)
+                same = np.array([_digest(s)[0] for s in sets], np.int64) == part.column("cid").to_numpy()
+                rows = pa.RecordBatch.from_arrays([part.column("places"), part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["places", "cid", "values"])
+                yield rows.filter(pa.array(same))
 
     return run
 
 
+def _sets_in_places(places: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Full sets of classes at their places: (cid, place) becomes the place's fields, cid and values, dealt by the place's
+    ``centre``, ``row`` and ``col`` and sorted there. Texts of the named classes are read once; a Bloom filter keeps
+    the others out of the shuffle."""
+    named = written(places.join(classes.select("cid", "doc_id"), "cid").where("doc_id is not null"), "set-places")
+    ids = named.select(F.col("doc_id").alias("id")).distinct()
+    wanted = may_hold(docs.select("doc_id", "text"), "doc_id", ids, ids.count())
+    per_class = named.groupBy("doc_id", "cid").agg(F.collect_list("place").alias("places"))
+    schema = T.StructType([T.StructField("places", per_class.schema["places"].dataType), T.StructField("cid", T.LongType()), T.StructField("values", T.BinaryType())])
+    sets = wanted.join(per_class, "doc_id").mapInArrow(_full_sets(width), schema)
+    dealt = sets.select(F.explode("places").alias("place"), "cid", "values").select("place.*", "cid", "values")
+    return dealt.repartition("centre", "row", "col").sortWithinPartitions("centre", "row", "col", "second", "cid")
+
+
+_LINKS = "u long, v long, shared long"
+
+
+def _links(u: list[int], v: list[int], shared: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, shared)], names=["u", "v", "shared"])
+
+
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by star, the centre first: shared values of each member with it."""
-    centre, chunk, values = None, None, np.zeros(0, np.int64)
+    """Links of each star's centre, which comes first, with the members behind it."""
+    centre, values = None, np.zeros(0, np.int64)
     for batch in batches:
-        a, b, shared = [], [], []
-        for star, part, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "cid", "values")), strict=True):
+        out: tuple[list, list, list] = ([], [], [])
+        for star, row, second, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("centre", "row", "second", "cid", "values")), strict=True):
             own = np.frombuffer(raw, np.int64)
-            if cid == star:
-                centre, chunk, values = star, part, own
-            elif (star, part) == (centre, chunk):
+            if not second:
+                centre, values = (star, row), own
+            elif (star, row) == centre:
                 common = len(np.intersect1d(values, own, assume_unique=True))
                 if 100 * common >= THRESHOLD_PERCENT * (len(values) + len(own) - common):
-                    a.append(star)
-                    b.append(cid)
-                    shared.append(common)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64())], names=["u", "v", "shared"])
+                    for column, x in zip(out, (star, cid, common), strict=True):
+                        column.append(x)
+        yield _links(*out)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(u, v, shared): the pairs (a, b) whose full sets reach the threshold.
-
-    Texts of the classes that pairs name are read once (a Bloom filter keeps the others out of the shuffle),
-    cut into sets again and dealt to their centres; centres with many members are copied to several tasks."""
+    """(u, v, shared): the pairs (a, b) whose full sets reach the threshold. Centres with many members are copied to several blocks."""
     pairs = written(pairs, "candidate-pairs")
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_CHUNK).cast("int").alias("chunks"))
-    members = pairs.join(stars, "a").select(F.col("b").alias("cid"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")).alias("place"))
-    centres = stars.select(F.col("a").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("cid", F.struct(F.col("cid").alias("centre"), "chunk").alias("place"))
-    places = members.unionByName(centres)
-    named = written(places.join(classes.select("cid", "doc_id"), "cid").where("doc_id is not null"), "candidate-places")
-    ids = named.select(F.col("doc_id").alias("id")).distinct()
-    candidates = may_hold(docs.select("doc_id", "text"), "doc_id", ids, ids.count())
-    per_class = named.groupBy("doc_id", "cid").agg(F.collect_list("place").alias("centres"))
-    sets = candidates.join(per_class, "doc_id").mapInArrow(_full_sets(width), T.StructType([T.StructField("centres", per_class.schema["centres"].dataType), T.StructField("cid", T.LongType()), T.StructField("values", T.BinaryType())]))
-    dealt = sets.select(F.explode("centres").alias("place"), "cid", "values").select("place.centre", "place.chunk", "cid", "values")
-    sorted_rows = dealt.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("cid") != F.col("centre"))
-    return sorted_rows.mapInArrow(_compare, "u long, v long, shared long").distinct()
+    place = lambda centre, row, second: F.struct(F.col(centre).alias("centre"), row.cast("int").alias("row"), F.lit(0).alias("col"), F.lit(second).alias("second")).alias("place")
+    members = pairs.join(stars, "a").select(F.col("b").alias("cid"), place("a", F.pmod(F.xxhash64("b"), F.col("chunks")), 1))
+    centres = stars.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.col("a").alias("cid"), place("a", F.col("chunk"), 0))
+    return _sets_in_places(members.unionByName(centres), classes, docs, width).mapInArrow(_compare, _LINKS).distinct()
+
+
+def _block_links(members: list[tuple[int, int, np.ndarray]], left: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Links between left-over classes and members, given as (cid, root, set), of different roots: shared values are counted
+    through the members' values in order."""
+    sizes = np.array([len(m[2]) for m in members])
+    values = np.concatenate([m[2] for m in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    cids, roots = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+    out: tuple[list, list, list] = ([], [], [])
+    for cid, root, own in left:
+        lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+        counts = hi - lo
+        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(owner[at], minlength=len(members))
+        for i in np.flatnonzero((100 * shared >= THRESHOLD_PERCENT * (sizes + len(own) - shared)) & (roots != root)):
+            for column, x in zip(out, (cid, int(cids[i]), int(shared[i])), strict=True):
+                column.append(x)
+    return _links(*out)
+
+
+def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by block, its members first: links of the left-over classes with them."""
+    block, members, left = None, [], []
+    for batch in batches:
+        for centre, row, col, second, root, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("centre", "row", "col", "second", "root", "cid", "values")), strict=True):
+            if (centre, row, col) != block:
+                if members and left:
+                    yield _block_links(members, left)
+                block, members, left = (centre, row, col), [], []
+            (left if second else members).append((cid, root, np.frombuffer(raw, np.int64)))
+    if members and left:
+        yield _block_links(members, left)
+
+
+def families(lists: DataFrame) -> DataFrame:
+    """(cid, centre): the most central class of a class's lists, and the centre of that, as far as three steps lead."""
+    best = lists.groupBy("value").agg(F.max(F.struct("support", "cid")).alias("best"))
+    own = lists.join(best, "value").groupBy("cid").agg(F.max("best").alias("best")).select("cid", F.col("best.cid").alias("centre"))
+    own = written(own, "centres")
+    for _ in range(2):
+        further = own.select(F.col("cid").alias("centre"), F.col("centre").alias("further"))
+        own = written(own.join(further, "centre", "left").select("cid", F.coalesce("further", "centre").alias("centre")), "centres")
+    return own
+
+
+def _left_over_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links inside of families (cid, centre, root) between left-over classes and members of other components."""
+    main = placed.where("cid = centre").select("centre", F.col("root").alias("main"))
+    known = placed.join(main, "centre", "left").withColumn("left_over", F.coalesce(F.col("root") != F.col("main"), F.lit(True)))
+    counts = known.groupBy("centre").agg(F.ceil(F.count_if("left_over") / LEFT_CHUNK).cast("int").alias("rows"), F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cols")).where("rows > 0")
+    open_rows = written(known.join(counts, "centre"), "families")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda second: F.struct("centre", F.col("row"), F.col("col"), F.lit(second).alias("second"), "root").alias("place")
+    members = open_rows.withColumn("col", F.pmod(F.xxhash64("cid"), F.col("cols")).cast("int")).withColumn("row", spread("rows")).select("cid", place(0))
+    left = open_rows.where("left_over").withColumn("row", F.pmod(F.xxhash64("cid"), F.col("rows")).cast("int")).withColumn("col", spread("cols")).select("cid", place(1))
+    return _sets_in_places(members.unionByName(left), classes, docs, width).mapInArrow(_compare_blocks, _LINKS)
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(node, root) of the classes that have a link."""
     lists = written(inverted_lists(classes), "inverted-lists")
-    least = lists.groupBy("value").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a < last").select("value", "a")
-    stars = written(lists.join(least, "value").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "star-pairs")
+    best = lists.groupBy("value").agg(F.max(F.struct("support", "cid")).alias("best"), F.count("*").alias("n")).where("n > 1").select("value", F.col("best.cid").alias("a"))
+    stars = written(lists.join(best, "value").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "star-pairs")
     links = written(verified(_likely(stars, classes), classes, docs, width), "star-links")
     joined = written(components(links), "star-components")
 
-    placed = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
-    open_rows = written(placed.join(mixed, "value").join(classes.select("cid", "n", "sketch"), "cid"), "open-lists")
+    centres = families(lists)
+    placed = written(centres.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed-classes")
+    inside = written(_left_over_links(placed, classes, docs, width), "family-links")
+
+    listed = lists.select("value", "cid").join(placed, "cid")
+    mixed = listed.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("centre").alias("c"), F.max("centre").alias("d")).where("r < s and c < d").select("value")
+    open_rows = written(listed.join(mixed, "value").join(classes.select("cid", "n", "sketch"), "cid"), "open-lists")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    between = (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & _near_sizes(F.col("x.n"), F.col("y.n")) & (_estimate(F.col("x.sketch"), F.col("y.sketch")) >= MIN_ESTIMATE)
-    rest = x.join(y, between).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(rest, classes, docs, width)
-    return components(links.select("u", "v").unionByName(more.select("u", "v")))
+    between = (F.col("x.value") == F.col("y.value")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.root") != F.col("y.root")) & _near_sizes(F.col("x.n"), F.col("y.n")) & (_estimate(F.col("x.sketch"), F.col("y.sketch")) >= MIN_ESTIMATE)
+    rest = x.join(y, between).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    across = verified(rest, classes, docs, width)
+    return components(links.unionByName(inside).unionByName(across).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
