@@ -37,7 +37,7 @@ HELD_OUT_FOLD = 1
 DELETED_FOLD = 0
 BLOCK_BYTES = 12 << 20
 #: Input bytes (as Spark estimates them) for one bucket of n-grams.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Context buckets are powers of two of the context's count, with one for unseen contexts.
 CONTEXT_BUCKETS = 32
 #: Estimates enter expectation-maximisation as ratios to the uniform one, in this many steps a doubling.
@@ -131,6 +131,20 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: six low bytes as they are, two high ones, mostly zero, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, :6].tobytes() + zlib.compress(steps[:, 6:].tobytes(), 1) + len(keys).to_bytes(4, "little")
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[-4:], "little")
+    steps = np.empty((n, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(n, 6)
+    steps[:, 6:] = np.frombuffer(zlib.decompress(raw[6 * n : -4]), np.uint8).reshape(n, 2)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 _COUNTED = "bucket int, block long, keys binary, kept binary, deleted binary"
 
 
@@ -147,7 +161,7 @@ def _block_counts(block: int, rows: list[pa.RecordBatch], buckets: int) -> Itera
     for part in np.array_split(used, max(1, -(-len(used) // 16))):
         slices = [order[begin[b] : begin[b + 1]] for b in part]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), pa.array(np.full(len(part), block)), pa.array([t.keys[s].tobytes() for s in slices], pa.binary()), *(pa.array([_pack(c[s]) for s in slices], pa.binary()) for c in counts)],
+            [pa.array(part, pa.int32()), pa.array(np.full(len(part), block)), pa.array([_pack_keys(t.keys[s]) for s in slices], pa.binary()), *(pa.array([_pack(c[s]) for s in slices], pa.binary()) for c in counts)],
             names=["bucket", "block", "keys", "kept", "deleted"],
         )
 
@@ -197,7 +211,7 @@ def _answer_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 blocks, keys, kept, deleted = [], [], [], []
             bucket = b.as_py()
             blocks.append(block.as_py())
-            keys.append(np.frombuffer(k.as_buffer(), np.uint64).copy())
+            keys.append(_unpack_keys(k.as_py()))
             kept.append(_unpack(x.as_py()))
             deleted.append(_unpack(d.as_py()))
     if blocks:
