@@ -35,7 +35,7 @@ FOLDS = 5
 #: Documents of this fold are not learned from; those of the deleted fold set the weights.
 HELD_OUT_FOLD = 1
 DELETED_FOLD = 0
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Input bytes (as Spark estimates them) for one bucket of n-grams.
 BUCKET_BYTES = 4 << 20
 #: Context buckets are powers of two of the context's count, with one for unseen contexts.
@@ -48,9 +48,9 @@ _END, _START = (np.uint64(x) for x in mix64(np.array([11, 13], dtype=np.uint64))
 _ODD = np.uint64(1)
 
 
-def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, fold, text, block): rows of a partition in blocks of about block_bytes, the same each time. Documents of
-    the deleted fold have blocks of their own, with odd numbers."""
+def _assign_blocks(block_bytes: int):
+    """Numbers the rows of a partition in blocks of about block_bytes, the same each time. Documents of the deleted fold have
+    blocks of their own, with odd numbers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = [0, 0], [0, 0]
@@ -69,8 +69,12 @@ def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             kept = [batch.column(c) for c in ("doc_id", "fold", "text")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(blocks)], names=["doc_id", "fold", "text", "block"])
 
+    return run
+
+
+def _folded(docs: DataFrame) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS
-    return docs.select("doc_id", fold.cast("int").alias("fold"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, "doc_id long, fold int, text string, block long")
+    return docs.select("doc_id", fold.cast("int").alias("fold"), "text", F.spark_partition_id().alias("part"))
 
 
 @dataclass
@@ -166,10 +170,12 @@ def _block_counts(block: int, rows: list[pa.RecordBatch], buckets: int) -> Itera
         )
 
 
-def _count_blocks(buckets: int):
+def _count_blocks(buckets: int, block_bytes: int):
+    assign = _assign_blocks(block_bytes)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[int, tuple[int, list[pa.RecordBatch]]] = {}  # one of even and one of odd number
-        for batch in batches:
+        for batch in assign(batches):
             blocks = batch.column("block").to_numpy()
             for block in np.unique(blocks).tolist():
                 known, rows = open_blocks.get(block & 1, (block, []))
@@ -304,8 +310,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     spark = docs.sparkSession
     estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(spark.sparkContext.defaultParallelism, min(estimate // BUCKET_BYTES, 1 << 20))
-    blocks = with_blocks(docs, block_bytes)
-    counted = blocks.mapInArrow(_count_blocks(buckets), _COUNTED)
+    rows = _folded(docs)
+    blocks = rows.mapInArrow(_assign_blocks(block_bytes), "doc_id long, fold int, text string, block long")
+    counted = rows.mapInArrow(_count_blocks(buckets, block_bytes), _COUNTED)
     answers = written(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer_buckets, _ANSWERS), "ngram-counts")
     n_kept, n, v_kept, v = (int(x or 0) for x in answers.agg(*(F.sum(c) for c in ("n_kept", "n_total", "v_kept", "v_total"))).first())
 
