@@ -57,7 +57,9 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_
     before = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     leveled = capped.withColumn("level", level)
-    water = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
+    # The first source in that order that stays below its cap gives the level; later ones have no meaning.
+    below = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "place", "level"))
+    water = F.min(below).over(everything)["level"]
     filled = F.least(F.col("cap"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight"))
     return leveled.withColumn("target", F.coalesce(filled, F.lit(0.0))).select("source", "source_size", "target")
 

@@ -18,7 +18,7 @@ leveled AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM capped WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN cap >= level * weight THEN level END) OVER (), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM leveled),
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM leveled WHERE cap >= level * weight ORDER BY cap / weight, place LIMIT 1), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM leveled),
 ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
 plans AS (SELECT *, floor(ratio + 1e-12) AS certain, greatest(0, ratio - floor(ratio + 1e-12)) AS p FROM ratios),
 ranked AS (
