@@ -73,8 +73,8 @@ def r08(spark, sf_dir):
 query("R10_bm25", f"WITH {_BM25}, {_RANK.format('bm')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm_r")(lambda s, d: rounded(retrieval.top_k(_bm25(s, d), 20)))
 query("T03_vector_top_k", f"WITH {_TERMS}, {_VECTORS}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM cos__r")(lambda s, d: rounded(retrieval.top_k(_cosine(s, d), 20)))
 query("R11_rank_fusion", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')}, {_RRF} SELECT query_id, chunk_id, round(score, 6) AS score FROM rrf")(lambda s, d: rounded(retrieval.reciprocal_rank_fusion(*[(x, 1.0) for x in _both(s, d)])))
-query("R12_weighted_fusion", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(sum(part), 4) AS score FROM (SELECT query_id, chunk_id, 0.7 * round(score, 9) AS part FROM cos__r UNION ALL SELECT query_id, chunk_id, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY query_id) * 0.3 FROM bm_r) GROUP BY 1, 2")(
-    lambda s, d: rounded((lambda b, v: retrieval.weighted_fusion(v, b))(*_both(s, d)), 4)
+query("R12_weighted_fusion", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(sum(part), 10) AS score FROM (SELECT query_id, chunk_id, 0.7 * round(score, 9) AS part FROM cos__r UNION ALL SELECT query_id, chunk_id, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY query_id) * 0.3 FROM bm_r) GROUP BY 1, 2")(
+    lambda s, d: rounded((lambda b, v: retrieval.weighted_fusion(v, b))(*_both(s, d)), 10)
 )
 query("A28_ranking_metrics", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')}, hits AS (SELECT r.query_id, count(*) AS n, count(c.rank) AS h, min(c.rank) AS best, sum(1 / log2(c.rank + 1)) AS dcg FROM bm_r r LEFT JOIN (SELECT * FROM cos__r WHERE rank <= 10) c USING (query_id, chunk_id) WHERE r.rank <= 3 GROUP BY 1) SELECT query_id, round(h / n, 6) AS recall, round(coalesce(1.0 / best, 0), 6) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM hits")(
     lambda s, d: rounded((lambda b, v: retrieval.ranking_metrics(v, b.where("rank <= 3").select("query_id", "chunk_id"), 10))(*_both(s, d)))
