@@ -37,7 +37,7 @@ from .textops import span_hashes, text_chunks
 
 LENGTH = 200
 #: Gram lengths of the levels' window keys, as shares of the window.
-GRAM_SHARES = (0.16, 0.64, 0.92, 1.0)
+GRAM_SHARES = (0.16, 0.4, 0.8, 1.0)
 #: A place with more bytes than this is dealt again at the next level.
 PLACE_BYTES = 1 << 20
 
@@ -120,6 +120,7 @@ def _emit_spans(length: int):
 
 
 _PIECES = "place long, tid long, first int, bytes binary"
+_PARTS = "place long, piece long, weight long, first int, bytes binary"
 
 
 def _cut_pieces(length: int):
@@ -150,11 +151,16 @@ def _cut_pieces(length: int):
     return run
 
 
-def _piece_rows(columns: tuple[list, list, list, list]) -> pa.RecordBatch:
+def _piece_rows(columns: tuple[list, ...]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["place", "tid", "first", "bytes"])
 
 
+def _part_rows(columns: tuple[list, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["place", "piece", "weight", "first", "bytes"])
+
+
 _FOUND = "piece long, first int, last int"
 
 
@@ -197,23 +203,23 @@ def _sorted_batches(length: int):
 
 
 def _deal_again(level: int, length: int):
-    """Cuts pieces by the keys of a level: each run of equal keys is a piece of its own."""
+    """Cuts pieces by the keys of a level: each run of equal keys is a part of its own."""
     gram = _gram(level, length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
-            for number, raw in zip(batch.column("piece").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            for number, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "bytes")), strict=True):
                 key, first, last = key_spans(window_keys(np.frombuffer(raw, np.uint8), length, gram))
                 for k, a, b in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
-                    for column, value in zip(out, (k, number, a, raw[a : b + length]), strict=True):
+                    for column, value in zip(out, (k, number, weight, a, raw[a : b + length]), strict=True):
                         column.append(value)
                     held += b + length - a
                 if held > 8 << 20:
-                    yield _piece_rows(out)
-                    out, held = ([], [], [], []), 0
-            yield _piece_rows(out)
+                    yield _part_rows(out)
+                    out, held = ([], [], [], [], []), 0
+            yield _part_rows(out)
 
     return run
 
@@ -230,14 +236,12 @@ def _solve(pieces: DataFrame, level: int, length: int, place_bytes: int) -> Data
     if not count:
         return found
     hot = pieces.join(large, "place", "left_semi")
-    # Pieces that stand twice in their place are repeated as a whole, whatever the parts of them are.
-    again = written(hot.select("piece", "bytes").mapInArrow(_deal_again(level + 1, length), _PIECES.replace("tid", "piece")), "dealt-again")
-    weighted = again.join(hot.select("piece", "weight"), "piece")
-    named = weighted.withColumn("content", F.xxhash64("place", "bytes"))
+    again = written(hot.select("piece", "weight", "bytes").mapInArrow(_deal_again(level + 1, length), _PARTS), "dealt-again")
+    named = again.withColumn("content", F.xxhash64("place", "bytes"))
     distinct = written(named.groupBy("place", "content").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")), "distinct-pieces").withColumnRenamed("content", "piece")
-    inner = _solve(distinct, level + 1, length, place_bytes).select(F.col("piece").alias("content"), F.col("first").alias("from"), F.col("last").alias("to"))
-    members = named.select("content", "piece", F.col("first").alias("offset"))
-    mapped = members.join(inner, "content").select("piece", (F.col("offset") + F.col("from")).alias("first"), (F.col("offset") + F.col("to")).alias("last"))
+    inner = _solve(distinct, level + 1, length, place_bytes).groupBy("piece").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("piece", "content")
+    members = named.select("content", "piece", F.col("first").alias("offset")).join(inner, "content")
+    mapped = members.select("piece", "offset", F.explode("runs").alias("r")).select("piece", (F.col("offset") + F.col("r.first")).alias("first"), (F.col("offset") + F.col("r.last")).alias("last"))
     return found.unionByName(mapped)
 
 
@@ -262,8 +266,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, place_bytes: int = P
     chosen = wanted.join(placed, "tid").join(first_rows.withColumnRenamed("tid", "first_tid"), "row", "left_semi")
     pieces = chosen.select("tid", "text", "spans").mapInArrow(_cut_pieces(length), _PIECES).withColumn("piece", F.xxhash64("place", "tid", "first")).withColumn("weight", F.lit(1).cast("long"))
     pieces = written(pieces, "pieces")
-    solved = _solve(pieces, 0, length, place_bytes)
-    ranges = solved.join(pieces.select("piece", "tid", F.col("first").alias("offset")), "piece").select("tid", F.struct((F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last")).alias("range"))
+    solved = _solve(pieces, 0, length, place_bytes).groupBy("piece").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = solved.join(pieces.select("piece", "tid", F.col("first").alias("offset")), "piece").select("tid", "offset", F.explode("runs").alias("r"))
+    ranges = found.select("tid", F.struct((F.col("offset") + F.col("r.first")).alias("first"), (F.col("offset") + F.col("r.last")).alias("last")).alias("range"))
     return written(ranges.groupBy("tid").agg(F.sort_array(F.collect_set("range")).alias("ranges")), "repeated-ranges")
 
 
