@@ -9,7 +9,7 @@ least of them. Documents with equal sets form a class, and only classes go on:
 2. Stars. Each list pairs its classes with its most central one, whose retained values are the most widely
    shared. The union of two sketches estimates the similarity and drops hopeless pairs; the rest are verified
    on full sets. That joins groups of near copies with as many pairs as they have members.
-3. Rest. Classes that follow one centre are a family. In a family, the classes that the centre's component did
+3. Rest. Classes that are likely near one centre are a family. In a family, the classes that the centre's component did
    not take in are held against all members of other components, on full sets, in blocks of bounded size. Lists
    that hold several families are joined with themselves, between families and components only, and pairs that
    pass the estimate are verified. So no link between components is lost.
@@ -237,14 +237,15 @@ def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _block_links(members, left)
 
 
-def families(lists: DataFrame) -> DataFrame:
-    """(cid, centre): the most central class of a class's lists, and the centre of that, as far as three steps lead."""
-    best = lists.groupBy("value").agg(F.max(F.struct("support", "cid")).alias("best"))
-    own = lists.join(best, "value").groupBy("cid").agg(F.max("best").alias("best")).select("cid", F.col("best.cid").alias("centre"))
-    own = written(own, "centres")
+def families(lists: DataFrame, likely: DataFrame) -> DataFrame:
+    """(cid, centre): the most central class that a class is likely near (a and b of likely pairs), and the centre of that,
+    as far as three steps lead; a class that is near none is its own centre."""
+    supports = lists.select(F.col("cid").alias("a"), "support").distinct()
+    best = likely.join(supports, "a").groupBy("b").agg(F.max(F.struct("support", "a")).alias("best")).select(F.col("b").alias("cid"), F.col("best.a").alias("centre"))
+    own = written(lists.select("cid").distinct().join(best, "cid", "left").select("cid", F.coalesce("centre", "cid").alias("centre")), "centres")
     for _ in range(2):
         further = own.select(F.col("cid").alias("centre"), F.col("centre").alias("further"))
-        own = written(own.join(further, "centre", "left").select("cid", F.coalesce("further", "centre").alias("centre")), "centres")
+        own = written(own.join(further, "centre").select("cid", F.col("further").alias("centre")), "centres")
     return own
 
 
@@ -266,15 +267,17 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     lists = written(inverted_lists(classes), "inverted-lists")
     best = lists.groupBy("value").agg(F.max(F.struct("support", "cid")).alias("best"), F.count("*").alias("n")).where("n > 1").select("value", F.col("best.cid").alias("a"))
     stars = written(lists.join(best, "value").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "star-pairs")
-    links = written(verified(_likely(stars, classes), classes, docs, width), "star-links")
+    likely = written(_likely(stars, classes), "likely-pairs")
+    links = written(verified(likely, classes, docs, width), "star-links")
     joined = written(components(links), "star-components")
 
-    centres = families(lists)
+    centres = families(lists, likely)
     placed = written(centres.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed-classes")
     inside = written(_left_over_links(placed, classes, docs, width), "family-links")
 
     listed = lists.select("value", "cid").join(placed, "cid")
-    mixed = listed.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("centre").alias("c"), F.max("centre").alias("d")).where("r < s and c < d").select("value")
+    # The star of a list of two has tested its only pair.
+    mixed = listed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("centre").alias("c"), F.max("centre").alias("d")).where("n > 2 and r < s and c < d").select("value")
     open_rows = written(listed.join(mixed, "value").join(classes.select("cid", "n", "sketch"), "cid"), "open-lists")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     between = (F.col("x.value") == F.col("y.value")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.root") != F.col("y.root")) & _near_sizes(F.col("x.n"), F.col("y.n")) & (_estimate(F.col("x.sketch"), F.col("y.sketch")) >= MIN_ESTIMATE)
