@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalize
 from ..operators import records, retrieval, rules
 from .registry import query, rounded, table
 
@@ -163,3 +164,37 @@ query("Q12_archive_months", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS
 query("Q03_backtest_issues", "SELECT l_orderkey, l_linenumber, l_partkey, list_filter([CASE WHEN l_discount IS NULL THEN 'missing_ic' END, CASE WHEN abs(l_discount) > 1 THEN 'ic_out_of_range' END, CASE WHEN l_quantity < 20 THEN 'too_few_dates' END, CASE WHEN abs(l_tax * 200) > 10 THEN 'icir_out_of_range' END, CASE WHEN l_discount * (0.04 - l_tax) < 0 THEN 'sign_disagreement' END], lambda x: x IS NOT NULL) AS issues FROM lineitem")(
     lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rules.backtest_issues(F.col("l_discount"), F.col("l_tax") * 200, 0.04 - F.col("l_tax"), F.col("l_quantity")).alias("issues"))
 )
+
+
+# Phrases as formulas, further aggregates, and record checks.
+
+
+def _case(x: str) -> str:
+    """The ordered phrases and words as DuckDB SQL; patterns with numbers in their places."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = [f"WHEN contains({x}, {quoted(p)}) THEN {quoted(f)}" for p, f in normalize.PHRASES.items()]
+    for pattern, shape in normalize.NUMBERED:
+        number = f"regexp_extract({x}, {quoted(pattern)}, 1)"
+        if "动量" in pattern:
+            number = f"(CASE WHEN try_cast({number} AS BIGINT) <= 30 THEN try_cast({number} AS BIGINT) ELSE try_cast({number} AS BIGINT) * 21 END)::VARCHAR"
+        before, after = shape.split("{}")
+        parts.append(f"WHEN regexp_matches({x}, {quoted(pattern)}) THEN {quoted(before)} || {number} || {quoted(after)}")
+    parts += [f"WHEN {' OR '.join(f'contains(lower({x}), {quoted(w)})' for w in words)} THEN {quoted(f)}" for words, f in normalize.WORDS]
+    return f"CASE {' '.join(parts)} END"
+
+
+_PHRASE_SQL = "(event_id % 70)::VARCHAR || CASE event_id % 9 WHEN 0 THEN '日动量' WHEN 1 THEN ' 天 收益' WHEN 2 THEN '周波动' WHEN 3 THEN '日均线' WHEN 4 THEN ' LOG price' WHEN 5 THEN '活跃度' WHEN 6 THEN '超额收益' WHEN 7 THEN ' nothing' ELSE '月动量' END"
+query("F20_phrase_to_formula", f"SELECT event_id, {_case('p')} AS formula FROM (SELECT event_id, {_PHRASE_SQL} AS p FROM events)")(
+    lambda s, d: table(s, d, "events").select("event_id", F.expr("concat(cast(event_id % 70 as string), case event_id % 9 when 0 then '日动量' when 1 then ' 天 收益' when 2 then '周波动' when 3 then '日均线' when 4 then ' LOG price' when 5 then '活跃度' when 6 then '超额收益' when 7 then ' nothing' else '月动量' end)").alias("p")).select("event_id", normalize.from_phrase(F.col("p")).alias("formula"))
+)
+query("A25_call_cost", f"SELECT model, prompt, completion, round(prompt / 1e6 * i + completion / 1e6 * o, 6) AS cost FROM ({_PRICED})")(lambda s, d: _usage(s, d).select("model", "prompt", "completion", "cost"))
+query("A32_dashboard", "SELECT c_mktsegment, max(abs(c_acctbal)) AS best, count(*) AS n FROM customer GROUP BY 1")(lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.max(F.abs("c_acctbal")).alias("best"), F.count("*").alias("n")))
+query("J04_date_intersection", "SELECT DISTINCT o_orderdate::DATE AS date FROM orders INTERSECT SELECT DISTINCT l_shipdate::DATE FROM lineitem")(lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).intersect(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"))))
+query("T06_newest_first", "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 25")(lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), "event_id").limit(25).select("event_id"))
+query("U06_add_papers", "SELECT CASE WHEN length(url) > 0 THEN url ELSE 'manual:' || substr(md5(page_id::VARCHAR), 1, 16) END AS paper_id, substr(html, 1, 2000) AS summary FROM pages")(lambda s, d: table(s, d, "pages").select(F.when(F.length("url") > 0, F.col("url")).otherwise(F.concat(F.lit("manual:"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 16))).alias("paper_id"), F.substring("html", 1, 2000).alias("summary")))
+query("U08_append_defaults", "SELECT conv_id, turn, coalesce(role, 'user') AS role, length(text)::INTEGER AS tokens, '' AS topic FROM conversations")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.length("text").alias("tokens"), F.lit("").alias("topic")))
+query("Q10_compaction", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")(
+    lambda s, d: table(s, d, "conversations").withColumns({"b": F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))), "f": F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))}).where("b <= 6 or f = 1").select("conv_id", "turn", "role")
+)
+query("Q11_token_estimate", f"SELECT conv_id, (sum(len({_DUCK_TOKENS.replace('{0}', 'text')}) + 4) + 3)::BIGINT AS tokens FROM conversations GROUP BY 1")(lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg((F.sum(F.size(retrieval.tokens(F.col("text"))) + 4) + 3).alias("tokens")))
+query("Q09_abstract_cut", "SELECT doc_id, CASE WHEN instr(lower(text), 'the ') > 0 THEN substr(text, instr(lower(text), 'the '), 1500) ELSE substr(text, 1, 1500) END AS abstract FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.instr(F.lower("text"), "the ") > 0, F.substring(F.col("text"), F.instr(F.lower("text"), "the "), F.lit(1500))).otherwise(F.substring("text", 1, 1500)).alias("abstract")))
