@@ -8,8 +8,9 @@ meet, and suffixes.py finds the repeated ones there by a Burrows-Wheeler transfo
 2. Spans of a key go to the least text that has it, so texts that share much meet in one place; what a text sends
    to one place is cut out as whole pieces.
 3. Places that hold few bytes are packed into sorts of bounded size. A place that holds more is dealt again by
-   keys of longer grams: equal pieces are counted as one first, and with grams as long as the window, equal
-   windows are one piece. So no passage, however common, makes a task large, and nothing is dropped.
+   keys of longer grams: equal pieces are counted as one first. With grams as long as the window, the windows of a
+   part are all equal, and parts are decided without a sort. So no passage, however common, and no run of one byte,
+   however long, makes a task large, and nothing is dropped.
 
 Texts that are equal are one text with a weight; with a weight of two, all of it is repeated. Texts are named by a
 64-bit hash of their content.
@@ -202,8 +203,15 @@ def _sorted_batches(length: int):
     return run
 
 
+def _differ(data: np.ndarray, length: int) -> np.ndarray:
+    """Marks the windows that differ from the one before; those that do not are runs of one byte."""
+    changes = np.concatenate([[0], np.cumsum(data[1:] != data[:-1])])
+    return np.concatenate([[True], changes[length:] > changes[:-length]])
+
+
 def _deal_again(level: int, length: int):
-    """Cuts pieces by the keys of a level: each run of equal keys is a part of its own."""
+    """Cuts pieces by the keys of a level: each run of equal keys is a part of its own. At the last level, it holds one
+    window or is a run of one byte."""
     gram = _gram(level, length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,25 +219,39 @@ def _deal_again(level: int, length: int):
             out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
             for number, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "bytes")), strict=True):
-                key, first, last = key_spans(window_keys(np.frombuffer(raw, np.uint8), length, gram))
+                data = np.frombuffer(raw, np.uint8)
+                key, first, last = key_spans(window_keys(data, length, gram), _differ(data, length) if gram == length else None)
                 for k, a, b in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
                     for column, value in zip(out, (k, number, weight, a, raw[a : b + length]), strict=True):
                         column.append(value)
                     held += b + length - a
-                if held > 8 << 20:
-                    yield _part_rows(out)
-                    out, held = ([], [], [], [], []), 0
+                    if held > 8 << 20:
+                        yield _part_rows(out)
+                        out, held = ([], [], [], [], []), 0
             yield _part_rows(out)
 
     return run
 
 
+def _equal_windows(parts: DataFrame, length: int) -> DataFrame:
+    """(piece, first, last) of the last level's distinct parts: one that is found twice or holds several windows is repeated
+    whole; a single window also if it is part of a run, which is of one byte, so that few windows are asked for."""
+    size = F.octet_length("bytes")
+    window = F.substring("bytes", 1, length).alias("window")
+    whole = (F.col("weight") > 1) | (size > length)
+    in_runs = parts.where(size > length).select(window).distinct()
+    single = parts.where(~whole).select("piece", "bytes").join(F.broadcast(in_runs), F.col("bytes") == F.col("window"), "left_semi")
+    found = parts.where(whole).select("piece", F.lit(0).alias("first"), (size - length).cast("int").alias("last"))
+    return found.unionByName(single.select("piece", F.lit(0).alias("first"), F.lit(0).alias("last")))
+
+
 def _solve(pieces: DataFrame, level: int, length: int, place_bytes: int) -> DataFrame:
     """(piece, first, last): runs of repeated window starts of each piece (place, piece, weight, bytes), all in one place with what may equal them."""
+    if level + 1 == len(GRAM_SHARES):
+        return _equal_windows(pieces, length)
     sizes = pieces.groupBy("place").agg(F.sum(F.octet_length("bytes") + 1).alias("size"))
     large = written(sizes.where(F.col("size") > place_bytes).select("place"), "large-places")
-    last = level + 1 == len(GRAM_SHARES)
-    count = 0 if last else large.count()
+    count = large.count()
     small = pieces if not count else pieces.join(large, "place", "left_anti")
     shuffled = small.repartition("place").sortWithinPartitions("place")
     found = shuffled.select("place", "piece", "weight", "bytes").mapInArrow(_sorted_batches(length), _FOUND)

@@ -125,6 +125,26 @@ def test_repeated_passages(docs, rows, place_bytes):
     assert collections.Counter(map(tuple, passages.removal_digests(docs, place_bytes=place_bytes).collect())) == expected
 
 
+def test_long_runs_of_one_byte_are_repeated_whole(spark, tmp_path):
+    runs = [" " * n + f"<{n}>" for n in range(200, 2300)]
+    rows = [(1, "-" * 3_000_000), (2, "=" * 200), (3, "=" * 199 + "x"), *((10 + i, "".join(runs[i::20])) for i in range(20))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/runs")
+    seen = collections.Counter(hash(t[i : i + 200]) for _, t in rows for i in range(len(t) - 199))
+    expected = set()
+    for d, t in rows:
+        again = np.array([seen[hash(t[i : i + 200])] > 1 for i in range(len(t) - 199)])
+        kept = np.frombuffer(t.encode(), np.uint8)[np.convolve(again, np.ones(200)) < 0.5]
+        expected.add((d, len(t), len(t) - len(kept), hashlib.sha256(kept.tobytes()).hexdigest()))
+    found = passages.removal_digests(spark.read.parquet(f"file://{tmp_path}/runs")).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in found} == expected
+
+
+def test_single_windows_of_a_byte_run_at_the_last_level(spark):
+    parts = [(1, 11, 1, b"-" * 8), (1, 12, 1, b"-" * 5), (2, 21, 1, b"abcde"), (3, 31, 2, b"abcdf"), (4, 41, 1, b"-----"[:4] + b"x")]
+    table = spark.createDataFrame(parts, "place long, piece long, weight long, bytes binary")
+    assert sorted(map(tuple, passages._equal_windows(table, 5).collect())) == [(11, 0, 3), (12, 0, 0), (31, 0, 0)]
+
+
 def test_remove_passages_keeps_columns(docs, rows):
     marks = covered(rows, 200)
     found = passages.remove_passages(docs)
