@@ -8,8 +8,8 @@ is wider for short documents, whose histograms are noisy; those with too few wor
 to the base rules alone.
 
 Defined results: a null text has no words and fails the base rules; null ids, repeated rows and other columns
-do not matter; a language column that is null or missing counts as one language; without any reference
-(an empty table, or only short documents) the base rules decide.
+do not matter; a language column that is null or missing counts as one language; where a document's language
+has no reference (it is rare, or has only short documents), the base rules decide.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,9 @@ MIN_HISTOGRAM_WORDS = 40
 #: The two distances (each 0 to 1) from the nearest reference may add up to LIMIT + NOISE_WORDS / words.
 LIMIT = 0.34
 NOISE_WORDS = 14.0
-#: A language gets a reference if it holds this share of the documents, so there are at most its inverse.
+#: A language gets a reference if it holds this share of the documents, or so many of them.
 MIN_LANGUAGE_SHARE = 0.002
+MIN_LANGUAGE_DOCUMENTS = 100
 
 _CLASSES = ("lower", "upper", "wide", "digit", "space", "stop", "symbol", "other")
 _CLASS_OF = np.full(256, 7, dtype=np.int64)
@@ -184,10 +185,13 @@ def _feature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def _lang(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """One row a document: its counts, and its histograms of character classes and common words."""
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    chosen = docs.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    chosen = docs.select("doc_id", _lang(docs).alias("lang"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(_feature_batches, f"doc_id long, lang string, {_COUNTS}, classes array<int>, common array<int>")
 
 
@@ -228,20 +232,24 @@ def distances(classes: np.ndarray, common: np.ndarray, n_words: np.ndarray, refe
     return by_class[near, rows], by_common[near, rows]
 
 
-def verdict(classes: np.ndarray, common: np.ndarray, n_words: np.ndarray, base_failed: np.ndarray, references: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def verdict(classes: np.ndarray, common: np.ndarray, n_words: np.ndarray, base_failed: np.ndarray, langs: np.ndarray, references: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept, distance of classes, distance of common words); distances are NaN where none is taken."""
     far_class, far_common = np.full(len(n_words), np.nan), np.full(len(n_words), np.nan)
-    long_enough = n_words >= MIN_HISTOGRAM_WORDS
-    if len(references.languages) and long_enough.any():
-        far_class[long_enough], far_common[long_enough] = distances(classes[long_enough], common[long_enough], n_words[long_enough], references)
+    held = (n_words >= MIN_HISTOGRAM_WORDS) & np.isin(langs, references.languages)
+    if held.any():
+        far_class[held], far_common[held] = distances(classes[held], common[held], n_words[held], references)
     far = far_class + far_common > LIMIT + NOISE_WORDS / np.maximum(n_words, 1)
     return ~base_failed & ~far, far_class, far_common
 
 
+def _languages(batch: pa.RecordBatch, column: str = "lang") -> np.ndarray:
+    return np.array([x if x is not None else "" for x in batch.column(column).to_pylist()], dtype=str)
+
+
 def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     n = batch.num_rows
     classes, common = (batch.column(c).flatten().to_numpy().reshape(n, -1) for c in ("classes", "common"))
-    return classes, common, batch.column("n_words").to_numpy(), batch.column("base_failed").to_numpy(zero_copy_only=False)
+    return classes, common, batch.column("n_words").to_numpy(), batch.column("base_failed").to_numpy(zero_copy_only=False), _languages(batch)
 
 
 def _sums(references: References | None):
@@ -252,13 +260,12 @@ def _sums(references: References | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            classes, common, n_words, failed = _matrices(batch)
+            classes, common, n_words, failed, langs = _matrices(batch)
             good = ~failed & (n_words >= MIN_HISTOGRAM_WORDS)
             if references is not None:
-                good &= verdict(classes, common, n_words, failed, references)[0]
+                good &= verdict(classes, common, n_words, failed, langs, references)[0]
             both = np.hstack([np.ones((len(n_words), 1)), _shares(classes), _shares(common, n_words)])
-            langs = np.array([x if x is not None else "" for x in batch.column("lang").to_pylist()], dtype=object)
-            for lang in set(langs[good]):
+            for lang in set(langs[good].tolist()):
                 sums[lang] = sums.get(lang, 0) + both[good & (langs == lang)].sum(axis=0)
         langs = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([sums[x].tolist() for x in langs], pa.list_(pa.float64()))], names=["lang", "sums"])
@@ -271,8 +278,12 @@ def _mean_references(table: DataFrame, near: References | None) -> References:
     width = 1 + len(_CLASSES) + N_COMMON + 1
     # Sums are rounded so that their order in a rerun cannot matter.
     total = each.groupBy("lang").agg(*(F.round(F.sum(F.col("sums")[i]), 6).alias(f"s{i}") for i in range(width)))
-    share = F.col("s0") >= MIN_LANGUAGE_SHARE * F.sum("s0").over(Window.partitionBy())
-    rows = total.withColumn("enough", share).where("enough").orderBy("lang").collect()
+    if near is None:
+        least = F.least(F.lit(float(MIN_LANGUAGE_DOCUMENTS)), MIN_LANGUAGE_SHARE * F.sum("s0").over(Window.partitionBy()))
+        total = total.withColumn("enough", F.col("s0") >= least).where("enough")
+    else:
+        total = total.where(F.col("lang").isin(near.languages))
+    rows = total.orderBy("lang").collect()
     means = np.array([[r[f"s{i}"] for i in range(width)] for r in rows]).reshape(len(rows), width)
     means = means / np.maximum(means[:, :1], 1)
     return References([r.lang for r in rows], means[:, 1 : 1 + len(_CLASSES)], means[:, 1 + len(_CLASSES) :])
@@ -280,7 +291,11 @@ def _mean_references(table: DataFrame, near: References | None) -> References:
 
 def learn_references(table: DataFrame) -> References:
     """References from a table of features(), which covers all documents."""
-    return _mean_references(table, _mean_references(table, None))
+    first = _mean_references(table, None)
+    second = _mean_references(table, first)
+    # A language whose documents all lie far from their mean keeps it.
+    rest = [i for i, lang in enumerate(first.languages) if lang not in second.languages]
+    return References(second.languages + [first.languages[i] for i in rest], np.vstack([second.classes, first.classes[rest]]), np.vstack([second.common, first.common[rest]]))
 
 
 def _judge(references: References):
@@ -301,13 +316,14 @@ def judge(docs: DataFrame) -> DataFrame:
     return table.mapInArrow(_judge(learn_references(table)), f"doc_id long, {_COUNTS}, kept boolean, class_distance double, common_distance double")
 
 
-def _keep(references: References):
+def _keep(references: References, columns: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 f = chunk_features(chunk)
-                kept, _, _ = verdict(f.classes, f.common, f.n_words, f.base_failed(), references)
-                yield batch.slice(chunk.lo, chunk.hi - chunk.lo).filter(pa.array(kept))
+                part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
+                kept, _, _ = verdict(f.classes, f.common, f.n_words, f.base_failed(), _languages(part, "quality_lang"), references)
+                yield part.select(columns).filter(pa.array(kept))
 
     return run
 
@@ -315,4 +331,4 @@ def _keep(references: References):
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with all their columns: texts are read twice and never shuffled."""
     references = learn_references(written(features(docs), "quality-features"))
-    return docs.mapInArrow(_keep(references), T.StructType(docs.schema.fields))
+    return docs.withColumn("quality_lang", _lang(docs)).mapInArrow(_keep(references, docs.columns), T.StructType(docs.schema.fields))

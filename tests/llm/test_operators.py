@@ -191,6 +191,21 @@ def test_quality_rejects_symbol_junk_and_keeps_prose(spark):
     assert quality.judge(table.limit(0)).count() == 0
 
 
+def test_quality_keeps_prose_of_rare_languages(spark, monkeypatch):
+    rng = random.Random(5)
+    words = "the of and to in house river table window garden letter music".split()
+    greek = "και το της σπίτι ποτάμι τραπέζι παράθυρο κήπος γράμμα μουσική".split()
+    common = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(2000)]
+    rare = [(5000 + i, " ".join(rng.choice(greek) for _ in range(80)), "el") for i in range(3)]
+    table = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.judge(table).where("doc_id >= 5000").collect()}
+    assert all(found[d].kept and math.isnan(found[d].class_distance) for d, _, _ in rare)
+    assert quality.keep_good(table).where("lang = 'el'").count() == 3
+    monkeypatch.setattr(quality, "MIN_LANGUAGE_DOCUMENTS", 3)
+    found = {r.doc_id: r for r in quality.judge(table).where("doc_id >= 5000").collect()}
+    assert all(found[d].kept and found[d].class_distance < 0.2 for d, _, _ in rare)
+
+
 def test_mixing_meets_targets_and_repeats(docs, rows):
     found = mixing.mix(docs).collect()
     assert len(found) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in found)
