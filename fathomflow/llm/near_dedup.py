@@ -20,8 +20,8 @@ The sketches' bounds: for small sets (at most ``threshold`` * k shingles) the pr
 ones, two sets at the threshold share under MIN_SHARED of K retained values with probability below 1e-7.
 
 Defined results: documents without words (null or empty texts) are linked with nothing; a document with
-fewer words than a shingle has its whole sequence as one; rows with null ids are members of their class but are
-never its id; equal rows share their results; other columns are not carried; an empty table gives no rows.
+fewer words than a shingle has its whole sequence as one; rows with null ids are linked like others but are never a
+component's id, and one row is kept of a component without any id; equal rows with ids share their results; other columns are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,6 +81,11 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int(low.view(np.int64)), int(high.view(np.int64))
 
 
+def _key() -> Column:
+    """What a row's text is read again by: its id or, without one, the text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def _sketch(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,18 +98,18 @@ def _sketch(width: int):
                     high.append(b)
                     sketches.append(values[:K])
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-                ids = batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo)
+                ids, keys = (batch.column(c).slice(chunk.lo, chunk.hi - chunk.lo) for c in ("doc_id", "key"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))],
-                    names=["doc_id", "n", "cid", "check", "sketch"],
+                    [ids, keys, pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))],
+                    names=["doc_id", "key", "n", "cid", "check", "sketch"],
                 )
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n, cid, check, sketch): the set's size, its digests (cid names its class) and its k least hashes."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n long, cid long, check long, sketch array<long>")
+    """(doc_id, key, n, cid, check, sketch): the set's size, its digests (cid names its class) and its k least hashes."""
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(_sketch(width), "doc_id long, key long, n long, cid long, check long, sketch array<long>")
 
 
 def _listed(n: Column) -> Column:
@@ -158,12 +163,16 @@ def _sets_in_places(places: DataFrame, classes: DataFrame, docs: DataFrame, widt
     """Full sets of classes at their places: (cid, place) becomes the place's fields, cid and values, dealt by the place's
     ``centre``, ``row`` and ``col`` and sorted there. Texts of the named classes are read once; a Bloom filter keeps
     the others out of the shuffle."""
-    named = written(places.join(classes.select("cid", "doc_id"), "cid").where("doc_id is not null"), "set-places")
-    ids = named.select(F.col("doc_id").alias("id")).distinct()
-    wanted = may_hold(docs.select("doc_id", "text"), "doc_id", ids, ids.count())
-    per_class = named.groupBy("doc_id", "cid").agg(F.collect_list("place").alias("places"))
+    named = written(places.join(classes.select("cid", "key"), "cid"), "set-places")
+    ids = named.select(F.col("key").alias("id")).distinct()
+    count = ids.count()
+    keyed = docs.select("doc_id", _key().alias("key"), "text")
+    # Copies without an id have one key, so one of them is enough.
+    lone = may_hold(keyed.where("doc_id is null").select("key", "text"), "key", ids, count).dropDuplicates(["key"])
+    wanted = may_hold(keyed.where("doc_id is not null").select("key", "text"), "key", ids, count).unionByName(lone)
+    per_class = named.groupBy("key", "cid").agg(F.collect_list("place").alias("places"))
     schema = T.StructType([T.StructField("places", per_class.schema["places"].dataType), T.StructField("cid", T.LongType()), T.StructField("values", T.BinaryType())])
-    sets = wanted.join(per_class, "doc_id").mapInArrow(_full_sets(width), schema)
+    sets = wanted.join(per_class, "key").mapInArrow(_full_sets(width), schema)
     dealt = sets.select(F.explode("places").alias("place"), "cid", "values").select("place.*", "cid", "values")
     return dealt.repartition("centre", "row", "col").sortWithinPartitions("centre", "row", "col", "second", "cid")
 
@@ -286,34 +295,44 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return components(links.unionByName(inside).unionByName(across).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
-    table = written(sketches(docs, width), "sketches")
+def _judged(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, kept) of each row of (doc_id, text)."""
+    table = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
     worded = table.where("n > 0")
-    classes = written(worded.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    key = F.coalesce(F.min("doc_id"), F.min("key")).alias("key")
+    classes = written(worded.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("doc_id"), key, F.min("row").alias("row"), F.first("sketch").alias("sketch")), "classes")
     roots = link_classes(classes, docs, width)
-    joined = classes.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = written(joined.join(smallest, "root").select("cid", "component_id"), "class-components")
-    found = table.select("doc_id", "n", "cid").join(by_class, (table["cid"] == by_class["cid"]) & (table["n"] > 0), "left").drop(by_class["cid"])
+    joined = classes.select("cid", "doc_id", "row").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first_row"))
+    by_class = written(joined.join(smallest, "root").select("cid", "component_id", "first_row"), "class-components")
+    found = table.select("doc_id", "key", "row", "n", "cid").join(by_class, (table["cid"] == by_class["cid"]) & (table["n"] > 0), "left").drop(by_class["cid"])
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    rows = found.select("doc_id", "key", "row", "first_row", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    without_id = F.col("component_id").isNull() & F.coalesce(F.col("row") == F.col("first_row"), F.lit(True))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), without_id)).drop("row", "first_row")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
+    return _judged(docs, width).drop("key")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each component, with all its columns; of rows that share an id and a text, one.
+    """One document of each component, with all its columns; of rows that share an id and a text, one. Rows without an id
+    are decided by their texts; those without words all stay.
 
     Only rows that a Bloom filter cannot clear of being dropped or repeated are shuffled."""
-    found = written(near_duplicates(docs, width).select("doc_id", "kept"), "near-duplicates")
-    counted = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
-    named = written(counted.where("rows > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"), "dropped-ids")
+    found = written(_judged(docs, width).select("doc_id", "key", "n_shingles", "kept"), "near-duplicates").where("doc_id is not null or n_shingles > 0")
+    counted = found.groupBy(F.col("doc_id").isNull().alias("lone"), "key").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    named = written(counted.where("rows > 1 or not kept").select(F.col("key").alias("id"), "lone", "kept"), "dropped-ids")
     count = named.count()
-    rest = may_hold(docs, "doc_id", named, count, invert=True)
-    asked = may_hold(docs, "doc_id", named, count)
+    keyed = docs.withColumn("dedup_key", _key())
+    rest = may_hold(keyed, "dedup_key", named, count, invert=True)
+    asked = may_hold(keyed, "dedup_key", named, count)
+    same = lambda rows, ids: (rows["dedup_key"] == ids["id"]) & (rows["doc_id"].isNull() == ids["lone"])
     dropped = named.where(~F.col("kept"))
-    kept = asked.join(dropped, asked["doc_id"] == dropped["id"], "left_anti")
+    kept = asked.join(dropped, same(asked, dropped), "left_anti")
     repeated = named.where("kept")
-    once = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    others = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_anti")
-    return rest.unionByName(others).unionByName(once)
+    once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    others = kept.join(repeated, same(kept, repeated), "left_anti")
+    return rest.unionByName(others).unionByName(once).select(*docs.columns)

@@ -95,6 +95,23 @@ def test_keep_one_keeps_columns_and_one_row_a_document(docs):
     assert ids.count(61) == 1 and ids.count(0) == 1 and 1 not in ids
 
 
+def test_rows_without_ids_are_linked_and_kept_once(spark, tmp_path):
+    def changed(text, *at):
+        return " ".join(f"x{i}" if i in at else w for i, w in enumerate(text.split()))
+
+    rng = random.Random(8)
+    a, b = prose(rng, 100, 9000), prose(rng, 100, 9000)
+    middle = changed(b, 10, 30)
+    rows = [(None, a), (None, a), (None, a), (None, changed(a, 50)), (1, b), (None, middle), (2, changed(middle, 60, 80)), (None, None), (None, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    table = spark.read.parquet(f"file://{tmp_path}/docs")
+    found = near_dedup.near_duplicates(table).collect()
+    assert {r.component_id for r in found if r.doc_id in (1, 2)} == {1}
+    assert sum(r.kept for r in found if r.doc_id is None and r.n_shingles and r.component_id is None) == 1
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(table).collect()]
+    assert len(kept) == 4 and {(1, b), (None, None), (None, " ")} < set(kept)
+
+
 def covered(rows, length):
     texts = {(t or "").encode() for _, t in rows}
     weight = collections.Counter((t or "").encode() for _, t in rows)
