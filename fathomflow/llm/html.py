@@ -30,7 +30,7 @@ from .urls import parse_url
 
 #: A subtree outside of an article is template when this many different pages of a host hold it, and this share.
 MIN_PAGES = 4
-MIN_SHARE = 0.005
+MIN_SHARE = 0.6
 #: Inside of an article, where copies of texts recur too, most pages of a large host must hold it.
 MIN_ARTICLE_PAGES = 20
 MIN_ARTICLE_SHARE = 0.6
@@ -43,6 +43,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address hr form fieldset details summary center".split())
 CONTENT = frozenset(("article", "main"))
+#: Blocks of running text: they are no template in the element that directly holds most of a page's own text.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption".split())
 # Roles, and words of classes and ids, that mark what is no article.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROPPED_WORDS = frozenset(
@@ -162,12 +164,30 @@ def subtree_keys(root: Element) -> tuple[set[int], set[int]]:
         if not element.key or not element.tag or is_boilerplate(element, in_content):
             continue
         in_content = in_content or element.tag in CONTENT
-        if element.tag not in ("html", "body", *CONTENT):
+        if element.tag in BLOCKS and element.tag not in ("html", "body", *CONTENT):
             (inside if in_content else outside).add(element.key)
         stack.extend((c, in_content) for c in element.children)
     return outside, inside
 
 
+def densest(root: Element, outside: Container[int]) -> Element:
+    """The element, no block of running text itself, that directly holds most text without the template subtrees."""
+    held: dict[int, int] = {}
+    best, stack = root, [(root, root)]
+    while stack:
+        element, holder = stack.pop()
+        if not element.tag:
+            held[id(holder)] = held.get(id(holder), 0) + len(element.text.strip())
+            if held[id(holder)] > held.get(id(best), 0):
+                best = holder
+        elif is_boilerplate(element, False) or element.key and element.key in outside:
+            continue
+        elif element.tag in BLOCKS and element.tag not in TEXTS:
+            holder = element
+        stack.extend((c, holder) for c in element.children)
+    return best
+
+
 def extract(root: Element, outside: Container[int] = (), inside: Container[int] = ()) -> str:
     """The main text: blocks in page order, one a line; subtrees with the given hashes are dropped."""
     blocks: list[tuple[bool, str]] = []
@@ -180,27 +200,33 @@ def extract(root: Element, outside: Container[int] = (), inside: Container[int]
             blocks.append((in_content, text))
 
     # An entry is (element, inside of content) to open, or (None, inside) to end a block.
-    stack: list[tuple[Element | None, bool]] = [(root, False)]
+    stack: list[tuple[Element | None, bool, Element]] = [(root, False, root)]
+    main = None
     while stack:
-        element, in_content = stack.pop()
+        element, in_content, holder = stack.pop()
         if element is None:
             flush(in_content)
             continue
         if not element.tag:
             words.append(element.text)
-            stack.extend((c, in_content) for c in reversed(element.children))
+            stack.extend((c, in_content, holder) for c in reversed(element.children))
             continue
         if element.tag == "br":
             words.append(" ")
             continue
-        if is_boilerplate(element, in_content) or element.key and element.key in (inside if in_content else outside):
+        template = element.key and element.tag in BLOCKS and element.key in (inside if in_content else outside)
+        if template and not in_content and element.tag in TEXTS:
+            main = main or densest(root, outside)
+            template = holder is not main
+        if is_boilerplate(element, in_content) or template:
             flush(in_content)
             continue
         block, within = element.tag in BLOCKS, in_content or element.tag in CONTENT
         if block:
             flush(in_content)
-            stack.append((None, within))
-        stack.extend((c, within) for c in reversed(element.children))
+            stack.append((None, within, holder))
+            holder = holder if element.tag in TEXTS else element
+        stack.extend((c, within, holder) for c in reversed(element.children))
     flush(False)
     content = [t for inner, t in blocks if inner]
     return "\n".join(content or [t for _, t in blocks])

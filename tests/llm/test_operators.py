@@ -338,3 +338,11 @@ def test_html_extraction(spark):
 
 def test_text_removed_by_one_rule_only():
     assert html.extract(html.parse('<main><div id="related-posts">r</div><p hidden>h</p><p style="display: none">n</p><p>kept</p></main>')) == "kept"
+
+
+def test_shared_headings_and_phrases_of_div_pages_are_kept():
+    page = "<body><div><p>Site line</p></div><div><h2>Abstract</h2><p><b>Note</b> that page {0} says {0} things</p></div></body>"
+    roots = [html.parse(page.format(i)) for i in range(8)]
+    shared = set.intersection(*(html.subtree_keys(r)[0] for r in roots))
+    assert len(shared) == 3  # the first div, its line and the heading, but not the inline note
+    assert [html.extract(r, shared) for r in roots] == [f"Abstract\nNote that page {i} says {i} things" for i in range(8)]
