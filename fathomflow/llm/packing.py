@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
 from .tokens import DEFAULT_TOKENIZER, crc32, encoded_rows, tokenizer_path
 
 CAPACITY = 2048
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
     """Packs all documents into sequences of at most ``capacity`` ids: one row a piece with its sequence, its
     offset there (gapless from 0), the sequence's ids and padding. A piece's ids follow from the document by
     start and length, so ids need not be shuffled."""
+    bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     pieces = cut_pieces(docs, tokenizer, end_id, capacity)
     return pieces.groupBy(F.pmod("salt", F.lit(groups)).alias("pack_group")).applyInPandas(_pack_group(capacity), PACKED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import bounded_batches, new_path
 from .tokens import DEFAULT_TOKENIZER, crc32, encoded_rows, tokenizer_path
 
 END_ID = 2
@@ -44,7 +44,7 @@ def _tokenise(path: str, end_id: int):
                 ids.append(found)
                 sizes.append(len(found) // 4)
                 held += len(found)
-                if held > 16 << 20 or row == batch.num_rows - 1:
+                if held > 4 << 20 or row == batch.num_rows - 1:
                     yield _id_rows(docs.slice(first, len(ids)), part, seq, ids, sizes)
                     seq += len(ids)
                     ids, sizes, first, held = [], [], row + 1, 0
@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
 
     ``part`` numbers the files in document order and ``seq`` the rows of a file. Texts, not ids, are
     shuffled: range bounds are sampled from them before anything is encoded."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     if files is None:
         estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         files = max(spark.sparkContext.defaultParallelism * 2, min(estimate // FILE_BYTES + 1, 100_000))
@@ -78,7 +78,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
     )
     (
         ordered.mapInArrow(_tokenise(tokenizer_path(tokenizer), end_id), _SCHEMA)
-        .write.option("orc.compress", "ZLIB")
+        .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", ROW_INDEX_STRIDE)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -22,18 +23,36 @@ def whole(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-def test_word_cache_gives_the_ids_of_whole_texts():
-    own = tokens.WordEncoder(tokens.tokenizer_path())
+def rows_of(texts, **how):
+    found = list(tokens.encoded_rows(pa.array(texts, pa.string()), tokens.tokenizer_path(), 2, **how))
+    assert [row for row, _ in found] == list(range(len(texts)))
+    return [np.frombuffer(ids, "<u4").tolist() for _, ids in found]
+
+
+def test_words_give_the_ids_of_whole_texts():
     real = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
-    for text in [t or "" for t in TEXTS] + real[:60]:
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole(text)
+    texts = TEXTS + real[:60] + ["", None]
+    for block in (1 << 20, 1000, 7):
+        assert rows_of(texts, block_bytes=block) == [[*whole(t), 2] for t in texts]
+
+
+def test_capitals_marks_and_punctuation_fold_alike():
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xA0, 0x250)]]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [" ".join(x + m + "A" for m in marks) for x in letters] + [" ".join(x + y + p for y in letters[:150]) for x in letters for p in ("", "'", "<|", ".'s")]
+    assert rows_of(texts) == [[*whole(t), 2] for t in texts]
+
+
+def test_random_strings():
+    rng = np.random.default_rng(8)
+    signs = list("aAbB eE .'<|>\n\t09") + ["\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "é", "É", "ß", "ẞ", "Ω", "Σ", "İ", "ı", "ſ", "\u0301", "日", "😀", "<|endoftext|>", "'s", "'ll"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
+    assert rows_of(texts, block_bytes=300) == [[*whole(t), 2] for t in texts]
 
 
-def test_generations_of_the_cache_do_not_change_ids(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
-    own = tokens.WordEncoder(tokens.tokenizer_path())
-    for text in [t or "" for t in TEXTS] * 2:
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole(text)
+def test_a_table_that_starts_anew_does_not_change_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "_encoders", {tokens.tokenizer_path(): tokens.WordEncoder(tokens.tokenizer_path(), slots=8)})
+    assert rows_of(TEXTS * 2, block_bytes=50) == [[*whole(t), 2] for t in TEXTS * 2]
 
 
 @pytest.fixture(scope="module")
