@@ -6,18 +6,19 @@ meet, and suffixes.py finds the repeated ones there by a Burrows-Wheeler transfo
 1. The key of a window is the least hash of the byte grams in it. Neighbouring windows mostly share it, so a text
    becomes a few spans of window starts, one for each run of equal keys. Keys found once, in one text, are done with.
 2. Spans of a key go to the least text that has it, so texts that share much meet in one place; what a text sends
-   to one place is cut out as whole pieces.
-3. Places that hold few bytes are packed into sorts of bounded size. A place that holds more is dealt again by
-   keys of longer grams: equal pieces are counted as one first. With grams as long as the window, the windows of a
-   part are all equal, and parts are decided without a sort. So no passage, however common, and no run of one byte,
-   however long, makes a task large, and nothing is dropped.
-
-Texts that are equal are one text with a weight; with a weight of two, all of it is repeated. Texts are named by a
-64-bit hash of their content.
-
-Defined results: a null text is empty and keeps nothing, as does a removed one; texts shorter than ``length`` are
-kept; null ids and repeated rows (which are copies of one another) are like others; other columns are not carried;
-an empty table gives no rows. The table must read alike twice (a written table does).
+   to one place is cut out as whole pieces, and long ones are cut into overlapping pieces of a bounded size.
+3. Places that hold few bytes are packed into sorts of bounded size. A place that holds more is thinned out: its pieces
+   are dealt to blocks, and what is repeated in a block is marked there, in all its copies. Only the first of equal
+   windows goes on, to be dealt again by keys of longer grams: a window that no other of its block equals is its own
+   first, so marking firsts later on loses nothing. With grams as long as the window, a place holds one window, which
+   each block leaves once. So no passage, however common, and no run of one byte, however long, makes a task large;
+   nothing is dropped, and nothing is joined back to its copies.
+
+Equal texts (by their SHA-256) are one text; if there are two, all of it is repeated. Rows are named by their place in the table.
+
+Defined results: a null text is empty and keeps nothing (remove_passages leaves it null), as does a removed one; texts
+shorter than ``length`` are kept; null ids and repeated rows (which are copies of one another) are like others; columns
+of any name are left as they are; an empty table gives no rows. The table must read alike twice (a written table does).
 """
 
 from __future__ import annotations
@@ -32,15 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import may_hold
-from .storage import written
-from .suffixes import MAX_SYMBOLS, repeated_starts, runs
+from .storage import bounded_batches, written
+from .suffixes import runs, window_classes
 from .textops import span_hashes, text_chunks
 
 LENGTH = 200
 #: Gram lengths of the levels' window keys, as shares of the window.
 GRAM_SHARES = (0.16, 0.4, 0.8, 1.0)
-#: A place with more bytes than this is dealt again at the next level.
-PLACE_BYTES = 1 << 20
+#: A place with more bytes than this is thinned out and dealt again.
+PLACE_BYTES = 1 << 19
+#: Bytes that one sort holds at the most, and a piece of a text.
+SORT_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def _gram(level: int, length: int) -> int:
@@ -120,178 +124,191 @@ def _emit_spans(length: int):
     return run
 
 
-_PIECES = "place long, tid long, first int, bytes binary"
-_PARTS = "place long, piece long, weight long, first int, bytes binary"
+_PIECES = "place long, row long, first int, bytes binary"
+#: Repeated runs of window starts have no bytes; pieces that go on have a place.
+_SOLVED = "place long, row long, first int, last int, bytes binary"
 
 
 def _cut_pieces(length: int):
     """The pieces of each text: spans that go to one place are joined where they touch, and reach length - 1 bytes further."""
 
+    def pieces(spans: list[dict], n: int) -> Iterator[tuple[int, int, int]]:
+        """(place, first window, last window) of a text of n windows, cut at the size of a piece."""
+        place, first, last = None, 0, -2
+        for s in [*sorted((s["place"], s["first"], min(s["last"], n - 1)) for s in spans), None]:
+            if s is not None and s[0] == place and s[1] <= last + 1:
+                last = max(last, s[2])
+                continue
+            if place is not None:
+                for a in range(first, last + 1, PIECE_BYTES):
+                    yield place, a, min(last, a + PIECE_BYTES - 1)
+            if s is not None:
+                place, first, last = s
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            held = 0
-            for tid, text, spans in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            out, held = _Rows(_PIECES), 0
+            for row, text, spans in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
-                place, first, last = None, 0, -2
-                for s in [*sorted((s["place"], s["first"], s["last"]) for s in spans), None]:
-                    if s is not None and s[0] == place and s[1] <= last + 1:
-                        last = max(last, s[2])
-                        continue
-                    if place is not None:
-                        for column, value in zip(out, (place, tid, first, raw[first : last + length]), strict=True):
-                            column.append(value)
-                        held += last + length - first
-                    if s is not None:
-                        place, first, last = s
-                if held > 8 << 20:
-                    yield _piece_rows(out)
-                    out, held = ([], [], [], []), 0
-            yield _piece_rows(out)
+                for place, first, last in pieces(spans, len(raw) - length + 1):
+                    out.add(place, row, first, raw[first : last + length])
+                    held += last + length - first
+                    if held > 4 << 20:
+                        yield out.batch()
+                        held = 0
+            yield out.batch()
 
     return run
 
 
-def _piece_rows(columns: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["place", "tid", "first", "bytes"])
-
-
-def _part_rows(columns: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["place", "piece", "weight", "first", "bytes"])
+class _Rows:
+    """Columns of a schema of long, int and binary fields, filled row by row."""
 
+    def __init__(self, schema: str):
+        fields = [f.split() for f in schema.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        self.schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+        self.columns: list[list] = [[] for _ in fields]
 
-_FOUND = "piece long, first int, last int"
+    def add(self, *values) -> None:
+        for column, value in zip(self.columns, values, strict=True):
+            column.append(value)
 
+    def batch(self) -> pa.RecordBatch:
+        """The rows so far; further ones start anew."""
+        found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
+        self.columns = [[] for _ in self.columns]
+        return found
 
-def _sorted_batches(length: int):
-    """Rows come by place: whole places are joined up to the size of one sort. A piece that stands more than once is repeated whole."""
 
-    def solve(pieces: list[bytes], numbers: list[int], weights: list[int]) -> pa.RecordBatch:
-        marks = repeated_starts(pieces, length)
-        sizes = np.array([len(p) + 1 for p in pieces])
-        ends = np.cumsum(sizes)
-        for i in np.flatnonzero(np.array(weights) > 1):
-            marks[ends[i] - sizes[i] : ends[i] - length] = True
-        first, last = runs(marks)  # separators end runs
-        owner = np.searchsorted(ends, first, side="right")
-        begin = (ends - sizes)[owner]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int64)[owner]), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32))], names=["piece", "first", "last"])
+def _solve(pieces: list[tuple[int, int, bytes]], length: int, gram: int | None) -> Iterator[pa.RecordBatch]:
+    """Repeated runs of pieces (row, first, bytes), all copies included; with a gram, also the first of equal windows, cut
+    into parts by its keys."""
+    numbers: dict[bytes, int] = {}
+    owner = np.array([numbers.setdefault(raw, len(numbers)) for _, _, raw in pieces])
+    texts = list(numbers)
+    joined, repeated, first = window_classes(texts, length)
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    copies = np.bincount(owner)
+    for i in np.flatnonzero(copies > 1):
+        repeated[ends[i] - sizes[i] : ends[i] - length] = True
+    low, high = runs(repeated)  # separators end runs
+    text = np.searchsorted(ends, low, side="right")
+    begin = (ends - sizes)[text]
+    count = np.bincount(text, minlength=len(texts))
+    rows, offsets = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
+    # Each piece has the runs of its text.
+    each = count[owner]
+    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(count) - count)[owner], each)
+    move = np.repeat(offsets, each) - begin[at]
+    found = [pa.nulls(len(at), pa.int64()), pa.array(np.repeat(rows, each)), pa.array((low[at] + move).astype(np.int32)), pa.array((high[at] + move).astype(np.int32)), pa.nulls(len(at), pa.binary())]
+    yield pa.RecordBatch.from_arrays(found, names=["place", "row", "first", "last", "bytes"])
+    if gram is None:
+        return
+    _, example = np.unique(owner, return_index=True)
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return
+    keys = window_keys(joined, length, gram)[starts]
+    cut = np.concatenate([[True], (np.diff(starts) != 1) | (keys[1:] != keys[:-1])])
+    heads = np.flatnonzero(cut)
+    tails = np.append(heads[1:], len(starts)) - 1
+    raw, out = joined.tobytes(), _Rows(_SOLVED)
+    text = np.searchsorted(ends, starts[heads], side="right")
+    move = offsets[example[text]] - (ends - sizes)[text]
+    for key, a, b, row, m in zip(keys[heads].view(np.int64).tolist(), starts[heads].tolist(), starts[tails].tolist(), rows[example[text]].tolist(), move.tolist(), strict=True):
+        out.add(key, row, a + m, b + m, raw[a : b + length])
+    yield out.batch()
+
+
+def _sorted_batches(length: int, gram: int | None, alone: bool):
+    """Rows come by place. Without a gram, whole places are joined up to the size of one sort; with one, rows are joined as
+    they come. Places of one piece are left out unless windows may repeat in it (``alone``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[bytes] = []
-        numbers: list[int] = []
-        weights: list[int] = []
-        whole, size, whole_size, place = 0, 0, 0, None
+        done: list[tuple[int, int, bytes]] = []
+        here: list[tuple[int, int, bytes]] = []
+        size, own, place = 0, 0, None
+
+        def close() -> None:
+            nonlocal done, here, size, own
+            if alone or len(here) > 1 or gram is not None:
+                done += here
+            else:
+                size -= own
+            here, own = [], 0
+
         for batch in batches:
-            for p, number, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("place", "piece", "weight", "bytes")), strict=True):
+            for p, row, first, raw in zip(*(batch.column(c).to_pylist() for c in ("place", "row", "first", "bytes")), strict=True):
                 if p != place:
-                    place, whole, whole_size = p, len(pieces), size
-                if size + len(raw) + 1 >= MAX_SYMBOLS and whole:
-                    # The places before the open one are complete.
-                    yield solve(pieces[:whole], numbers[:whole], weights[:whole])
-                    pieces, numbers, weights = pieces[whole:], numbers[whole:], weights[whole:]
-                    size, whole, whole_size = size - whole_size, 0, 0
-                pieces.append(raw)
-                numbers.append(number)
-                weights.append(weight)
-                size += len(raw) + 1
-        if pieces:
-            yield solve(pieces, numbers, weights)
+                    close()
+                    place = p
+                if size + len(raw) + 1 > SORT_BYTES:
+                    if gram is not None:
+                        close()
+                    if done:
+                        yield from _solve(done, length, gram)
+                        done, size = [], own
+                here.append((row, first, raw))
+                size, own = size + len(raw) + 1, own + len(raw) + 1
+        close()
+        if done:
+            yield from _solve(done, length, gram)
 
     return run
 
 
-def _differ(data: np.ndarray, length: int) -> np.ndarray:
-    """Marks the windows that differ from the one before; those that do not are runs of one byte."""
-    changes = np.concatenate([[0], np.cumsum(data[1:] != data[:-1])])
-    return np.concatenate([[True], changes[length:] > changes[:-length]])
-
+def _found_runs(pieces: DataFrame, length: int, place_bytes: int) -> DataFrame:
+    """(row, first, last): runs of repeated window starts, from pieces (place, row, first, bytes) of level 0."""
+    found, level = None, 0
+    while True:
+        sizes = pieces.groupBy("place").agg(F.sum(F.octet_length("bytes") + 1).alias("size")).where(F.col("size") > place_bytes)
+        large = written(sizes.select("place", F.ceil(F.col("size") / place_bytes).alias("blocks")), "large-places")
+        count = large.count()
+        small = pieces.join(large, "place", "left_anti") if count else pieces
+        shuffled = small.repartition("place").sortWithinPartitions("place")
+        solved = shuffled.mapInArrow(_sorted_batches(length, None, level == 0), _SOLVED).select("row", "first", "last")
+        found = solved if found is None else found.unionByName(solved)
+        if not count:
+            return found
+        level = min(level + 1, len(GRAM_SHARES) - 1)
+        dealt = pieces.join(large, "place").withColumn("block", F.pmod(F.xxhash64("row", "first"), F.col("blocks"))).repartition("place", "block").sortWithinPartitions("place", "block")
+        thinned = written(dealt.select("place", "row", "first", "bytes").mapInArrow(_sorted_batches(length, _gram(level, length), True), _SOLVED), "thinned-places")
+        found = found.unionByName(thinned.where("bytes is null").select("row", "first", "last"))
+        pieces = thinned.where("bytes is not null").select("place", "row", "first", "bytes")
 
-def _deal_again(level: int, length: int):
-    """Cuts pieces by the keys of a level: each run of equal keys is a part of its own. At the last level, it holds one
-    window or is a run of one byte."""
-    gram = _gram(level, length)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            held = 0
-            for number, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                key, first, last = key_spans(window_keys(data, length, gram), _differ(data, length) if gram == length else None)
-                for k, a, b in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
-                    for column, value in zip(out, (k, number, weight, a, raw[a : b + length]), strict=True):
-                        column.append(value)
-                    held += b + length - a
-                    if held > 8 << 20:
-                        yield _part_rows(out)
-                        out, held = ([], [], [], [], []), 0
-            yield _part_rows(out)
-
-    return run
+def _texts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, tid): rows by their place in the table; a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")).withColumn("tid", F.xxhash64("text"))
 
 
-def _equal_windows(parts: DataFrame, length: int) -> DataFrame:
-    """(piece, first, last) of the last level's distinct parts: one that is found twice or holds several windows is repeated
-    whole; a single window also if it is part of a run, which is of one byte, so that few windows are asked for."""
-    size = F.octet_length("bytes")
-    window = F.substring("bytes", 1, length).alias("window")
-    whole = (F.col("weight") > 1) | (size > length)
-    in_runs = parts.where(size > length).select(window).distinct()
-    single = parts.where(~whole).select("piece", "bytes").join(F.broadcast(in_runs), F.col("bytes") == F.col("window"), "left_semi")
-    found = parts.where(whole).select("piece", F.lit(0).alias("first"), (size - length).cast("int").alias("last"))
-    return found.unionByName(single.select("piece", F.lit(0).alias("first"), F.lit(0).alias("last")))
-
-
-def _solve(pieces: DataFrame, level: int, length: int, place_bytes: int) -> DataFrame:
-    """(piece, first, last): runs of repeated window starts of each piece (place, piece, weight, bytes), all in one place with what may equal them."""
-    if level + 1 == len(GRAM_SHARES):
-        return _equal_windows(pieces, length)
-    sizes = pieces.groupBy("place").agg(F.sum(F.octet_length("bytes") + 1).alias("size"))
-    large = written(sizes.where(F.col("size") > place_bytes).select("place"), "large-places")
-    count = large.count()
-    small = pieces if not count else pieces.join(large, "place", "left_anti")
-    shuffled = small.repartition("place").sortWithinPartitions("place")
-    found = shuffled.select("place", "piece", "weight", "bytes").mapInArrow(_sorted_batches(length), _FOUND)
-    if not count:
-        return found
-    hot = pieces.join(large, "place", "left_semi")
-    again = written(hot.select("piece", "weight", "bytes").mapInArrow(_deal_again(level + 1, length), _PARTS), "dealt-again")
-    named = again.withColumn("content", F.xxhash64("place", "bytes"))
-    distinct = written(named.groupBy("place", "content").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")), "distinct-pieces").withColumnRenamed("content", "piece")
-    inner = _solve(distinct, level + 1, length, place_bytes).groupBy("piece").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("piece", "content")
-    members = named.select("content", "piece", F.col("first").alias("offset")).join(inner, "content")
-    mapped = members.select("piece", "offset", F.explode("runs").alias("r")).select("piece", (F.col("offset") + F.col("r.first")).alias("first"), (F.col("offset") + F.col("r.last")).alias("last"))
-    return found.unionByName(mapped)
+def text_digests(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, tid, n_bytes, sha) of each row of (doc_id, text), written."""
+    return written(_texts(docs).select("row", "doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "text-digests")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, tid, text): rows by their place in the table, texts by their hash."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")).withColumn("tid", F.xxhash64("text"))
+def _groups(digests: DataFrame, length: int) -> DataFrame:
+    """(sha, tid, row, copies): of each different text that is long enough its first row."""
+    return digests.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("tid").alias("tid"), F.min("row").alias("row"), F.count("*").alias("copies"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, place_bytes: int = PLACE_BYTES) -> DataFrame:
-    """(tid, ranges): of each text with repeated strings, the runs of their starts (first, last); equal texts are one."""
+def repeated_windows(docs: DataFrame, digests: DataFrame, length: int = LENGTH, place_bytes: int = PLACE_BYTES) -> DataFrame:
+    """(row, ranges): of the first row of each text with repeated strings, the runs of their starts (first, last)."""
+    bounded_batches(docs.sparkSession)
     rows = _texts(docs)
     spans = written(rows.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(_emit_spans(length), _SPANS), "window-spans")
     window = F.struct("tid", "first", "last")
-    found = spans.groupBy("key").agg(F.min(window).alias("low"), F.max(window).alias("high"))
-    shared = found.where(F.col("low") != F.col("high")).select("key", F.col("low.tid").alias("place"))
+    shared = spans.groupBy("key").agg(F.min(window).alias("low"), F.max(window).alias("high")).where(F.col("low") != F.col("high")).select("key", F.col("low.tid").alias("place"))
     placed = spans.join(shared, "key").groupBy("tid").agg(F.collect_set(F.struct("place", "first", "last")).alias("spans"))
-    placed = written(placed, "placed-spans")
-    ids = placed.select(F.col("tid").alias("id"))
-    wanted = may_hold(rows, "tid", ids, ids.count())
-    first_rows = rows.groupBy("tid").agg(F.min("row").alias("row"))
-    chosen = wanted.join(placed, "tid").join(first_rows.withColumnRenamed("tid", "first_tid"), "row", "left_semi")
-    pieces = chosen.select("tid", "text", "spans").mapInArrow(_cut_pieces(length), _PIECES).withColumn("piece", F.xxhash64("place", "tid", "first")).withColumn("weight", F.lit(1).cast("long"))
-    pieces = written(pieces, "pieces")
-    solved = _solve(pieces, 0, length, place_bytes).groupBy("piece").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    found = solved.join(pieces.select("piece", "tid", F.col("first").alias("offset")), "piece").select("tid", "offset", F.explode("runs").alias("r"))
-    ranges = found.select("tid", F.struct((F.col("offset") + F.col("r.first")).alias("first"), (F.col("offset") + F.col("r.last")).alias("last")).alias("range"))
-    return written(ranges.groupBy("tid").agg(F.sort_array(F.collect_set("range")).alias("ranges")), "repeated-ranges")
+    # Different texts of one hash have the spans of both, which is more than they need.
+    firsts = written(_groups(digests, length).join(placed, "tid").select("row", "spans"), "placed-spans")
+    wanted = may_hold(rows.select("row", "text"), "row", firsts.select(F.col("row").alias("id")), firsts.count())
+    pieces = written(wanted.join(firsts, "row").mapInArrow(_cut_pieces(length), _PIECES), "pieces")
+    found = _found_runs(pieces, length, place_bytes)
+    return written(found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "repeated-ranges")
 
 
 def removed_runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -323,46 +340,40 @@ def _remove(length: int):
                 removed.append(sum(e - b for b, e in cut))
                 spans.append(len(cut))
                 digests.append(hashlib.sha256(_without(text.encode(), cut)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["tid", "n_removed", "n_spans", "cut_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["row", "n_removed", "n_spans", "cut_sha256"])
 
     return run
 
 
-def _joined_texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows whose texts have ranges, with these; a Bloom filter keeps the others out of the shuffle."""
-    rows = _texts(docs)
-    wanted = may_hold(rows, "tid", ranges.select(F.col("tid").alias("id")), ranges.count())
-    return wanted.join(ranges, "tid")
-
-
 def removal_digests(docs: DataFrame, length: int = LENGTH, place_bytes: int = PLACE_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of (doc_id, text)."""
-    rows = _texts(docs)
-    table = written(rows.select("row", "doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "text-digests")
-    copies = table.groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1")
-    ranges = repeated_windows(docs, length, place_bytes)
-    single = written(ranges.join(copies, "tid", "left_anti"), "single-ranges")
-    once = _joined_texts(docs, single).select("tid", "text", "ranges")
-    cut = once.mapInArrow(_remove(length), "tid long, n_removed long, n_spans long, cut_sha256 string")
-    joined = table.join(copies, "tid", "left").join(cut, "tid", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    digests = text_digests(docs)
+    ranges = repeated_windows(docs, digests, length, place_bytes)
+    copied = written(_groups(digests, length).where("copies > 1").select("sha", "row"), "copied-texts")
+    single = written(ranges.join(copied, "row", "left_anti"), "single-ranges")
+    wanted = may_hold(_texts(docs).select("row", "text"), "row", single.select(F.col("row").alias("id")), single.count())
+    cut = wanted.join(single, "row").mapInArrow(_remove(length), "row long, n_removed long, n_spans long, cut_sha256 string")
+    joined = digests.join(copied.select("sha", F.lit(True).alias("copied")), "sha", "left").join(cut, "row", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return joined.select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copied"), F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha")).alias("kept_sha256"),
     )
 
 
-def _cut_texts(length: int, columns: list[str]):
+def _cut_texts(length: int):
+    """Gives each document (a struct) its text without the ranges' bytes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("cut_ranges").to_pylist(), strict=True):
-                texts.append(_without((text or "").encode(), removed_runs(ranges, length)).decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            docs, texts = batch.column("doc"), []
+            names = [f.name for f in docs.type]
+            for text, ranges in zip(docs.field("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                texts.append(_without(text.encode(), removed_runs(ranges, length)).decode(errors="ignore") if ranges else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else docs.field(n) for n in names], names=names)
 
     return run
 
@@ -372,17 +383,16 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, place_bytes: int = PL
     whole) and ``n_chars``, where there is such a column, counted again.
 
     Only texts that a Bloom filter cannot clear of repetitions are shuffled; equal texts are removed whole."""
-    hashed = docs.withColumn("cut_tid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    long_texts = hashed.select("cut_tid", F.octet_length("text").alias("n")).where(F.col("n") >= length)
-    copies = long_texts.groupBy("cut_tid").agg(F.count("*").alias("copies"), F.max("n").alias("n")).where("copies > 1")
-    whole = copies.select(F.col("cut_tid").alias("tid"), F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))).alias("ranges"))
-    found = repeated_windows(docs.select("doc_id", "text"), length, place_bytes)
-    ranges = written(found.join(whole, "tid", "left_anti").unionByName(whole), "cut-ranges").select(F.col("tid").alias("id"), F.col("ranges").alias("cut_ranges"))
-    count = ranges.count()
-    clear = may_hold(hashed, "cut_tid", ranges.select("id"), count, invert=True)
-    asked = may_hold(hashed, "cut_tid", ranges.select("id"), count)
-    joined = asked.join(ranges, asked["cut_tid"] == ranges["id"], "left").withColumn("cut_ranges", F.coalesce("cut_ranges", F.array().cast(ranges.schema["cut_ranges"].dataType)))
-    changed = joined.select(*docs.columns, "cut_ranges").mapInArrow(_cut_texts(length, docs.columns), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    digests = text_digests(docs)
+    found = repeated_windows(docs, digests, length, place_bytes)
+    copied = _groups(digests, length).where("copies > 1").select("sha")
+    whole = digests.join(copied, "sha").select("row", F.array(F.struct(F.lit(0).alias("first"), (F.col("n_bytes") - length).cast("int").alias("last"))).alias("ranges"))
+    ranges = written(found.join(whole, "row", "left_anti").unionByName(whole), "cut-ranges")
+    ids, count = ranges.select(F.col("row").alias("id")), ranges.count()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    clear = may_hold(rows, "row", ids, count, invert=True).select("doc.*")
+    asked = may_hold(rows, "row", ids, count).join(ranges, "row", "left").select("doc", "ranges")
+    changed = asked.mapInArrow(_cut_texts(length), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clear.select(*docs.columns).unionByName(changed)
+        changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return clear.unionByName(changed)

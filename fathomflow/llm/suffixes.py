@@ -71,21 +71,27 @@ def common_prefixes(transform: np.ndarray, limit: int) -> np.ndarray:
     return prefix[:n]
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
-    """Marks, over the joined pieces (each with a separator behind), the starts of strings of ``length`` bytes that start
-    anywhere else too. Strings never reach over a piece's end."""
+def window_classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, repeated, first): the joined pieces (each with a separator behind), the starts of strings of ``length`` bytes
+    that start anywhere else too, and those of each such string's first place. Strings never reach over a piece's end."""
     joined = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
     if len(joined) >= MAX_SYMBOLS:
         raise ValueError("too many symbols for one sort")
     order = sorted_rotations(joined, length)
-    prefix = common_prefixes(joined[order - 1], length)
-    shared = np.flatnonzero(prefix < 0)
-    marks = np.zeros(len(joined), bool)
-    marks[order[shared]] = True
-    marks[order[shared - 1]] = True
+    alone = common_prefixes(joined[order - 1], length) >= 0  # differs from the suffix before
+    alone[:1] = True
+    groups = np.flatnonzero(alone)
+    repeated, first = np.zeros(len(joined), bool), np.zeros(len(joined), bool)
+    repeated[order[~(alone & np.append(alone[1:], True))]] = True
+    first[np.minimum.reduceat(order, groups)] = True
     sizes = np.array([len(p) + 1 for p in pieces])
-    room = np.cumsum(sizes).repeat(sizes) - 1 - np.arange(len(joined))
-    return marks & (room >= length)
+    inside = np.cumsum(sizes).repeat(sizes) - 1 - np.arange(len(joined)) >= length
+    return joined, repeated & inside, first & inside
+
+
+def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
+    """Marks, over the joined pieces, the starts of strings of ``length`` bytes that start anywhere else too."""
+    return window_classes(pieces, length)[1]
 
 
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

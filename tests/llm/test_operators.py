@@ -156,10 +156,48 @@ def test_long_runs_of_one_byte_are_repeated_whole(spark, tmp_path):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in found} == expected
 
 
-def test_single_windows_of_a_byte_run_at_the_last_level(spark):
-    parts = [(1, 11, 1, b"-" * 8), (1, 12, 1, b"-" * 5), (2, 21, 1, b"abcde"), (3, 31, 2, b"abcdf"), (4, 41, 1, b"-----"[:4] + b"x")]
-    table = spark.createDataFrame(parts, "place long, piece long, weight long, bytes binary")
-    assert sorted(map(tuple, passages._equal_windows(table, 5).collect())) == [(11, 0, 3), (12, 0, 0), (31, 0, 0)]
+def brute_removed(texts, length):
+    """(removed bytes, maximal runs) of each text, every window counted in one dictionary."""
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    found = []
+    for r in raws:
+        marks = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                marks[i : i + length] = True
+        found.append((int(marks.sum()), len(suffixes.runs(marks[:-1])[0])))
+    return found
+
+
+def test_places_are_thinned_out_and_dealt_again(spark, tmp_path):
+    rng = random.Random(31)
+    passage = prose(rng, 60, 5000)
+    texts = [f"{prose(rng, 8, 5000)} {passage} {prose(rng, 8, 5000)}" for _ in range(60)] + ["ab" * 700, "x" + "ab" * 650, "c" * 900, "c" * 300, passage, passage, "", None]
+    for i in range(40):
+        words = passage.split()
+        words[rng.randrange(60)] = f"w{i}"
+        texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/hot")
+    for place_bytes in (passages.PLACE_BYTES, 900, 250):
+        found = {r.doc_id: (r.n_removed, r.n_spans) for r in passages.removal_digests(spark.read.parquet(f"file://{tmp_path}/hot"), place_bytes=place_bytes).collect()}
+        assert [found[i] for i in range(len(texts))] == brute_removed(texts, 200)
+
+
+def test_long_periodic_texts(spark, tmp_path):
+    texts = ["a" * 2_200_000, "xyz" * 500_000, "xyz" * 1000 + "!", "b" * 199, "b" * 200, "c" * 201]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/periods")
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in passages.removal_digests(spark.read.parquet(f"file://{tmp_path}/periods")).collect()}
+    assert found == {0: (2_200_000, 1), 1: (1_500_000, 1), 2: (3000, 1), 3: (0, 0), 4: (0, 0), 5: (201, 1)}
+
+
+def test_remove_passages_leaves_columns_of_any_name(spark, tmp_path):
+    passage, names = prose(random.Random(5), 60, 5000), ("id", "row", "doc", "ranges", "tid", "sha", "cut_tid", "cut_ranges", "place")
+    texts = [f"one {passage}", f"{passage} two", None, "", passage[:100]]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).write.parquet(f"file://{tmp_path}/names")
+    found = sorted(map(tuple, passages.remove_passages(spark.read.parquet(f"file://{tmp_path}/names")).collect()))
+    assert found == [(i, t, *r[2:]) for i, (t, r) in enumerate(zip(["one ", " two", None, "", passage[:100]], rows, strict=True))]
 
 
 def test_remove_passages_keeps_columns(docs, rows):
