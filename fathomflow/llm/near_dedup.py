@@ -17,10 +17,12 @@ least of them. Documents with equal sets form a class, and only classes go on:
 Components of the verified links give each document the least document id it can reach.
 
 The sketches' bounds: for small sets (at most ``threshold`` * k shingles) the prefix bound is exact; for larger
-ones, two sets at the threshold share under MIN_SHARED of K retained values with probability below 1e-7.
+ones, two sets at the threshold share under MIN_SHARED of K retained values with a probability of 3.4e-8 (binomial, K
+trials at 0.8). The estimate asks for no more than that, so both together lose such a pair as rarely. Nothing else can
+reject a pair. Estimates compare the upper halves of values, which can only raise them.
 
 Defined results: documents without words (null or empty texts) are linked with nothing; a document with
-fewer words than a shingle has its whole sequence as one; rows with null ids are linked like others but are never a
+fewer words than a shingle has its whole sequence as one; sets are equal if two 64-bit digests and their sizes are; rows with null ids are linked like others but are never a
 component's id, and one row is kept of a component without any id; equal rows with ids share their results; other columns are not carried; an empty table gives no rows.
 """
 
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from .bloom import may_hold
 from .graph import components
-from .storage import written
+from .storage import bounded_batches, unused, written
 from .textops import pair_hashes, span_hashes, text_chunks, word_spans
 
 SHINGLE_WORDS = 5
@@ -44,12 +46,12 @@ THRESHOLD_PERCENT = 80
 #: Retained hash values of a sketch; retained values that two large sets at the threshold share at the least.
 K = 48
 MIN_SHARED = 22
-#: Pairs whose estimated similarity is lower are not verified; the estimate's deviation at 0.8 is under 0.06.
-MIN_ESTIMATE = 0.5
-#: Members of a star that one block compares with its centre; left-over and other classes of a family in one block.
+#: Pairs whose estimated similarity is lower are not verified.
+MIN_ESTIMATE = MIN_SHARED / K
+#: Members of a star that one block compares with its centre; shingles of left-over and other classes of a family in one block.
 STAR_CHUNK = 512
-LEFT_CHUNK = 512
-FAMILY_CHUNK = 2048
+LEFT_SHINGLES = 1 << 18
+FAMILY_SHINGLES = 1 << 20
 
 
 def shingle_sets(chunk, width: int) -> Iterator[np.ndarray]:
@@ -101,15 +103,15 @@ def _sketch(width: int):
                 ids, keys = (batch.column(c).slice(chunk.lo, chunk.hi - chunk.lo) for c in ("doc_id", "key"))
                 yield pa.RecordBatch.from_arrays(
                     [ids, keys, pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))],
-                    names=["doc_id", "key", "n", "cid", "check", "sketch"],
+                    names=["doc_id", "key", "n", "digest", "check", "sketch"],
                 )
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, key, n, cid, check, sketch): the set's size, its digests (cid names its class) and its k least hashes."""
-    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(_sketch(width), "doc_id long, key long, n long, cid long, check long, sketch array<long>")
+    """(doc_id, key, n, digest, check, sketch): the set's size, its digests and its k least hashes."""
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(_sketch(width), "doc_id long, key long, n long, digest long, check long, sketch array<long>")
 
 
 def _listed(n: Column) -> Column:
@@ -119,14 +121,14 @@ def _listed(n: Column) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, cid, support): classes under those of their rarest retained values that another class lists too.
+    """(value, cid, n, support): classes under those of their rarest retained values that another class lists too.
     Support is how widely the class's retained values are shared."""
     entries = classes.select("cid", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     found = entries.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"), F.sum("df").alias("support"))
     alone = F.least(F.col("n"), F.lit(K)) - F.size("values")
     wanted = F.greatest(F.lit(0), _listed(F.col("n")) - alone).cast("int")
-    return found.select("cid", "support", F.explode(F.slice("values", F.lit(1), wanted)).alias("entry")).select(F.col("entry.value").alias("value"), "cid", "support")
+    return found.select("cid", "n", "support", F.explode(F.slice("values", F.lit(1), wanted)).alias("entry")).select(F.col("entry.value").alias("value"), "cid", "n", "support")
 
 
 def _near_sizes(n: Column, m: Column) -> Column:
@@ -141,9 +143,9 @@ def _estimate(a: Column, b: Column) -> Column:
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those whose sizes and sketches allow a link."""
-    a = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(a, "a").join(b, "b").where(_near_sizes(F.col("n_a"), F.col("n_b"))).where(_estimate(F.col("sketch_a"), F.col("sketch_b")) >= MIN_ESTIMATE).select("a", "b")
+    a = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("upper").alias("upper_a"))
+    b = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("upper").alias("upper_b"))
+    return pairs.join(a, "a").join(b, "b").where(_near_sizes(F.col("n_a"), F.col("n_b"))).where(_estimate(F.col("upper_a"), F.col("upper_b")) >= MIN_ESTIMATE).select("a", "b")
 
 
 def _full_sets(width: int):
@@ -152,7 +154,8 @@ def _full_sets(width: int):
             for chunk in text_chunks(batch.column("text")):
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 sets = list(shingle_sets(chunk, width))
-                same = np.array([_digest(s)[0] for s in sets], np.int64) == part.column("cid").to_numpy()
+                found = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
+                same = (found[:, 0] == part.column("digest").to_numpy()) & (found[:, 1] == part.column("check").to_numpy())
                 rows = pa.RecordBatch.from_arrays([part.column("places"), part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["places", "cid", "values"])
                 yield rows.filter(pa.array(same))
 
@@ -163,14 +166,14 @@ def _sets_in_places(places: DataFrame, classes: DataFrame, docs: DataFrame, widt
     """Full sets of classes at their places: (cid, place) becomes the place's fields, cid and values, dealt by the place's
     ``centre``, ``row`` and ``col`` and sorted there. Texts of the named classes are read once; a Bloom filter keeps
     the others out of the shuffle."""
-    named = written(places.join(classes.select("cid", "key"), "cid"), "set-places")
+    named = written(places.join(classes.select("cid", "key", "digest", "check"), "cid"), "set-places")
     ids = named.select(F.col("key").alias("id")).distinct()
     count = ids.count()
     keyed = docs.select("doc_id", _key().alias("key"), "text")
     # Copies without an id have one key, so one of them is enough.
     lone = may_hold(keyed.where("doc_id is null").select("key", "text"), "key", ids, count).dropDuplicates(["key"])
     wanted = may_hold(keyed.where("doc_id is not null").select("key", "text"), "key", ids, count).unionByName(lone)
-    per_class = named.groupBy("key", "cid").agg(F.collect_list("place").alias("places"))
+    per_class = named.groupBy("key", "cid", "digest", "check").agg(F.collect_list("place").alias("places"))
     schema = T.StructType([T.StructField("places", per_class.schema["places"].dataType), T.StructField("cid", T.LongType()), T.StructField("values", T.BinaryType())])
     sets = wanted.join(per_class, "key").mapInArrow(_full_sets(width), schema)
     dealt = sets.select(F.explode("places").alias("place"), "cid", "values").select("place.*", "cid", "values")
@@ -247,22 +250,23 @@ def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def families(lists: DataFrame, likely: DataFrame) -> DataFrame:
-    """(cid, centre): the most central class that a class is likely near (a and b of likely pairs), and the centre of that,
+    """(cid, n, centre): the most central class that a class is likely near (a and b of likely pairs), and the centre of that,
     as far as three steps lead; a class that is near none is its own centre."""
     supports = lists.select(F.col("cid").alias("a"), "support").distinct()
     best = likely.join(supports, "a").groupBy("b").agg(F.max(F.struct("support", "a")).alias("best")).select(F.col("b").alias("cid"), F.col("best.a").alias("centre"))
-    own = written(lists.select("cid").distinct().join(best, "cid", "left").select("cid", F.coalesce("centre", "cid").alias("centre")), "centres")
+    own = written(lists.select("cid", "n").distinct().join(best, "cid", "left").select("cid", "n", F.coalesce("centre", "cid").alias("centre")), "centres")
     for _ in range(2):
         further = own.select(F.col("cid").alias("centre"), F.col("centre").alias("further"))
-        own = written(own.join(further, "centre").select("cid", F.col("further").alias("centre")), "centres")
+        own = written(own.join(further, "centre").select("cid", "n", F.col("further").alias("centre")), "centres")
     return own
 
 
 def _left_over_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Links inside of families (cid, centre, root) between left-over classes and members of other components."""
+    """Links inside of families (cid, n, centre, root) between left-over classes and members of other components."""
     main = placed.where("cid = centre").select("centre", F.col("root").alias("main"))
     known = placed.join(main, "centre", "left").withColumn("left_over", F.coalesce(F.col("root") != F.col("main"), F.lit(True)))
-    counts = known.groupBy("centre").agg(F.ceil(F.count_if("left_over") / LEFT_CHUNK).cast("int").alias("rows"), F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cols")).where("rows > 0")
+    left_size = F.sum(F.when(F.col("left_over"), F.col("n")).otherwise(0))
+    counts = known.groupBy("centre").agg(F.ceil(left_size / LEFT_SHINGLES).cast("int").alias("rows"), F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("cols")).where("rows > 0")
     open_rows = written(known.join(counts, "centre"), "families")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda second: F.struct("centre", F.col("row"), F.col("col"), F.lit(second).alias("second"), "root").alias("place")
@@ -287,9 +291,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     listed = lists.select("value", "cid").join(placed, "cid")
     # The star of a list of two has tested its only pair.
     mixed = listed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("centre").alias("c"), F.max("centre").alias("d")).where("n > 2 and r < s and c < d").select("value")
-    open_rows = written(listed.join(mixed, "value").join(classes.select("cid", "n", "sketch"), "cid"), "open-lists")
+    open_rows = written(listed.join(mixed, "value").join(classes.select("cid", "upper"), "cid"), "open-lists")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    between = (F.col("x.value") == F.col("y.value")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.root") != F.col("y.root")) & _near_sizes(F.col("x.n"), F.col("y.n")) & (_estimate(F.col("x.sketch"), F.col("y.sketch")) >= MIN_ESTIMATE)
+    between = (F.col("x.value") == F.col("y.value")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.root") != F.col("y.root")) & _near_sizes(F.col("x.n"), F.col("y.n")) & (_estimate(F.col("x.upper"), F.col("y.upper")) >= MIN_ESTIMATE)
     rest = x.join(y, between).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     across = verified(rest, classes, docs, width)
     return components(links.unionByName(inside).unionByName(across).select("u", "v"))
@@ -297,15 +301,17 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 def _judged(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) of each row of (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     table = written(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
     worded = table.where("n > 0")
     key = F.coalesce(F.min("doc_id"), F.min("key")).alias("key")
-    classes = written(worded.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("doc_id"), key, F.min("row").alias("row"), F.first("sketch").alias("sketch")), "classes")
+    grouped = worded.groupBy("digest", "check", "n").agg(F.min("doc_id").alias("doc_id"), key, F.min("row").alias("cid"), F.first("sketch").alias("sketch"))
+    classes = written(grouped.withColumn("upper", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))), "classes")
     roots = link_classes(classes, docs, width)
-    joined = classes.select("cid", "doc_id", "row").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first_row"))
-    by_class = written(joined.join(smallest, "root").select("cid", "component_id", "first_row"), "class-components")
-    found = table.select("doc_id", "key", "row", "n", "cid").join(by_class, (table["cid"] == by_class["cid"]) & (table["n"] > 0), "left").drop(by_class["cid"])
+    joined = classes.select("cid", "doc_id", "digest", "check", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("cid").alias("first_row"))
+    by_class = written(joined.join(smallest, "root").select("digest", "check", "n", "component_id", "first_row"), "class-components")
+    found = table.select("doc_id", "key", "row", "n", "digest", "check").join(by_class, ["digest", "check", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     rows = found.select("doc_id", "key", "row", "first_row", F.col("n").alias("n_shingles"), component.alias("component_id"))
     without_id = F.col("component_id").isNull() & F.coalesce(F.col("row") == F.col("first_row"), F.lit(True))
@@ -326,10 +332,11 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     counted = found.groupBy(F.col("doc_id").isNull().alias("lone"), "key").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
     named = written(counted.where("rows > 1 or not kept").select(F.col("key").alias("id"), "lone", "kept"), "dropped-ids")
     count = named.count()
-    keyed = docs.withColumn("dedup_key", _key())
-    rest = may_hold(keyed, "dedup_key", named, count, invert=True)
-    asked = may_hold(keyed, "dedup_key", named, count)
-    same = lambda rows, ids: (rows["dedup_key"] == ids["id"]) & (rows["doc_id"].isNull() == ids["lone"])
+    own = unused(docs.columns, "dedup_key")
+    keyed = docs.withColumn(own, _key())
+    rest = may_hold(keyed, own, named, count, invert=True)
+    asked = may_hold(keyed, own, named, count)
+    same = lambda rows, ids: (rows[own] == ids["id"]) & (rows["doc_id"].isNull() == ids["lone"])
     dropped = named.where(~F.col("kept"))
     kept = asked.join(dropped, same(asked, dropped), "left_anti")
     repeated = named.where("kept")

@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as keep it apart from the given columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches of a few megabytes unless it names a size: else 10,000 texts, however long, go to a worker at once."""
     if not spark.conf.get(_BATCH_SETTING, None):

@@ -82,8 +82,8 @@ def test_near_duplicates(docs, rows, width):
 
 
 def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
-    for name in ("STAR_CHUNK", "LEFT_CHUNK", "FAMILY_CHUNK"):
-        monkeypatch.setattr(near_dedup, name, 2)
+    for name in ("STAR_CHUNK", "LEFT_SHINGLES", "FAMILY_SHINGLES"):
+        monkeypatch.setattr(near_dedup, name, 2 if name == "STAR_CHUNK" else 200)
     found = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 2).collect()}
     assert found == {(d, c) for d, _, c in components_of(rows, 2)}
 
