@@ -6,7 +6,10 @@ relaxed pruning keeps those that no kept neighbour is much nearer to; edges go b
 pruned again. A first pass prunes strictly, a second with ``ALPHA``. Queries, in groups, meet every shard's
 graph in a cogroup and run a beam search there; each query's best of all shards are merged.
 
-Inner products become distances by one more coordinate that gives all vectors of a shard the same norm.
+Inner products become distances by one more coordinate that gives all vectors of a shard the same norm. Graphs are of
+scaled single-precision vectors; scores are of the original ones, in double precision. A query goes to every shard, since
+shards are dealt at random and each may hold some of its nearest: work grows as queries times shards, each at the
+logarithmic cost of a beam search, not as queries times rows.
 Every row is indexed; only ids beyond the k+1 least of equal vectors are left out, which no result can name.
 
 Defined results: null vectors, zero vectors, those with null or non-finite components, of another dimension
@@ -21,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import written
 
@@ -154,7 +158,7 @@ class Graph:
         return self
 
 
-_INDEX = "shard int, node int, entry boolean, vector array<float>, ids array<long>, neighbours array<int>"
+_INDEX = "shard int, node int, entry boolean, vector array<{}>, ids array<long>, neighbours array<int>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
@@ -163,24 +167,29 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """In single precision, with a largest component of 1: neither products nor very large components overflow."""
+    return (matrix / max(np.abs(matrix).max(initial=0), np.finfo(np.float64).tiny)).astype(np.float32)
+
+
 def _build(table: pa.Table) -> pa.Table:
     table = table.take(pc.sort_indices(table, [("least", "ascending")]))
-    points = _matrix(table.column("vector"), np.float32)
+    points = _scaled(_matrix(table.column("vector"), np.float64))
     graph = Graph(points).build()
     n = len(points)
     edges = graph.edges
     return pa.Table.from_arrays(
-        [table.column("shard"), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) == graph.entry), table.column("vector").cast(pa.list_(pa.float32())), table.column("ids").cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * edges.shape[1]), pa.array(edges.ravel()))],
+        [table.column("shard"), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) == graph.entry), table.column("vector"), table.column("ids").cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * edges.shape[1]), pa.array(edges.ravel()))],
         names=["shard", "node", "entry", "vector", "ids", "neighbours"],
     )
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
-    x = F.col("embedding")
+    x, kind = F.col("embedding"), "float" if table.schema["embedding"].dataType.elementType == T.FloatType() else "double"
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = table.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(whole & F.exists(x, lambda v: v != 0))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("float") + F.lit(0.0).cast("float")).alias("vector"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast(kind) + F.lit(0.0).cast(kind)).alias("vector"))
     size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.where(F.size("vector") == (size.d if size else 0))
 
@@ -191,7 +200,9 @@ def build_index(vectors: DataFrame, rows: int, k: int) -> DataFrame:
     least = vectors.distinct().withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     nodes = least.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     dealt = nodes.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.element_at("ids", 1).alias("least"), "vector", "ids")
-    return written(dealt.groupBy("shard").applyInArrow(_build, _INDEX), "vector-index")
+    schema = _INDEX.format(vectors.schema["vector"].dataType.elementType.simpleString())
+    # A number of partitions keeps small shards in tasks of their own: a graph costs far more than its bytes tell.
+    return written(dealt.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(_build, schema), "vector-index")
 
 
 def _search(k: int, beam: int):
@@ -200,20 +211,20 @@ def _search(k: int, beam: int):
         if not index.num_rows or not queries.num_rows:
             return schema.empty_table()
         index = index.take(pc.sort_indices(index, [("node", "ascending")]))
-        points = _matrix(index.column("vector"), np.float32)
+        exact = _matrix(index.column("vector"), np.float64)
+        points = _scaled(exact)
         graph = Graph(points)
         graph.edges = _matrix(index.column("neighbours"), np.int32)
         graph.entry = int(np.flatnonzero(index.column("entry").to_numpy())[0])
-        exact = points.astype(np.float64)
         members = index.column("ids").to_pylist()
-        query_ids, targets = queries.column("vec_id").to_pylist(), _matrix(queries.column("vector"), np.float32)
-        lifted = np.hstack([targets, np.zeros((len(targets), 1), np.float32)])
+        query_ids, targets = queries.column("vec_id").to_pylist(), _matrix(queries.column("vector"), np.float64)
+        lifted = np.hstack([_scaled(targets), np.zeros((len(targets), 1), np.float32)])
         out: tuple[list, list, list] = ([], [], [])
         for lo in range(0, len(targets), BATCH):
             nodes, _ = graph.search(lifted[lo : lo + BATCH], min(beam, len(points)))
             for i, found in enumerate(nodes):
                 found = found[found >= 0]
-                scores = exact[found] @ targets[lo + i].astype(np.float64)
+                scores = exact[found] @ targets[lo + i]
                 own, hits = query_ids[lo + i], []
                 # Nodes come nearest first; equal scores may be of different vectors, so all that reach the k-th count.
                 order = np.argsort(-scores, kind="stable")

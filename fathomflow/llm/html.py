@@ -1,8 +1,9 @@
 """Main text of web pages: site templates are removed by counting element subtrees per host.
 
-Pages are parsed twice. First every page gives the hashes of its subtrees with text, and Spark counts, per
-host, the pages that hold each; a second parse drops subtrees recurring across many pages of the host, along
-with elements that are no article by their kind, role or class (menus, notices, adverts, forms, comments).
+Pages are parsed twice. First every page gives the hashes of all its block subtrees with text, menus and footers among
+them, and Spark counts, per host, the pages that hold each; a second parse deletes the subtrees that recur across many
+pages of the host. What recurrence cannot show, because its text differs from page to page or the host has few pages, is
+then dropped by its kind, role or class (adverts, notices, forms, comments, and menus and footers of small sites).
 If what is left has an article or main element with text, the text is taken from there.
 
 Counts are shuffled as pairs of hashes, not pages; recurring subtrees are broadcast up to a checked size, and
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import bounded_batches, written
 from .urls import parse_url
 
 #: A subtree outside of an article is template when this many different pages of a host hold it, and this share.
@@ -59,23 +60,27 @@ _BOUNDS = frozenset("ul ol dl table article main section div body html td th asi
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(>|\Z)|!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: A class that begins or ends with one of these says what an element lacks, or what stands beside it.
+_NEGATIONS = frozenset("no non not without has have with free less hide hidden is".split())
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MASK = (1 << 63) - 1
 
 
 class Element:
-    """An element or, without a tag, a text; ``key`` is the hash of the subtree, 0 without any text."""
+    """An element or, without a tag, a text; ``key`` is the hash of the subtree, 0 without any text; ``content`` tells whether
+    it is or holds an article or main element."""
 
-    __slots__ = ("attributes", "children", "key", "tag", "text")
+    __slots__ = ("attributes", "children", "content", "key", "tag", "text")
 
     def __init__(self, tag: str, attributes: str = "", text: str = ""):
-        self.tag, self.attributes, self.text, self.children, self.key = tag, attributes, text, [], 0
+        self.tag, self.attributes, self.text, self.children, self.key, self.content = tag, attributes, text, [], 0, tag in CONTENT
 
 
 def _close(stack: list[Element], depth: int) -> None:
     """Closes open elements down to a depth, hashing each subtree from its children's hashes."""
     while len(stack) > depth:
         element = stack.pop()
+        element.content = element.content or any(c.content for c in element.children)
         parts = [str(c.key) for c in element.children if c.key]
         if parts:
             element.key = xxhash.xxh64_intdigest(f"{element.tag} {' '.join(parts)}") & _MASK
@@ -142,26 +147,28 @@ def is_boilerplate(element: Element, in_content: bool) -> bool:
         return True
     if tag in ("html", "body", "main") or not element.attributes:
         return False
+    # Wrappers of the article are often named after what else they hold.
+    named = not element.content
     for name, *values in _ATTRIBUTE.findall(element.attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id"):
-            words = _WORDS.findall(value.lower())
-            if not DROPPED_WORDS.isdisjoint(words):
-                return True
+        if name in ("class", "id") and named:
+            for words in map(_WORDS.findall, value.lower().split()):
+                if words and (words[0] in DROPPED_WORDS or words[-1] in DROPPED_WORDS) and _NEGATIONS.isdisjoint((words[0], words[-1])):
+                    return True
     return False
 
 
 def subtree_keys(root: Element) -> tuple[set[int], set[int]]:
-    """Hashes of the subtrees with text outside and inside of article elements, without those dropped by kind anyway."""
+    """Hashes of all block subtrees with text, outside and inside of article elements."""
     outside, inside = set(), set()
     stack = [(c, False) for c in root.children]
     while stack:
         element, in_content = stack.pop()
-        if not element.key or not element.tag or is_boilerplate(element, in_content):
+        if not element.key or not element.tag:
             continue
         in_content = in_content or element.tag in CONTENT
         if element.tag in BLOCKS and element.tag not in ("html", "body", *CONTENT):
@@ -188,8 +195,9 @@ def densest(root: Element, outside: Container[int]) -> Element:
     return best
 
 
-def extract(root: Element, outside: Container[int] = (), inside: Container[int] = ()) -> str:
-    """The main text: blocks in page order, one a line; subtrees with the given hashes are dropped."""
+def extract(root: Element, outside: Container[int] = (), inside: Container[int] = ()) -> tuple[str, int]:
+    """The main text (blocks in page order, one a line) and how many subtrees were deleted for their hashes."""
+    deleted = 0
     blocks: list[tuple[bool, str]] = []
     words: list[str] = []
 
@@ -218,7 +226,8 @@ def extract(root: Element, outside: Container[int] = (), inside: Container[int]
         if template and not in_content and element.tag in TEXTS:
             main = main or densest(root, outside)
             template = holder is not main
-        if is_boilerplate(element, in_content) or template:
+        if template or is_boilerplate(element, in_content):
+            deleted += bool(template)
             flush(in_content)
             continue
         block, within = element.tag in BLOCKS, in_content or element.tag in CONTENT
@@ -229,7 +238,7 @@ def extract(root: Element, outside: Container[int] = (), inside: Container[int]
         stack.extend((c, within, holder) for c in reversed(element.children))
     flush(False)
     content = [t for inner, t in blocks if inner]
-    return "\n".join(content or [t for _, t in blocks])
+    return "\n".join(content or [t for _, t in blocks]), deleted
 
 
 def _scoped(host: str, key: int, content: bool) -> int:
@@ -266,7 +275,7 @@ class _HostScope:
         return at < len(self.keys) and int(self.keys[at]) == scoped
 
 
-_RESULT = "page_id long, url string, text string, n_chars long"
+_RESULT = "page_id long, url string, text string, n_chars long, n_templates long"
 
 
 def _extract(broadcast):
@@ -274,11 +283,12 @@ def _extract(broadcast):
         shared = broadcast.value if broadcast is not None else None
         for batch in batches:
             own = batch.column("dropped").to_pylist() if shared is None else [None] * batch.num_rows
-            texts = []
+            found = []
             for host, page, dropped in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), own, strict=True):
                 keys = shared if shared is not None else np.sort(np.array(dropped or [], np.int64))
-                texts.append(extract(parse(page), _HostScope(host, False, keys), _HostScope(host, True, keys)) if page else "")
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                found.append(extract(parse(page), _HostScope(host, False, keys), _HostScope(host, True, keys)) if page else ("", 0))
+            columns = [pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_templates"])
 
     return run
 
@@ -294,8 +304,9 @@ def _templates(subtrees: DataFrame) -> DataFrame:
 
 
 def extract_text(pages: DataFrame, broadcast_subtrees: int = BROADCAST_SUBTREES) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of (page_id, url, html)."""
-    spark = pages.sparkSession
+    """(page_id, url, text, n_chars, n_templates) of each row of (page_id, url, html); n_templates counts the subtrees deleted
+    because they recur on the host."""
+    spark = bounded_batches(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", parse_url(F.col("url"))[0].alias("host"), F.xxhash64("url", "html").alias("page_hash"))
     subtrees = hosted.select("page_hash", "host", "html").mapInArrow(_emit, _SUBTREES)
     templates = written(_templates(subtrees), "html-templates")

@@ -2,18 +2,20 @@
 
 Every source gets a share of the corpus's words in proportion to its weight, but at most ``max_repeats`` times
 its own words; the excess is shared again by weight (water filling). A source that needs r times its words
-takes each document floor(r) times for certain; for the fraction that is left, documents are ranked by
-random odds over inclusion odds, U/(1-U) : p/(1-p), and taken in that order up to the target, to the document
-whose middle the target does not pass, so a source misses its target by at most half a document.
+takes each document floor(r) times for certain. For the fraction p that is left, a document's inclusion odds are p/(1-p)
+times its size over the source's mean size, so that long documents, of which fewer fill a target, are likelier than short
+ones; documents are ranked by random odds over inclusion odds, U/(1-U) over these, and taken in that order up to the
+target, to the document whose middle the target does not pass, so a source misses its target by at most half a document.
 
 U is a hash of the document, so reruns agree. Ranking a source never sorts it in one task: documents are
 counted by bins of their rank, a window over the bins finds the bin that the target falls into, and the same
 is done inside that bin; only the documents of that fine bin are sorted, for one cutoff a source. Decisions
-follow from the cutoffs in place, so texts are never shuffled.
+follow from the cutoffs in place, so texts are never shuffled. Tables of one row a source are small beside the documents.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; sources without
-words have target 0; rows with the same id, or null ids with the same text, are taken alike; an empty table
-gives no rows.
+Defined results: a null text has size 0, and a document of size 0 is taken as often as its source's documents are for
+certain; a null source is a source of its own, last in order, and the only one where there is no such column; sources
+without words have target 0; rows with the same id, or null ids with the same text, are taken alike; columns of any name
+are left as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,25 +91,29 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds the plan of each row's source, and where the row stands among its documents: odds over odds, mapped in
     order to (0, 1) and cut into bins."""
     joined = _with_plan(rows, plan, "plan")
-    odds = (F.col("mix_u") / (1 - F.col("mix_u"))) / (F.col("mix_p") / (1 - F.col("mix_p")))
-    ranked = joined.withColumn("mix_rank", F.when(F.col("mix_p") > 0, odds / (1 + odds)))
+    inclusion = F.col("mix_p") / (1 - F.col("mix_p")) * (F.col("mix_size") / F.col("mix_mean"))
+    odds = F.when((F.col("mix_p") > 0) & (F.col("mix_size") > 0), F.col("mix_u") / (1 - F.col("mix_u")) / inclusion)
+    ranked = joined.withColumn("mix_rank", odds / (1 + odds))
     return ranked.withColumn("mix_fine", F.floor(F.col("mix_rank") * (BINS * BINS))).withColumn("mix_bin", F.floor(F.col("mix_fine") / BINS))
 
 
-_HELP = ("mix_source", "mix_size", "mix_u")
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """(mix_id, mix_source, mix_size, mix_u) of documents (doc_id, text, perhaps source), and given columns."""
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").alias("mix_id"), source.alias("mix_source"), words_of(F.col("text")).alias("mix_size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("mix_u"), *more)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """Adds mix_size, mix_source_size, mix_target and mix_copies to documents (doc_id, source, text)."""
-    sized = docs.withColumns({"mix_source": F.col("source").cast("string"), "mix_size": words_of(F.col("text")), "mix_u": uniform(F.col("doc_id"), F.col("text"), seed)})
-    table = written(sized.select(F.col("doc_id").alias("mix_id"), *_HELP), "mixing-sizes")
-    totals = table.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"))
+def _decided(table: DataFrame, weights: tuple[float, ...], max_repeats: int):
+    """A function that adds mix_source_size, mix_target and mix_copies to rows like those of the table, which holds all documents."""
+    totals = table.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n"))
+    means = totals.select(F.col("source").alias("mean_source"), (F.col("source_size") / F.col("n")).alias("mix_mean"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12)  # a ratio within rounding of a whole number counts as whole
-    planned = source_targets(totals, weights, max_repeats).select("source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), whole.alias("mix_certain"), F.greatest(F.lit(0.0), ratio - whole).alias("mix_p"))
+    targets = source_targets(totals.select("source", "source_size"), weights, max_repeats).join(means, F.col("source").eqNullSafe(F.col("mean_source")))
+    planned = targets.select("source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), whole.alias("mix_certain"), F.greatest(F.lit(0.0), ratio - whole).alias("mix_p"), "mix_mean")
     plan = written(planned, "mixing-plan")
 
-    live = _ranked(table, plan).where("mix_p > 0").withColumn("mix_quota", F.col("mix_p") * F.col("mix_source_size"))
+    live = _ranked(table, plan).where("mix_rank is not null").withColumn("mix_quota", F.col("mix_p") * F.col("mix_source_size"))
     coarse = _crossing(live, "mix_bin", "mix_quota")
     inside = _with_plan(live, coarse, "coarse").where(F.col("mix_bin") == F.col("cut_mix_bin"))
     fine = _crossing(inside, "mix_fine", "mix_bin_quota")
@@ -115,21 +121,26 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     order = Window.partitionBy("mix_source").orderBy("mix_rank", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
     taken = last.withColumn("reach", F.sum("mix_size").over(order) - F.col("mix_size") / 2.0).where(F.col("reach") <= F.col("mix_fine_quota"))
     cutoff = taken.groupBy(F.col("mix_source").alias("source")).agg(F.max(F.struct("mix_rank", "mix_id")).alias("mix_cutoff"))
-    cuts = fine.join(cutoff, fine["source"].eqNullSafe(cutoff["source"]), "left").select(fine["source"], "cut_mix_fine", "mix_cutoff")
+    cuts = written(fine.join(cutoff, fine["source"].eqNullSafe(cutoff["source"]), "left").select(fine["source"], "cut_mix_fine", "mix_cutoff"), "mixing-cutoffs")
 
-    placed = _with_plan(_ranked(sized, plan), written(cuts, "mixing-cutoffs"), "cut")
-    at_cut = (F.col("mix_fine") == F.col("cut_mix_fine")) & (F.struct(F.col("mix_rank"), F.col("doc_id").cast("long").alias("mix_id")) <= F.col("mix_cutoff"))
-    extra = F.coalesce((F.col("mix_fine") < F.col("cut_mix_fine")) | at_cut, F.lit(False)).cast("long")
-    return placed.withColumn("mix_copies", F.least(F.coalesce(F.col("mix_certain"), F.lit(0)) + extra, F.lit(max_repeats)).cast("long"))
+    def decide(rows: DataFrame) -> DataFrame:
+        placed = _with_plan(_ranked(rows, plan), cuts, "cut")
+        at_cut = (F.col("mix_fine") == F.col("cut_mix_fine")) & (F.struct(F.col("mix_rank"), F.col("mix_id")) <= F.col("mix_cutoff"))
+        extra = F.coalesce((F.col("mix_fine") < F.col("cut_mix_fine")) | at_cut, F.lit(False)).cast("long")
+        return placed.withColumn("mix_copies", F.least(F.coalesce(F.col("mix_certain"), F.lit(0)) + extra, F.lit(max_repeats)).cast("long"))
+
+    return decide
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each document."""
-    placed = mix_plan(docs.select("doc_id", "source", "text"), weights, max_repeats, seed)
-    return placed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    """(doc_id, size, source_size, target, taken) of each document. Texts are read once."""
+    table = written(_sized(docs, seed), "mixing-sizes")
+    placed = _decided(table, weights, max_repeats)(table)
+    return placed.select(F.col("mix_id").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
-    placed = mix_plan(docs, weights, max_repeats, seed).where("mix_copies > 0")
-    return placed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    decide = _decided(written(_sized(docs, seed), "mixing-sizes"), weights, max_repeats)
+    placed = decide(_sized(docs, seed, F.struct(*docs.columns).alias("doc"))).where("mix_copies > 0")
+    return placed.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("doc.*")

@@ -8,8 +8,9 @@ is wider for short documents, whose histograms are noisy; those with too few wor
 to the base rules alone.
 
 Defined results: a null text has no words and fails the base rules; null ids, repeated rows and other columns
-do not matter; a language column that is null or missing counts as one language; where a document's language
-has no reference (it is rare, or has only short documents), the base rules decide.
+do not matter, and columns of any name are left as they are; a language that is null, empty or missing is one language
+of its own; where a document's language has no reference (fewer than MIN_LANGUAGE_DOCUMENTS documents that pass the base
+rules and are long enough), the base rules decide; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import written
+from .storage import bounded_batches, unused, written
 from .textops import Chunk, code_points, pair_hashes, span_hashes, text_chunks, word_spans
 
 # Frequent function words of four languages, in the order of their usual frequency.
@@ -44,9 +45,8 @@ MIN_HISTOGRAM_WORDS = 40
 #: The two distances (each 0 to 1) from the nearest reference may add up to LIMIT + NOISE_WORDS / words.
 LIMIT = 0.34
 NOISE_WORDS = 14.0
-#: A language gets a reference if it holds this share of the documents, or so many of them.
-MIN_LANGUAGE_SHARE = 0.002
-MIN_LANGUAGE_DOCUMENTS = 100
+#: A language gets a reference from so many documents on.
+MIN_LANGUAGE_DOCUMENTS = 20
 
 _CLASSES = ("lower", "upper", "wide", "digit", "space", "stop", "symbol", "other")
 _CLASS_OF = np.full(256, 7, dtype=np.int64)
@@ -191,6 +191,7 @@ def _lang(docs: DataFrame) -> Column:
 
 def features(docs: DataFrame) -> DataFrame:
     """One row a document: its counts, and its histograms of character classes and common words."""
+    bounded_batches(docs.sparkSession)
     chosen = docs.select("doc_id", _lang(docs).alias("lang"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(_feature_batches, f"doc_id long, lang string, {_COUNTS}, classes array<int>, common array<int>")
 
@@ -279,8 +280,7 @@ def _mean_references(table: DataFrame, near: References | None) -> References:
     # Sums are rounded so that their order in a rerun cannot matter.
     total = each.groupBy("lang").agg(*(F.round(F.sum(F.col("sums")[i]), 6).alias(f"s{i}") for i in range(width)))
     if near is None:
-        least = F.least(F.lit(float(MIN_LANGUAGE_DOCUMENTS)), MIN_LANGUAGE_SHARE * F.sum("s0").over(Window.partitionBy()))
-        total = total.withColumn("enough", F.col("s0") >= least).where("enough")
+        total = total.where(F.col("s0") >= MIN_LANGUAGE_DOCUMENTS)
     else:
         total = total.where(F.col("lang").isin(near.languages))
     rows = total.orderBy("lang").collect()
@@ -316,13 +316,13 @@ def judge(docs: DataFrame) -> DataFrame:
     return table.mapInArrow(_judge(learn_references(table)), f"doc_id long, {_COUNTS}, kept boolean, class_distance double, common_distance double")
 
 
-def _keep(references: References, columns: list[str]):
+def _keep(references: References, columns: list[str], lang: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 f = chunk_features(chunk)
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
-                kept, _, _ = verdict(f.classes, f.common, f.n_words, f.base_failed(), _languages(part, "quality_lang"), references)
+                kept, _, _ = verdict(f.classes, f.common, f.n_words, f.base_failed(), _languages(part, lang), references)
                 yield part.select(columns).filter(pa.array(kept))
 
     return run
@@ -331,4 +331,5 @@ def _keep(references: References, columns: list[str]):
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with all their columns: texts are read twice and never shuffled."""
     references = learn_references(written(features(docs), "quality-features"))
-    return docs.withColumn("quality_lang", _lang(docs)).mapInArrow(_keep(references, docs.columns), T.StructType(docs.schema.fields))
+    own = unused(docs.columns, "quality_lang")
+    return docs.withColumn(own, _lang(docs)).mapInArrow(_keep(references, docs.columns, own), T.StructType(docs.schema.fields))

@@ -12,20 +12,23 @@ WITH sized AS (
          (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(text), 'null')), 1, 13))::BIGINT + 0.5) / {1 << 52} AS u
   FROM documents),
 totals AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
 capped AS (SELECT *, (place % 3 + 1)::DOUBLE AS weight, {mixing.MAX_REPEATS}.0::DOUBLE * source_size AS cap FROM totals),
 leveled AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM capped WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT level FROM leveled WHERE cap >= level * weight ORDER BY cap / weight, place LIMIT 1), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM leveled),
+  SELECT source, source_size, source_size / n AS mean, least(cap, coalesce((SELECT level FROM leveled WHERE cap >= level * weight ORDER BY cap / weight, place LIMIT 1), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM leveled),
 ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
 plans AS (SELECT *, floor(ratio + 1e-12) AS certain, greatest(0, ratio - floor(ratio + 1e-12)) AS p FROM ratios),
+odds AS (
+  SELECT s.*, p.source_size, p.target, p.certain, p.p,
+         CASE WHEN p.p > 0 AND s.size > 0 THEN u / (1 - u) / (p.p / (1 - p.p) * (s.size / p.mean)) END AS odds
+  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
 ranked AS (
-  SELECT s.doc_id, s.size, p.source_size, p.target, p.certain, p.p,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY u, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size / 2.0 AS reach
-  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS reach
+  FROM odds)
 SELECT doc_id, size, source_size, target,
-       size * least({mixing.MAX_REPEATS}, certain + CASE WHEN p > 0 AND reach <= p * source_size THEN 1 ELSE 0 END)::BIGINT AS taken
+       size * least({mixing.MAX_REPEATS}, certain + CASE WHEN odds IS NOT NULL AND reach <= p * source_size THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM ranked
 """

@@ -1,12 +1,18 @@
 """URL verdicts: rules by host suffix and path prefix, then naive Bayes over segmented host and path tokens.
 
 Host labels are split into words by a unigram Viterbi search. The lexicon is counted over the tokens of all
-URLs (with a few fixed words); the substrings of each distinct label are joined with it, so no lexicon is
-broadcast. The multinomial naive Bayes counts tokens, hashed into a fixed number of features, over all URLs;
-hosts that hold a seed word are its examples of blocked ones, the others of allowed ones.
-
-Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed;
-null ids, repeated rows and other columns do not matter; an empty table gives no rows.
+URLs (with the seed words); the substrings of each distinct label are joined with it, so no lexicon is broadcast.
+
+No URL comes with a label, so the multinomial naive Bayes starts from labelled features: a few seed words, each with
+fixed odds for block. Its other weights are learned from all URLs without the seed words: what stands beside them, in
+hosts or paths, speaks for block, and what stands in other URLs for allow. In a second round the first model's verdicts
+are the labels. So a host without any seed word is blocked if its other words are those of blocked ones, and one
+with a seed word is allowed if enough of its words are those of allowed ones. Tokens are hashed into FEATURES weights,
+which bounds the model that is broadcast; with many more tokens than that, some share a weight.
+
+Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; where no
+URL holds a seed word, every URL without a rule is allowed; null ids, repeated rows and other columns do not matter; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import bounded_batches, written
 
 
 @dataclass(frozen=True)
@@ -43,17 +49,22 @@ class Rule:
 
 RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("block", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
 
-# Words whose presence in a host marks a training example as blocked.
-SEED_WORDS = tuple("adult ads adserver bet bets betting casino escort gambling loans malware phishing pills poker porn replica sex spam torrent track tracker viagra warez xxx".split())
-# Words that the lexicon holds whatever the corpus holds, as counted this often.
-LEXICON_WORDS = tuple("app best blog buy cheap deals farm free game games health home info live mail media mobile net news online play shop site store tech web win world".split())
+# Words of usual block list categories (adult, gambling, medicines, malware and piracy, advertising, fraud).
+SEED_WORDS = tuple(
+    "adult escort nude porn porno sex sexy xxx bet bets betting bingo casino casinos gambling jackpot lottery poker roulette slots cialis pharmacy pill pills steroids viagra "
+    "crack hack keygen malware phishing spyware torrent torrents virus warez ads adserver banner banners clicks popup tracker loan loans payday replica scam spam".split()
+)
+#: Log odds for block of a seed word, and how often the lexicon counts it at least.
+SEED_LOG_ODDS = math.log(1000)
 LEXICON_COUNT = 20
 
 #: Token hash features of naive Bayes: this bounds the model that is broadcast.
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 SMOOTHING = 0.1
-#: A word longer than this is never looked up in the lexicon.
-MAX_WORD = 24
+#: Rounds of training: the first has the seed words' labels, the next those of the model before.
+ROUNDS = 2
+#: A word longer than a host's label can be is never looked up in the lexicon.
+MAX_WORD = 63
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,13 +95,13 @@ def _tokens(text: Column) -> Column:
 
 
 def lexicon(urls: DataFrame) -> DataFrame:
-    """(word, n): tokens of all paths and of each distinct host's hyphenated labels, with the fixed words. Labels
+    """(word, n): tokens of all paths and of each distinct host's hyphenated labels, with the seed words. Labels
     without a hyphen are what is to be split, so they don't count as words."""
     paths = urls.select(F.explode(_tokens(F.col("path"))).alias("word"))
     hyphenated = F.filter(F.split("host", r"\."), lambda x: x.contains("-"))
     hosts = urls.select("host").distinct().select(F.explode(_tokens(F.concat_ws(" ", hyphenated))).alias("word"))
     counted = paths.unionByName(hosts).where("word != '0'").groupBy("word").agg(F.count("*").alias("n"))
-    fixed = urls.sparkSession.createDataFrame([(w, LEXICON_COUNT) for w in dict.fromkeys([*SEED_WORDS, *LEXICON_WORDS])], "word string, n long")
+    fixed = urls.sparkSession.createDataFrame([(w, LEXICON_COUNT) for w in SEED_WORDS], "word string, n long")
     return counted.unionByName(fixed).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -139,49 +150,64 @@ def _features(tokens: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(t.encode()) % FEATURES for t in tokens], dtype=np.int64)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
-    for batch in batches:
-        for tokens, bad, n in zip(batch.column("tokens").to_pylist(), batch.column("bad").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            np.add.at(counts[int(bad)], _features(tokens), n)
-            rows[int(bad)] += n
-    for c in (0, 1):
-        at = np.flatnonzero(counts[c])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, c)), pa.array(np.append(at, -1)), pa.array(np.append(counts[c][at], rows[c]))], names=["class", "feature", "n"])
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list[str], int]]:
+    """(tokens, seed words) of each URL."""
+    return zip(batch.column("tokens").to_pylist(), batch.column("seeds").to_pylist(), strict=True)
 
 
 @dataclass
 class NaiveBayes:
-    """Log odds of block against allow: a prior and one number a feature."""
+    """Log odds of block against allow: a prior, one number a feature, and one for each seed word."""
 
     prior: float
     weights: np.ndarray
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + float(self.weights[_features(tokens)].sum())
+    def score(self, tokens: list[str], seeds: int) -> float:
+        return self.prior + float(self.weights[_features(tokens)].sum()) + seeds * SEED_LOG_ODDS
 
 
-def train(examples: DataFrame) -> NaiveBayes:
-    """Multinomial naive Bayes over all (tokens, bad, n) rows; at most 2 * FEATURES counts come to the driver."""
-    rows = examples.mapInArrow(_count, "class long, feature long, n long").groupBy("class", "feature").agg(F.sum("n").alias("n")).collect()
-    counts, seen = np.zeros((2, FEATURES)), np.zeros(2)
-    for r in rows:
-        if r.feature < 0:
-            seen[r["class"]] += r.n
-        else:
-            counts[r["class"], r.feature] += r.n
+def _count(model: NaiveBayes | None):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for tokens, seeds in _rows(batch):
+                bad = int(seeds > 0 if model is None else model.score(tokens, seeds) > 0)
+                np.add.at(counts[bad], _features(tokens), 1)
+                rows[bad] += 1
+        for c in (0, 1):
+            at = np.flatnonzero(counts[c])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, c)), pa.array(np.append(at, -1)), pa.array(np.append(counts[c][at], rows[c]))], names=["class", "feature", "n"])
+
+    return run
+
+
+def naive_bayes(counts: np.ndarray, seen: np.ndarray) -> NaiveBayes:
+    """The model of token counts (allow, block; a column a feature) and example counts. Without examples of both, it says nothing."""
     if not seen.all():
-        return NaiveBayes(0.0, np.zeros(FEATURES))
+        return NaiveBayes(-math.inf, np.zeros(FEATURES))
     found = counts.sum(axis=0) > 0
     smooth = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * (found.sum() + 1)))
     # Features that no example has say nothing for either class.
     return NaiveBayes(float(np.log(seen[1] / seen[0])), np.where(found, smooth[1] - smooth[0], 0.0))
 
 
+def train(examples: DataFrame, rounds: int = ROUNDS) -> NaiveBayes:
+    """Multinomial naive Bayes over all rows (tokens without seed words, seeds); at most 2 * FEATURES counts come to the driver."""
+    model = None
+    for _ in range(rounds):
+        rows = examples.mapInArrow(_count(model), "class long, feature long, n long").groupBy("class", "feature").agg(F.sum("n").alias("n")).toPandas()
+        counts, seen = np.zeros((2, FEATURES)), np.zeros(2)
+        whole = rows["feature"] < 0
+        seen[rows["class"][whole]] = rows["n"][whole]
+        counts[rows["class"][~whole], rows["feature"][~whole]] = rows["n"][~whole]
+        model = naive_bayes(counts, seen)
+    return model
+
+
 def _score(model: NaiveBayes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) if t else 0.0 for t in batch.column("tokens").to_pylist()]
+            scores = [model.score(t, s) if t or s else -math.inf for t, s in _rows(batch)]
             kept = [batch.column(c) for c in ("page_id", "host", "path", "rule", "rule_verdict")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "rule_verdict", "log_odds"])
 
@@ -190,6 +216,7 @@ def _score(model: NaiveBayes):
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) of each row of (page_id, url)."""
+    bounded_batches(pages.sparkSession)
     host, path = parse_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     pattern, verdict = rule_columns(F.col("host"), F.col("path"), rules)
@@ -202,10 +229,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     by_host = labels.join(split, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
     segmented = written(hosts.join(by_host, "host", "left").select("host", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words")), "url-hosts")
 
-    joined = urls.join(segmented, "host").withColumn("tokens", F.concat("host_words", F.transform(_tokens(F.col("path")), lambda t: F.concat(F.lit("/"), t))))
-    bad = F.arrays_overlap("host_words", F.array(*map(F.lit, SEED_WORDS)))
-    examples = joined.where("host != ''").select("tokens", bad.alias("bad"), F.lit(1).cast("long").alias("n"))
-    model = train(examples)
-    scored = joined.select("page_id", "host", "path", "rule", "rule_verdict", "tokens").mapInArrow(_score(model), "page_id long, host string, path string, rule string, rule_verdict string, log_odds double")
+    seeds = F.array(*map(F.lit, SEED_WORDS))
+    joined = urls.join(segmented, "host").withColumns(
+        {
+            "tokens": F.concat(F.filter("host_words", lambda w: ~F.array_contains(seeds, w)), F.transform(_tokens(F.col("path")), lambda t: F.concat(F.lit("/"), t))),
+            "seeds": F.size(F.filter("host_words", lambda w: F.array_contains(seeds, w))),
+        }
+    )
+    model = train(joined.where("host != ''").select("tokens", "seeds"))
+    scored = joined.select("page_id", "host", "path", "rule", "rule_verdict", "tokens", "seeds").mapInArrow(_score(model), "page_id long, host string, path string, rule string, rule_verdict string, log_odds double")
     own = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "log_odds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -235,6 +236,67 @@ def test_quality_counts(docs, rows):
     assert found == expected
 
 
+def divergence(p, q):
+    """The Jensen-Shannon distance of two lists of shares, in plain loops."""
+    toward = lambda x: sum(a * math.log2(a / ((a + b) / 2)) for a, b in zip(x, q if x is p else p, strict=True) if a > 0)
+    return math.sqrt(max(0.0, (toward(p) + toward(q)) / 2))
+
+
+def plain_verdicts(rows):
+    """kept of each (text, lang) by plain loops over characters and words."""
+    common = list(dict.fromkeys(quality.COMMON_WORDS))
+
+    def shares(text):
+        kinds = ["lower", "upper", "wide", "digit", "space", "stop", "symbol", "other"]
+        counts = collections.Counter()
+        for c in text:
+            o = ord(c)
+            counts["wide" if o > 127 else "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "space" if c in " \t\n\r\x0b\x0c" else "stop" if c in ".,;:'\"-()?" else "symbol" if c in "#*$%&|<>" else "other"] += 1
+        words = [(w[:-1] if len(w) > 1 and w[-1] in ".," else w).translate(FOLD) for w in WORD.findall(text)]
+        found = [words.count(x) for x in common]
+        return [counts[k] / len(text) for k in kinds], [x / len(words) for x in [*found, len(words) - sum(found)]]
+
+    base = [quality_base(t) for t, _ in rows]
+    held = [not failed and n >= quality.MIN_HISTOGRAM_WORDS for failed, n in base]
+    both = [shares(t) if h else None for (t, _), h in zip(rows, held, strict=True)]
+
+    def mean(chosen, least):
+        langs = collections.defaultdict(list)
+        for i in chosen:
+            langs[rows[i][1]].append(both[i])
+        return {k: tuple([sum(x) / len(v) for x in zip(*(s[j] for s in v), strict=True)] for j in (0, 1)) for k, v in langs.items() if len(v) >= least}
+
+    first = mean([i for i, h in enumerate(held) if h], quality.MIN_LANGUAGE_DOCUMENTS)
+    far = lambda i, refs: min(divergence(both[i][0], c) + divergence(both[i][1], w) for c, w in refs.values()) > quality.LIMIT + quality.NOISE_WORDS / base[i][1]
+    near = [i for i, h in enumerate(held) if h and rows[i][1] in first and not far(i, first)]
+    second = first | mean(near, 1)
+    return [not failed and not (held[i] and rows[i][1] in second and far(i, second)) for i, (failed, _) in enumerate(base)]
+
+
+def quality_base(text):
+    w = WORD.findall(text)
+    windows = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    again = {i + k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    return len(w) < 20 or 100 * len(again) > 30 * len(w), len(w)
+
+
+def test_quality_verdicts_against_plain_loops(spark):
+    rng = random.Random(12)
+    stock = {"en": "the of and to in house river Table window, garden. letter music it's 1990".split(), "fr": "le la les des maison rivière table fenêtre, jardin. lettre musique dans pour".split()}
+    rows = []
+    for i in range(240):
+        lang = ("en", "fr")[i % 2]
+        words = [rng.choice(stock[lang]) for _ in range(rng.randrange(15, 160))]
+        for k in range(len(words)):  # growing shares of junk
+            if rng.random() < (i // 12) / 22:
+                words[k] = rng.choice(["#$%&", "XKCD", "99817", "zq" * 9, "|<>|"])
+        rows.append((" ".join(words), lang))
+    table = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    found = {r.doc_id: r.kept for r in quality.judge(table).collect()}
+    expected = plain_verdicts(rows)
+    assert [found[i] for i in range(len(rows))] == expected and 30 < sum(expected) < 230
+
+
 def test_quality_rejects_symbol_junk_and_keeps_prose(spark):
     rng = random.Random(2)
     words = "the of and to in house river table window garden letter music".split()
@@ -278,6 +340,26 @@ def test_mixing_meets_targets_and_repeats(docs, rows):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_prefers_long_documents_of_a_source(spark):
+    # Two sources of equal weight: the large one is taken in part, the small one more than whole.
+    data = [(i, "long", "w " * 40) for i in range(1500)] + [(5000 + i, "long", "w " * 10) for i in range(6000)] + [(20000 + i, "small", "w " * 10) for i in range(5000)]
+    table = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(4)
+    found = mixing.mix(table, weights=(1.0, 1.0)).where("source_size = 120000").collect()
+    share = {size: sum(r.taken > 0 for r in found if r.size == size) / sum(r.size == size for r in found) for size in (10, 40)}
+    assert abs(sum(r.taken for r in found) - found[0].target) <= 20 and all(r.taken <= r.size for r in found)
+    # The inclusion odds of long documents are four times those of short ones.
+    odds = {size: p / (1 - p) for size, p in share.items()}
+    assert 3 < odds[40] / odds[10] < 5.3
+
+
+def test_mixing_leaves_columns_of_any_name(spark):
+    names = ("mix_size", "mix_source", "mix_u", "mix_copies", "doc", "source_plan", "col")
+    rows = [(i, "a b c" if i % 3 else None, *[f"{n}{i}" for n in names]) for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted(map(tuple, mixing.mix_documents(table).collect())) == rows  # one source of all words
+    assert mixing.mix_documents(table.limit(0)).count() == 0
+
+
 def test_language_model(docs, rows):
     found = language_model.score(docs, block_bytes=3000).collect()
     fold = lambda d: (zlib.crc32(str(d).encode()) if d is not None else 0) % 5
@@ -292,6 +374,37 @@ def test_language_model(docs, rows):
     assert language_model.score(docs.limit(0)).count() == 0
 
 
+def test_language_model_scores_against_plain_counts(docs, rows):
+    fold = lambda d: (zlib.crc32(str(d).encode()) if d is not None else 0) % 5
+    tokens = [([*WORD.findall((t or "").translate(FOLD)), None], fold(d)) for d, t in rows]
+
+    def counted(folds):
+        one, two = collections.Counter(), collections.Counter()
+        for w, f in tokens:
+            if f in folds:
+                one.update(w)
+                two.update(itertools.pairwise([None, *w]))  # a document's start is the end before it
+        return one, two, sum(one.values()), len(one)
+
+    bucket = lambda c: min(c.bit_length(), language_model.CONTEXT_BUCKETS - 1)
+    parts = lambda a, b, m: (m[1][a, b] / max(m[0][a], 1), m[0][b] / m[2], 1 / (m[3] + 1))
+    every, held = set(range(5)) - {language_model.HELD_OUT_FOLD}, language_model.DELETED_FOLD
+    kept = counted(every - {held})
+    weights = {i: [1 / 3] * 3 if i else [0, 0.5, 0.5] for i in range(language_model.CONTEXT_BUCKETS)}
+    events = [(bucket(kept[0][a]), parts(a, b, kept)) for w, f in tokens if f == held for a, b in itertools.pairwise([None, *w])]
+    for _ in range(language_model.EM_ROUNDS):
+        sums = {i: [1.0 if i else 0.0, 1.0, 1.0] for i in weights}
+        for i, p in events:
+            joint = [x * y for x, y in zip(weights[i], p, strict=True)]
+            sums[i] = [s + x / sum(joint) for s, x in zip(sums[i], joint, strict=True)]
+        weights = {i: [x / sum(s) for x in s] for i, s in sums.items()}
+    model = counted(every)
+    expected = sorted(sum(math.log10(sum(x * y for x, y in zip(weights[bucket(model[0][a])], parts(a, b, model), strict=True))) for a, b in itertools.pairwise([None, *w])) for w, _ in tokens)
+    found = sorted(r.score for r in language_model.score(docs).collect())
+    # Held-out cells are kept in steps of 1/RATIO_STEPS octaves.
+    assert np.allclose(found, expected, rtol=0.01, atol=0.01), np.abs(np.array(found) - expected).max()
+
+
 def test_mixture_weights_find_the_better_part():
     cells = np.array([[5, 160, 40, 1000], [5, 0, 40, 10]])
     weights = language_model.learn_weights(cells)
@@ -322,6 +435,16 @@ def test_nearest_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(table.where("vec_id in (20, 21)")).collect()] == [(20, 21)]
 
 
+def test_scores_of_double_vectors_are_exact(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((300, 8)) * np.where(np.arange(300) % 50 == 0, 1e100, 1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(table, k=5).collect()
+    for r in found:
+        assert math.isclose(r.score, float(x[r.query_id] @ x[r.vec_id]), rel_tol=1e-12)
+    assert len(found) == 15 * 5 and all(r.vec_id % 50 == 0 for r in found if r.rank == 1)
+
+
 def test_url_rules_and_verdicts(spark):
     given = [
         (1, "http://a.Example.COM/en/7x?q", "a.example.com", "/en/7x", "example.com/en/7", "allow"),
@@ -354,6 +477,45 @@ def test_segmentation():
     assert urls.segment("qzx", p, -9.0) == ["qzx"] and urls.segment("", p, -9.0) == []
 
 
+def test_segmentation_against_all_splits():
+    rng = random.Random(2)
+    known = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): -rng.random() * 9 for _ in range(14)}
+    unknown = -11.0
+    price = lambda w: known[w] if w in known else unknown - len(w) * math.log(10)
+    for _ in range(60):
+        label = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
+        splits = [[label[i:j] for i, j in itertools.pairwise([0, *cuts, len(label)])] for k in range(len(label)) for cuts in itertools.combinations(range(1, len(label)), k)]
+        best = max(sum(map(price, words)) for words in splits)
+        assert math.isclose(sum(map(price, urls.segment(label, known, unknown))), best)
+
+
+def test_verdicts_of_naive_bayes_that_no_seed_word_decides(spark):
+    data = [f"http://casino-lucky-{w}.example.org/spin/{i}" for i in range(40) for w in ("star", "wheel")]
+    data += [f"http://luckywheel.example.org/spin/{i}" for i in range(3)]
+    data += [f"http://adult-education-school.example.org/course/{i}" for i in range(3)]
+    data += [f"http://education-school{i % 5}.example.org/course/{i}" for i in range(120)]
+    table = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    found = {r.page_id: r for r in urls.judge(table).collect()}
+    verdicts = {}
+    for i, url in enumerate(data):
+        verdicts.setdefault(found[i].host, set()).add(found[i].verdict)
+    assert verdicts["casino-lucky-star.example.org"] == {"block"} and verdicts["education-school0.example.org"] == {"allow"}
+    assert verdicts["luckywheel.example.org"] == {"block"}  # no seed word
+    assert verdicts["adult-education-school.example.org"] == {"allow"}  # a seed word
+    # The same scores by plain counting.
+    words = {i: [w for w in re.findall("[a-z]+", found[i].host.replace("luckywheel", "lucky-wheel"))] for i in found}
+    seeds = {i: sum(w in urls.SEED_WORDS for w in words[i]) for i in found}
+    tokens = {i: [w for w in words[i] if w not in urls.SEED_WORDS] + ["0"] * len(re.findall("[0-9]+", found[i].host)) + ["/" + t for t in re.findall("[a-z]+", found[i].path)] + ["/0"] for i in found}
+    labels, score = {i: seeds[i] > 0 for i in found}, {}
+    for _ in range(urls.ROUNDS):
+        counts = [collections.Counter(t for i in found if labels[i] == c for t in tokens[i]) for c in (False, True)]
+        seen, vocabulary = collections.Counter(labels.values()), len(counts[0] | counts[1])
+        weight = lambda t: math.log((counts[1][t] + 0.1) / (counts[1].total() + 0.1 * (vocabulary + 1))) - math.log((counts[0][t] + 0.1) / (counts[0].total() + 0.1 * (vocabulary + 1)))  # noqa: B023, E731
+        score = {i: math.log(seen[True] / seen[False]) + sum(map(weight, tokens[i])) + seeds[i] * urls.SEED_LOG_ODDS for i in found}
+        labels = {i: score[i] > 0 for i in found}
+    assert all(math.isclose(found[i].log_odds, score[i], abs_tol=1e-6) for i in found)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="ad-free"><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="box"><p>Shared box</p></div><!-- x --><article><h1>Title {0} &amp; more</h1><p><b>First   {0}<br>line<p>Second &#233;&nbsp;x</p>
 <div class="comments"><p>nice</p></div><form><input><label>Mail</label></form></article><aside>side</aside><footer>&copy; foot</footer></body></html>"""
@@ -375,7 +537,34 @@ def test_html_extraction(spark):
 
 
 def test_text_removed_by_one_rule_only():
-    assert html.extract(html.parse('<main><div id="related-posts">r</div><p hidden>h</p><p style="display: none">n</p><p>kept</p></main>')) == "kept"
+    assert html.extract(html.parse('<main><div id="related-posts">r</div><p hidden>h</p><p style="display: none">n</p><p>kept</p></main>'))[0] == "kept"
+
+
+def test_classes_that_only_mention_what_is_dropped():
+    for opening in ('<article class="post has-sidebar" id="social-policy">', '<div class="no-sidebar ad-free">', '<div class="content-with-sidebar"><main>'):
+        assert html.extract(html.parse(f"<body>{opening}<p>kept</p>"))[0] == "kept"
+    for opening in ('<div class="site-nav">', '<div class="x cookie-banner">', '<div id="comments">'):
+        assert html.extract(html.parse(f"<body>{opening}<p>gone</p></div><p>kept</p>"))[0] == "kept"
+
+
+SITE = """<body><div class="m1"><ul><li>Start<li>Shop</ul></div><div class="m2">Find us in {1}</div><div><h2>Part {0}</h2><p>Text {0} of many</p><p>Ends {0}</p></div><div class="m3"><p>All rights</p></div></body>"""
+
+
+def test_templates_are_found_by_counting_alone(spark, monkeypatch):
+    # No kind, role or class tells these menus and notices; a notice of two wordings is on half of the pages each.
+    pages = [(i, f"http://big.example.org/{i}", SITE.format(i, "Rome")) for i in range(30)] + [(100 + i, f"http://few.example.org/{i}", SITE.format(i, "Rome")) for i in range(3)]
+    pages += [(200, "http://big.example.org/0", SITE.format(0, "Rome"))]  # a copy, which counts once
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r for r in html.extract_text(table).collect()}
+    for i in range(30):
+        assert (found[i].text, found[i].n_templates) == (f"Part {i}\nText {i} of many\nEnds {i}", 3)
+    assert found[100].n_templates == 0 and found[100].text.startswith("Start\nShop\nFind us in Rome")
+    # The counts by brute force.
+    counts = collections.Counter(k for i in range(30) for k in html.subtree_keys(html.parse(SITE.format(i, "Rome")))[0])
+    template = {k for k, n in counts.items() if n >= html.MIN_PAGES and n >= html.MIN_SHARE * 30}
+    assert all(html.extract(html.parse(SITE.format(i, "Rome")), template) == (found[i].text, 3) for i in range(30))
+    monkeypatch.setattr(html, "MIN_PAGES", 1000)  # without the method
+    assert all(r.text.startswith("Start\nShop") for r in html.extract_text(table).collect())
 
 
 def test_shared_headings_and_phrases_of_div_pages_are_kept():
@@ -383,4 +572,4 @@ def test_shared_headings_and_phrases_of_div_pages_are_kept():
     roots = [html.parse(page.format(i)) for i in range(8)]
     shared = set.intersection(*(html.subtree_keys(r)[0] for r in roots))
     assert len(shared) == 3  # the first div, its line and the heading, but not the inline note
-    assert [html.extract(r, shared) for r in roots] == [f"Abstract\nNote that page {i} says {i} things" for i in range(8)]
+    assert [html.extract(r, shared)[0] for r in roots] == [f"Abstract\nNote that page {i} says {i} things" for i in range(8)]
