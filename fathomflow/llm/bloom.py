@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textops import mix64
+from .workers import tidy
 
 HASHES = 4
 BITS_PER_ID = 12
@@ -25,6 +26,7 @@ def _positions(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def _set_bits(bits: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
@@ -44,6 +46,7 @@ def may_hold(rows: DataFrame, column: str, ids: DataFrame, count: int, invert: b
     words[masks["word"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64).view(np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:

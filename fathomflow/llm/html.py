@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .storage import bounded_batches, written
 from .urls import parse_url
+from .workers import tidy
 
 #: A subtree outside of an article is template when this many different pages of a host hold it, and this share.
 MIN_PAGES = 4
@@ -249,6 +250,7 @@ def _scoped(host: str, key: int, content: bool) -> int:
 _SUBTREES = "page_hash long, host_key long, key long, content int, body long"
 
 
+@tidy
 def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each subtree of each page with a hash of the whole page; a row with content -1 counts the page itself."""
     for batch in batches:
@@ -279,6 +281,7 @@ _RESULT = "page_id long, url string, text string, n_chars long, n_templates long
 
 
 def _extract(broadcast):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = broadcast.value if broadcast is not None else None
         for batch in batches:

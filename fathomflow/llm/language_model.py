@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .storage import bounded_batches, written
 from .textops import mix64, pair_hashes, span_hashes, text_chunks, word_spans
+from .workers import tidy
 
 FOLDS = 5
 #: Documents of this fold are not learned from; those of the deleted fold set the weights.
@@ -52,6 +53,7 @@ def _assign_blocks(block_bytes: int):
     """Numbers the rows of a partition in blocks of about block_bytes, the same each time. Documents of the deleted fold have
     blocks of their own, with odd numbers."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = [0, 0], [0, 0]
         for batch in batches:
@@ -173,6 +175,7 @@ def _block_counts(block: int, rows: list[pa.RecordBatch], buckets: int) -> Itera
 def _count_blocks(buckets: int, block_bytes: int):
     assign = _assign_blocks(block_bytes)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[int, tuple[int, list[pa.RecordBatch]]] = {}  # one of even and one of odd number
         for batch in assign(batches):
@@ -208,6 +211,7 @@ def _answer(blocks: list[int], bucket: int, keys: list[np.ndarray], kept: list[n
         )
 
 
+@tidy
 def _answer_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, blocks, keys, kept, deleted = None, [], [], [], []
     for batch in batches:

@@ -40,6 +40,7 @@ from .bloom import may_hold
 from .graph import components
 from .storage import bounded_batches, unused, written
 from .textops import pair_hashes, span_hashes, text_chunks, word_spans
+from .workers import tidy
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
@@ -89,6 +90,7 @@ def _key() -> Column:
 
 
 def _sketch(width: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
@@ -149,6 +151,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(width: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
@@ -187,6 +190,7 @@ def _links(u: list[int], v: list[int], shared: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, shared)], names=["u", "v", "shared"])
 
 
+@tidy
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each star's centre, which comes first, with the members behind it."""
     centre, values = None, np.zeros(0, np.int64)
@@ -235,6 +239,7 @@ def _block_links(members: list[tuple[int, int, np.ndarray]], left: list[tuple[in
     return _links(*out)
 
 
+@tidy
 def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by block, its members first: links of the left-over classes with them."""
     block, members, left = None, [], []

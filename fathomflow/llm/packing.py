@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .storage import bounded_batches
 from .tokens import DEFAULT_TOKENIZER, crc32, encoded_rows, tokenizer_path
+from .workers import keeping
 
 CAPACITY = 2048
 END_ID = 1
@@ -70,6 +71,7 @@ def padding_of(used: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pieces(path: str, end_id: int, capacity: int):
+    @keeping("encoders", "powers")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []

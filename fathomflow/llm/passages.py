@@ -36,6 +36,7 @@ from .bloom import may_hold
 from .storage import bounded_batches, written
 from .suffixes import runs, window_classes
 from .textops import span_hashes, text_chunks
+from .workers import tidy
 
 LENGTH = 200
 #: Gram lengths of the levels' window keys, as shares of the window.
@@ -101,6 +102,7 @@ _SPANS = "key long, tid long, first int, last int"
 def _emit_spans(length: int):
     gram = _gram(0, length)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
@@ -145,6 +147,7 @@ def _cut_pieces(length: int):
             if s is not None:
                 place, first, last = s
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = _Rows(_PIECES), 0
@@ -226,6 +229,7 @@ def _sorted_batches(length: int, gram: int | None, alone: bool):
     """Rows come by place. Without a gram, whole places are joined up to the size of one sort; with one, rows are joined as
     they come. Places of one piece are left out unless windows may repeat in it (``alone``)."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[int, int, bytes]] = []
         here: list[tuple[int, int, bytes]] = []
@@ -332,6 +336,7 @@ def _without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _remove(length: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, digests = [], [], []
@@ -367,6 +372,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, place_bytes: int = PL
 def _cut_texts(length: int):
     """Gives each document (a struct) its text without the ranges' bytes."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column("doc"), []

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .storage import bounded_batches, unused, written
 from .textops import Chunk, code_points, pair_hashes, span_hashes, text_chunks, word_spans
+from .workers import tidy
 
 # Frequent function words of four languages, in the order of their usual frequency.
 COMMON_WORDS = (
@@ -174,6 +175,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(matrix.astype(np.int32).ravel()))
 
 
+@tidy
 def _feature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in text_chunks(batch.column("text")):
@@ -256,6 +258,7 @@ def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 def _sums(references: References | None):
     """Sums of distributions by language over good documents of a partition; with references, only over kept ones."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
         for batch in batches:
@@ -299,6 +302,7 @@ def learn_references(table: DataFrame) -> References:
 
 
 def _judge(references: References):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -317,6 +321,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def _keep(references: References, columns: list[str], lang: str):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):

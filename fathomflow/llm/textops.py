@@ -13,6 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from .workers import cached
+
 CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
@@ -33,6 +35,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _POWERS: dict[str, np.ndarray] = {}
+cached("powers", _POWERS.clear)
 
 
 def _powers(n: int, inverse: bool) -> np.ndarray:
@@ -45,7 +48,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
         steps[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(steps, dtype=np.uint64)
-        if len(have) <= 4 * CHUNK_BYTES:
+        if len(have) <= 2 * CHUNK_BYTES + 1:
             _POWERS[key] = have
     return have[:n]
 

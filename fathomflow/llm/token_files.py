@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .storage import bounded_batches, new_path
 from .tokens import DEFAULT_TOKENIZER, crc32, encoded_rows, tokenizer_path
+from .workers import keeping, tidy
 
 END_ID = 2
 STRIPE_BYTES = 16 << 20
@@ -33,6 +34,7 @@ _SCHEMA = "doc_id long, part int, seq long, n_tokens long, ids array<int>"
 
 
 def _tokenise(path: str, end_id: int):
+    @keeping("encoders", "powers")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = None, 0
         for batch in batches:
@@ -96,6 +98,7 @@ def read_token_files(spark: SparkSession, path: str, where: Column | None = None
     return rows if where is None else rows.where(where)
 
 
+@tidy
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")

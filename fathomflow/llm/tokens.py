@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from .textops import FOLD, SPACE, span_hashes
+from .workers import cached
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Text bytes that one block holds; long texts are cut at white space.
@@ -47,6 +48,7 @@ def _byte_symbols() -> dict[int, int]:
 
 _BYTE_SYMBOLS = _byte_symbols()
 _encoders: dict[str, WordEncoder] = {}
+cached("encoders", _encoders.clear)
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:

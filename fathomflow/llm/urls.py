@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, written
+from .workers import tidy
 
 
 @dataclass(frozen=True)
@@ -167,6 +168,7 @@ class NaiveBayes:
 
 
 def _count(model: NaiveBayes | None):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
         for batch in batches:
@@ -205,6 +207,7 @@ def train(examples: DataFrame, rounds: int = ROUNDS) -> NaiveBayes:
 
 
 def _score(model: NaiveBayes):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(t, s) if t or s else -math.inf for t, s in _rows(batch)]
