@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fathomflow.llm import ann, html, language_model, mixing, near_dedup, passages, quality, suffixes, urls
+from fathomflow.llm import ann, graph, html, language_model, mixing, near_dedup, passages, quality, suffixes, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,6 +113,27 @@ def test_rows_without_ids_are_linked_and_kept_once(spark, tmp_path):
     assert len(kept) == 4 and {(1, b), (None, None), (None, " ")} < set(kept)
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(300)] + [(5000, 1000 + i) for i in range(50)] + [(rng.randrange(6000, 6200), rng.randrange(6000, 6200)) for _ in range(150)] + [(7, 7), (8000, 8000)]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    expected = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
+    table = spark.createDataFrame(links, "u long, v long").repartition(3)
+    for limit in (graph.LOCAL_LINKS, 0, 100):
+        found = list(map(tuple, graph.components(table, limit).collect()))
+        assert len(found) == len(set(found)) and set(found) == expected
+    assert graph.components(table.limit(0)).count() == 0
+
+
 def covered(rows, length):
     texts = {(t or "").encode() for _, t in rows}
     weight = collections.Counter((t or "").encode() for _, t in rows)
