@@ -147,7 +147,6 @@ def _usage(spark, sf_dir) -> DataFrame:
 
 
 query("A24_cost_by_model", f"SELECT model, round(sum(round(prompt / 1e6 * i + completion / 1e6 * o, 6)), 4) AS cost, sum(prompt + completion)::BIGINT AS tokens, count(*) AS calls FROM ({_PRICED}) GROUP BY ROLLUP (model)")(lambda s, d: rounded(_usage(s, d).rollup("model").agg(F.sum("cost").alias("cost"), F.sum(F.col("prompt") + F.col("completion")).alias("tokens"), F.count("*").alias("calls")), 4))
-query("A26_top_types", "SELECT l_returnflag, l_linestatus, n, r::INTEGER AS r FROM (SELECT l_returnflag, l_linestatus, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_returnflag, l_linestatus) AS r FROM lineitem GROUP BY 1, 2) WHERE r <= 5")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "l_returnflag", "l_linestatus"))).where("r <= 5"))
 query("A27_pass_rate", "SELECT round(avg(quality), 6) AS pass_rate, round(avg(1.0 - toxic), 6) AS mean_score, count(*) AS n FROM labels")(lambda s, d: rounded(table(s, d, "labels").agg(F.avg("quality").alias("pass_rate"), F.avg(1.0 - F.col("toxic")).alias("mean_score"), F.count("*").alias("n"))))
 query("A29_nearest_rank", "SELECT event_type, p::INTEGER AS percent, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), (SELECT unnest([50, 95, 99]) AS p) WHERE i = least(floor(n * p / 100), n - 1)")(lambda s, d: records.nearest_rank(table(s, d, "events"), "value", [50, 95, 99], ["event_type"]))
 query("A30_histogram", "SELECT b::DOUBLE AS bound, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (SELECT unnest([1, 5, 10, 30, 100]) AS b) UNION ALL SELECT NULL, count(value) FROM events")(lambda s, d: records.histogram(table(s, d, "events"), "value", [1, 5, 10, 30, 100]))
