@@ -12,14 +12,18 @@ def _past():
     return Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def growth(ret: Column) -> Column:
-    """Compounded growth as an aggregate; null where a loss is total."""
-    return F.when(F.min(ret) > -1, F.exp(F.sum(F.ln(F.greatest(1 + ret, F.lit(1e-300))))))
+def growth(ret: Column, over=None) -> Column:
+    """The product of 1 + ret, as an aggregate or over a window: zero after a total loss, and negative after a larger one."""
+    part = (lambda c: c) if over is None else (lambda c: c.over(over))
+    x = 1 + ret
+    size = F.exp(F.coalesce(part(F.sum(F.when(x != 0, F.ln(F.abs(x))))), F.lit(0.0)))
+    sign = F.when(part(F.count_if(x < 0)) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(part(F.count_if(x == 0)) > 0, 0.0).otherwise(sign * size)
 
 
 def equity_curve(returns: DataFrame) -> DataFrame:
     """Adds ``equity`` (starting from 1) and ``drawdown`` (at most 0)."""
-    curve = returns.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(_past())))
+    curve = returns.withColumn("equity", growth(F.col("ret"), _past()))
     return curve.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(_past()), F.lit(1.0)) - 1)
 
 
@@ -34,7 +38,7 @@ def performance(returns: DataFrame, periods: int = PERIODS) -> DataFrame:
     )
     after = curve.join(F.broadcast(totals.select("_trough")), F.col("_i") >= F.col("_trough")).agg(F.count("*").alias("_after"), F.count_if(F.col("drawdown") >= 0).alias("_healed"))
     both = totals.join(F.broadcast(after))
-    annual = F.when((F.col("n") > 0) & F.col("_growth").isNotNull(), F.pow("_growth", F.lit(periods) / F.col("n")) - 1).otherwise(0.0)
+    annual = F.when((F.col("n") > 0) & (F.col("_growth") >= 0), F.pow("_growth", F.lit(periods) / F.col("n")) - 1).otherwise(0.0)
     volatility = F.coalesce(F.col("_std"), F.lit(0.0)) * periods**0.5
     sharpe = F.when(volatility < 1e-12, 0.0).otherwise(F.try_divide(F.col("_mean") * periods, volatility))
     no_loss = F.when(F.col("_mean") > 0, F.col("_mean") * periods**0.5 / 1e-8).otherwise(0.0)
@@ -61,7 +65,7 @@ def monthly_matrix(monthly: DataFrame) -> DataFrame:
 def rolling_performance(returns: DataFrame, window: int = 63, periods: int = PERIODS) -> DataFrame:
     """(date, annual_return, annual_volatility, sharpe) over trailing full windows."""
     trailing = Window.orderBy("date").rowsBetween(-(window - 1), 0)
-    grown = F.exp(F.sum(F.ln(1 + F.col("ret"))).over(trailing))
+    grown = growth(F.col("ret"), trailing)
     spread = F.stddev_samp("ret").over(trailing) * periods**0.5
     rows = returns.select("date", F.count("*").over(trailing).alias("_n"), (F.pow(grown, F.lit(periods / window)) - 1).alias("annual_return"), spread.alias("annual_volatility"), (F.avg("ret").over(trailing) * periods / (spread + 1e-8)).alias("sharpe"))
     return rows.where(F.col("_n") >= window).drop("_n")

@@ -33,6 +33,13 @@ def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def add_papers(table: DataFrame, papers: DataFrame, status: str = "new") -> DataFrame:
+    """The table of papers with new ones (paper_id, place and further columns) of the given status: known ids stay as they are, and of
+    several new rows of an id the first place counts."""
+    first = first_by(papers, ["paper_id"], [F.col("place")]).drop("place").withColumn("status", F.lit(status))
+    return insert_new(table, first, "paper_id")
+
+
 def update(table: DataFrame, changes: DataFrame, key: str, skip_empty: bool = False) -> DataFrame:
     """The table with the non-null (or non-empty) values of changes (key and some columns) put in."""
     fields = [c for c in changes.columns if c != key]

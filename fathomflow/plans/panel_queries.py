@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
-from ..operators import evaluation, factors, metrics, strategy
+from ..operators import evaluation, factors, metrics, reports, strategy
 from ..sources import market
 from .registry import on_panel, query, rounded
 
@@ -117,6 +117,10 @@ binned AS (SELECT p.*, CASE WHEN len(e) > 1 THEN greatest(len(list_filter(e, lam
 _GROUPS = """daily AS (SELECT date, bin, avg(forward) AS ret FROM binned GROUP BY date, bin),
 returns AS (SELECT d.date, g AS "group", coalesce(max(ret) FILTER (bin = g), 0) AS ret FROM daily d CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS g) GROUP BY d.date, g)"""
 
+#: The two-sided p-value of a t statistic, by a rational approximation of the complementary error function.
+_K = "(1 / (1 + 0.3275911 * abs({0}) / sqrt(2)))"
+_P = f"({_K} * (0.254829592 + {_K} * (-0.284496736 + {_K} * (1.421413741 + {_K} * (-1.453152027 + {_K} * 1.061405429)))) * exp(-abs({{0}}) * abs({{0}}) / 2))"
+
 
 def _rows(spark, sf_dir) -> DataFrame:
     changed = formula.compute(_market(spark, sf_dir), "pct_change(close, 21)", "factor")
@@ -129,7 +133,7 @@ query("W04_expanding_std", on_panel("SELECT date, code, round(coalesce(stddev_sa
 query("P04_pair_drop", on_panel("SELECT date, code, round(factor, 6) + 0.0 AS factor, round(forward, 6) + 0.0 AS forward FROM pairs", _FACTOR, _PAIRS))(lambda s, d: rounded(evaluation.pairs(_rows(s, d)).select("date", "code", "factor", "forward")))
 query("A01_ic_series", on_panel("SELECT date, n, round(ic, 6) + 0.0 AS ic FROM series", _FACTOR, _PAIRS, _IC))(lambda s, d: rounded(evaluation.ic_series(_rows(s, d)).select("date", "n", "ic")))
 query("A02_rank_ic", on_panel("SELECT date, round(rank_ic, 6) + 0.0 AS rank_ic FROM series", _FACTOR, _PAIRS, _IC))(lambda s, d: rounded(evaluation.ic_series(_rows(s, d)).select("date", "rank_ic")))
-query("A03_ic_summary", on_panel("SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, count(*) AS n, round(avg((ic > 0)::INT), 6) AS positive_ratio, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 6) AS t_stat FROM series WHERE ic IS NOT NULL", _FACTOR, _PAIRS, _IC))(lambda s, d: rounded(evaluation.ic_summary(evaluation.ic_series(_rows(s, d)))))
+query("A03_ic_summary", on_panel("SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, count(*) AS n, round(avg((ic > 0)::INT), 6) AS positive_ratio, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 6) AS t_stat, round(" + _P.format("avg(ic) / (stddev_samp(ic) / sqrt(count(*)))") + ", 6) AS p_value FROM series WHERE ic IS NOT NULL", _FACTOR, _PAIRS, _IC))(lambda s, d: rounded(evaluation.ic_summary(evaluation.ic_series(_rows(s, d)))))
 query("A04_quantile_returns", on_panel('SELECT date, "group", round(ret, 6) + 0.0 AS ret FROM returns', _FACTOR, _PAIRS, _BINNED.format("pairs", 10), _GROUPS))(lambda s, d: rounded(evaluation.quantile_returns(_rows(s, d))))
 query("A05_quantile_summary", on_panel('SELECT "group", round(avg(ret), 6) + 0.0 AS mean_ret, count(*) AS n FROM returns GROUP BY 1', _FACTOR, _PAIRS, _BINNED.format("pairs", 10), _GROUPS))(lambda s, d: rounded(evaluation.quantile_summary(evaluation.quantile_returns(_rows(s, d)))))
 query("A06_long_short", on_panel('SELECT date, round(max(ret) FILTER ("group" = 5) - max(ret) FILTER ("group" = 1), 6) + 0.0 AS spread FROM returns GROUP BY date', _FACTOR, _PAIRS, _BINNED.format("pairs", 10), _GROUPS))(lambda s, d: rounded(evaluation.long_short(evaluation.quantile_returns(_rows(s, d)))))
@@ -196,3 +200,47 @@ query("G07_trades", on_panel("SELECT date, round(m / 2, 6) AS turnover, round(m
     lambda s, d: rounded(strategy.trades((lambda r: strategy.target_weights(r, strategy.StrategyConfig()).join(F.broadcast(r.agg(F.max("date").alias("last"))), F.col("date") < F.col("last")).drop("last"))(_rows(s, d)), None, strategy.StrategyConfig()))
 )
 query("G10_strategy", on_panel("SELECT date, round(ret, 6) + 0.0 AS ret, round(turnover, 6) AS turnover, round(cost, 6) AS cost, round(equity, 6) AS equity, round(equity / greatest(max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) - 1, 6) + 0.0 AS drawdown FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM (SELECT d.date, coalesce(g, 0) - coalesce(m * 15 / 1e4, 0) AS ret, coalesce(m / 2, 0) AS turnover, coalesce(m * 15 / 1e4, 0) AS cost FROM (SELECT DISTINCT date FROM rows) d LEFT JOIN gross USING (date) LEFT JOIN moved USING (date)))", _FACTOR, _REBALANCE.format("month"), _CHOSEN, _HELD))(lambda s, d: rounded(strategy.run_strategy(_rows(s, d))))
+
+
+# Reports.
+
+_RECORD = """ahead AS (""" + " UNION ALL ".join(f"SELECT date, factor, {h} AS horizon, lead(close, {h}) OVER (PARTITION BY code ORDER BY date) / close - 1 AS forward FROM rows" for h in evaluation.HORIZONS) + """),
+by_date AS (SELECT horizon, date, CASE WHEN count(*) >= 3 AND stddev_samp(factor) * stddev_samp(forward) > 0 THEN covar_samp(factor, forward) / (stddev_samp(factor) * stddev_samp(forward)) END AS ic FROM ahead WHERE factor IS NOT NULL AND forward IS NOT NULL GROUP BY 1, 2)"""
+_TURN = """tb AS (SELECT p.date, p.code, CASE WHEN len(e) > 1 THEN greatest(len(list_filter(e, lambda x: x < factor)), 1) END AS bin FROM rows p JOIN (SELECT date, list_sort(list_distinct(quantile_cont(factor, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM rows WHERE factor IS NOT NULL GROUP BY date HAVING count(*) >= 10) USING (date) WHERE factor IS NOT NULL),
+tops AS (SELECT date, coalesce(list(code) FILTER (bin = 5), []) AS top FROM tb GROUP BY date),
+turns AS (SELECT d.date, coalesce(t.turnover, 0) AS turnover FROM (SELECT DISTINCT date FROM rows) d LEFT JOIN (
+  SELECT date, CASE WHEN len(coalesce(before, [])) = 0 THEN 1.0 ELSE 1 - len(list_intersect(top, before)) / greatest(len(top), 1) END AS turnover FROM (SELECT date, top, lag(top) OVER (ORDER BY date) AS before FROM tops)) t USING (date))"""
+_STATS = "stats AS (SELECT avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n, avg((ic > 0)::INT) AS win, avg(rank_ic) AS rank_ic FROM series WHERE ic IS NOT NULL)"
+_MEANS = 'means AS (SELECT avg(ret) FILTER ("group" = 1) * 100 AS low, avg(ret) FILTER ("group" = 5) * 100 AS high FROM returns)'
+
+query(
+    "A34_evaluation_record",
+    on_panel(
+        "SELECT 'momentum' AS factor_name, round(m, 6) AS ic, round(m / sd, 6) AS icir, round(rank_ic, 6) AS rank_ic, round(high, 6) AS top_return, round(low, 6) AS bottom_return, round(high - low, 6) AS top_minus_bottom, round(win, 6) AS win_rate, round(m / (sd / sqrt(n)), 6) AS t_stat, round("
+        + _P.format("m / (sd / sqrt(n))")
+        + ", 6) AS p_value, n AS data_points, (SELECT round(avg(turnover), 6) FROM turns) AS mean_turnover, "
+        + ", ".join(f"(SELECT round(avg(ic), 6) FROM by_date WHERE horizon = {h}) AS decay_{h}" for h in evaluation.HORIZONS)
+        + ", CASE WHEN n > 10 THEN 'ok' ELSE 'insufficient_data' END AS status FROM stats, means",
+        _FACTOR, _PAIRS, _IC, _BINNED.format("pairs", 10), _GROUPS, _RECORD, _TURN, _STATS, _MEANS,
+    ),
+)(lambda s, d: rounded(reports.evaluation_record(_rows(s, d), "momentum")))
+
+
+@query(
+    "A35_report_summary",
+    on_panel(
+        "SELECT 2 AS n_factors, round((SELECT avg(m) FROM (SELECT avg(ic) AS m FROM series HAVING count(ic) > 10 UNION ALL SELECT avg(ic) FROM series5 HAVING count(ic) > 10)), 4) AS mean_ic, round(exp(sum(ln(1 + ret))) - 1, 6) AS total_return, count(*) AS n FROM daily_ret",
+        _FACTOR, _PAIRS, _IC, *[x.replace("rows", "rows5").replace("pairs", "pairs5").replace("series AS", "series5 AS").replace("21", "5") for x in (_FACTOR, _PAIRS, _IC)], "daily_ret AS (SELECT date, avg(ret) / 10 AS ret FROM market GROUP BY date)",
+    ),
+)
+def a35(spark, sf_dir):
+    short = evaluation.with_forward(formula.compute(_market(spark, sf_dir), "pct_change(close, 5)", "factor"), 5).select("date", "code", "close", "factor", "forward")
+    records = reports.evaluation_record(_rows(spark, sf_dir), "momentum").unionByName(reports.evaluation_record(short, "short momentum"))
+    return rounded(reports.report_summary(records, metrics.performance(_series(spark, sf_dir))).select("n_factors", "mean_ic", "total_return", "n"))
+
+
+_CHARTS = """SELECT 'equity' AS chart, date::VARCHAR AS x, '' AS series, round(equity, 6) AS y FROM curve UNION ALL SELECT 'drawdown', date::VARCHAR, '', round(drawdown, 6) + 0.0 FROM curve
+UNION ALL SELECT 'month', lpad(m::VARCHAR, 2, '0'), yr::VARCHAR, round(coalesce(r, 0) * 100, 2) + 0.0 FROM (SELECT DISTINCT year(date) AS yr FROM curve) CROSS JOIN (SELECT unnest(range(1, 13)) AS m) LEFT JOIN (SELECT year(date) AS yr, month(date) AS m, exp(sum(ln(1 + ret))) - 1 AS r FROM curve GROUP BY 1, 2) USING (yr, m)
+UNION ALL SELECT 'ic', date::VARCHAR, 'momentum', round(ic, 4) + 0.0 FROM fseries WHERE ic IS NOT NULL UNION ALL SELECT 'quantile', 'Q' || "group", 'momentum', round(avg(ret), 6) + 0.0 FROM returns GROUP BY 2
+UNION ALL SELECT 'decay', horizon::VARCHAR, 'momentum', round(avg(ic), 6) + 0.0 FROM by_date WHERE ic IS NOT NULL GROUP BY 2"""
+query("A36_chart_series", on_panel(_CHARTS, _SERIES, _CURVE, _FACTOR, _PAIRS, _IC.replace("series AS", "fseries AS"), _BINNED.format("pairs", 10), _GROUPS, _RECORD))(lambda s, d: reports.chart_series(_series(s, d), _rows(s, d), "momentum"))

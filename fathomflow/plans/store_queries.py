@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..operators import records, retrieval, rules
+from ..operators import catalog, records, retrieval, rules
 from .registry import query, rounded, table
 
 _DUCK_TOKENS = r"regexp_extract_all({0}, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+')"
@@ -47,7 +47,9 @@ def _cosine(spark, sf_dir) -> DataFrame:
 
 
 def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return retrieval.top_k(_bm25(spark, sf_dir), 20), retrieval.top_k(_cosine(spark, sf_dir), 20)
+    chunk_terms, query_terms, _ = _terms(spark, sf_dir)
+    vectors = retrieval.cosine_top_k(retrieval.hash_vectors(query_terms, "query_id"), retrieval.hash_vectors(chunk_terms, "chunk_id"), 20)
+    return retrieval.top_k(_bm25(spark, sf_dir), 20), vectors
 
 
 query("R01_source_id", "SELECT page_id, CASE WHEN length(url) > 0 THEN substr(md5(url), 1, 16) ELSE substr(md5(substr(html, 1, 32)), 1, 16) END AS source_id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", retrieval.source_id(F.lit(""), F.col("url"), F.col("html")).alias("source_id")))
@@ -168,24 +170,35 @@ query("Q03_backtest_issues", "SELECT l_orderkey, l_linenumber, l_partkey, list_f
 # Phrases as formulas, further aggregates, and record checks.
 
 
-def _case(x: str) -> str:
-    """The ordered phrases and words as DuckDB SQL; patterns with numbers in their places."""
-    quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    parts = [f"WHEN contains({x}, {quoted(p)}) THEN {quoted(f)}" for p, f in normalize.PHRASES.items()]
-    for pattern, shape in normalize.NUMBERED:
-        number = f"regexp_extract({x}, {quoted(pattern)}, 1)"
-        if "动量" in pattern:
-            number = f"(CASE WHEN try_cast({number} AS BIGINT) <= 30 THEN try_cast({number} AS BIGINT) ELSE try_cast({number} AS BIGINT) * 21 END)::VARCHAR"
-        before, after = shape.split("{}")
-        parts.append(f"WHEN regexp_matches({x}, {quoted(pattern)}) THEN {quoted(before)} || {number} || {quoted(after)}")
-    parts += [f"WHEN {' OR '.join(f'contains(lower({x}), {quoted(w)})' for w in words)} THEN {quoted(f)}" for words, f in normalize.WORDS]
-    return f"CASE {' '.join(parts)} END"
+# By hand: for each kind of phrase what it must become; {0} is the number in front of it.
+_EXPECTED = {
+    "日动量": "CASE WHEN n <= 30 THEN 'pct_change(close, ' || n || ')' ELSE 'pct_change(close, ' || n * 21 || ')' END",
+    " 天 收益": "'pct_change(close, ' || n || ')'",
+    "周波动": "'rolling_std(returns, ' || n || ')'",
+    "日均线": "'rolling_mean(close, ' || n || ')'",
+    " LOG price": "'log(close)'",
+    "活跃度": "'volume'",
+    "超额收益": "'returns - rolling_mean(returns, 252)'",
+    " nothing": "NULL",
+    "月动量": "CASE WHEN n IN (1, 11, 21, 31, 41, 51, 61) THEN 'pct_change(close, 21)' WHEN n % 10 = 3 THEN 'pct_change(close, 63)' WHEN n % 10 = 6 THEN 'pct_change(close, 126)' WHEN n % 100 = 12 THEN 'pct_change(close, 252)' WHEN n <= 30 THEN 'pct_change(close, ' || n || ')' ELSE 'pct_change(close, ' || n * 21 || ')' END",
+    " 下行风险": "NULL",
+}
+_KINDS = list(_EXPECTED)
+_FORMULA = "cs_rank(returns) - cs_rank(volume)"
+
+
+@query(
+    "F20_phrase_to_formula",
+    "SELECT event_id, CASE event_id % 12 " + " ".join(f"WHEN {i} THEN {_EXPECTED[k]}" for i, k in enumerate(_KINDS)) + f" WHEN 10 THEN '{_FORMULA}' END AS formula FROM (SELECT event_id, event_id % 70 AS n FROM events)",
+)
+def f20(spark, sf_dir):
+    kind = F.col("event_id") % 12
+    phrase = F.when(kind == 10, _FORMULA)
+    for i, k in enumerate(_KINDS):
+        phrase = phrase.when(kind == i, F.concat((F.col("event_id") % 70).cast("string"), F.lit(k)))
+    return table(spark, sf_dir, "events").select("event_id", normalize.normalized(phrase).alias("formula"))
 
 
-_PHRASE_SQL = "(event_id % 70)::VARCHAR || CASE event_id % 9 WHEN 0 THEN '日动量' WHEN 1 THEN ' 天 收益' WHEN 2 THEN '周波动' WHEN 3 THEN '日均线' WHEN 4 THEN ' LOG price' WHEN 5 THEN '活跃度' WHEN 6 THEN '超额收益' WHEN 7 THEN ' nothing' ELSE '月动量' END"
-query("F20_phrase_to_formula", f"SELECT event_id, {_case('p')} AS formula FROM (SELECT event_id, {_PHRASE_SQL} AS p FROM events)")(
-    lambda s, d: table(s, d, "events").select("event_id", F.expr("concat(cast(event_id % 70 as string), case event_id % 9 when 0 then '日动量' when 1 then ' 天 收益' when 2 then '周波动' when 3 then '日均线' when 4 then ' LOG price' when 5 then '活跃度' when 6 then '超额收益' when 7 then ' nothing' else '月动量' end)").alias("p")).select("event_id", normalize.from_phrase(F.col("p")).alias("formula"))
-)
 query("A25_call_cost", f"SELECT model, prompt, completion, round(prompt / 1e6 * i + completion / 1e6 * o, 6) AS cost FROM ({_PRICED})")(lambda s, d: _usage(s, d).select("model", "prompt", "completion", "cost"))
 query("A32_dashboard", "SELECT c_mktsegment, max(abs(c_acctbal)) AS best, count(*) AS n FROM customer GROUP BY 1")(lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.max(F.abs("c_acctbal")).alias("best"), F.count("*").alias("n")))
 query("J04_date_intersection", "SELECT DISTINCT o_orderdate::DATE AS date FROM orders INTERSECT SELECT DISTINCT l_shipdate::DATE FROM lineitem")(lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).intersect(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"))))
@@ -197,3 +210,41 @@ query("Q10_compaction", "SELECT conv_id, turn, role FROM conversations QUALIFY r
 )
 query("Q11_token_estimate", f"SELECT conv_id, (sum(len({_DUCK_TOKENS.replace('{0}', 'text')}) + 4) + 3)::BIGINT AS tokens FROM conversations GROUP BY 1")(lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg((F.sum(F.size(retrieval.tokens(F.col("text"))) + 4) + 3).alias("tokens")))
 query("Q09_abstract_cut", "SELECT doc_id, CASE WHEN instr(lower(text), 'the ') > 0 THEN substr(text, instr(lower(text), 'the '), 1500) ELSE substr(text, 1, 1500) END AS abstract FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.instr(F.lower("text"), "the ") > 0, F.substring(F.col("text"), F.instr(F.lower("text"), "the "), F.lit(1500))).otherwise(F.substring("text", 1, 1500)).alias("abstract")))
+
+
+# Retrieval as a whole, and the catalog of factors.
+
+query("R15_retrieve", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')}, {_RRF} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank FROM rrf JOIN documents ON doc_id = chunk_id WHERE lang = 'en' AND round(score, 9) >= 0.014 QUALIFY rank <= 5")(
+    lambda s, d: rounded(retrieval.retrieve(*_terms(s, d), top=5, min_score=0.014, keep=table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))))
+)
+query(
+    "R13_rerank",
+    f"WITH {_BM25}, {_VECTORS}, wide_bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 50), wide_cos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cos_ QUALIFY rank <= 50), "
+    "fused AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM wide_bm UNION ALL SELECT query_id, chunk_id FROM wide_cos)) SELECT query_id, chunk_id, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, chunk_id)::INTEGER AS rank FROM fused JOIN documents ON doc_id = chunk_id QUALIFY rank <= 5",
+)(lambda s, d: rounded(retrieval.retrieve(*_terms(s, d), top=5, rerank=lambda c: c.drop("score").join(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score")), "chunk_id").select("query_id", "chunk_id", "score"))))
+query("R20_filter_keys", "SELECT 'lang' AS key, array_to_string(list_sort(list(DISTINCT lang)), ',') AS found FROM documents UNION ALL SELECT 'source', array_to_string(list_sort(list(DISTINCT source)), ',') FROM documents")(lambda s, d: retrieval.filter_values(table(s, d, "documents"), ["lang", "source"]).withColumn("found", F.array_join("found", ",")))
+query("R08_l2", "SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(-list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) + 0.0 AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(-list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) DESC, e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5")(
+    lambda s, d: (lambda v: rounded(retrieval.dense_top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 5, metric="l2")))(table(s, d, "embeddings"))
+)
+
+_NAMED = "CASE id % 9 WHEN 0 THEN 'Return_3M adjusted' WHEN 1 THEN '1月动量强度' WHEN 2 THEN 'roe' WHEN 3 THEN 'my factor' WHEN 4 THEN '' WHEN 5 THEN '盈利' WHEN 6 THEN 'turnover' WHEN 7 THEN 'ReturnX' ELSE 'momentum of news' END"
+_NEEDED = "CASE id % 5 WHEN 0 THEN '毛利率' WHEN 1 THEN '净利润增长, 新闻' WHEN 2 THEN 'LLM scores' ELSE '' END"
+
+
+@query(
+    "B08_feasibility",
+    # By hand: names decide first, then aliases; those of three letters or fewer count in names only.
+    f"""SELECT id, match IS NOT NULL AS feasible, match AS matching_factor, multimodal FROM (SELECT id, id % 5 IN (1, 2) AS multimodal,
+  CASE id % 9 WHEN 0 THEN 'return_3m' WHEN 1 THEN 'return_1m' WHEN 2 THEN 'ROE' WHEN 6 THEN 'turnover_1m' WHEN 8 THEN 'return_1m' ELSE CASE WHEN id % 5 = 1 THEN 'profit_growth_yoy' END END AS match FROM (SELECT o_orderkey AS id FROM orders))""",
+)
+def b08(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select("id", F.expr(_NAMED).alias("factor_name"), F.expr(_NEEDED).alias("data_needed"), F.lit("").alias("definition"))
+    return catalog.feasibility(wanted).select("id", "feasible", "matching_factor", "multimodal")
+
+
+query("B06_catalog", "SELECT * FROM (VALUES ('momentum', 5), ('quality', 3), ('efficiency', 1), ('growth', 2)) t(category, n)")(lambda s, d: catalog.catalog(s).groupBy("category").agg(F.count("*").cast("int").alias("n")))
+query("U06_new_papers", "SELECT CASE WHEN length(url) > 0 THEN url ELSE 'manual:' || substr(md5(page_id::VARCHAR), 1, 16) END AS paper_id, substr(html, 1, 2000) AS summary, CASE WHEN page_id % 3 = 0 THEN 'read' ELSE 'new' END AS status FROM pages QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY page_id % 3 <> 0, page_id) = 1")(
+    lambda s, d: (lambda p: records.add_papers(records.first_by(p.where("page_id % 3 = 0").withColumn("status", F.lit("read")), ["paper_id"], [F.col("page_id")]).select("paper_id", "summary", "status"), p.where("page_id % 3 <> 0").withColumnRenamed("page_id", "place")))(
+        table(s, d, "pages").select("page_id", F.when(F.length("url") > 0, F.col("url")).otherwise(F.concat(F.lit("manual:"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 16))).alias("paper_id"), F.substring("html", 1, 2000).alias("summary"))
+    )
+)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from fathomflow.functions import formula
-from fathomflow.operators import evaluation, factors, records, retrieval, rules
+from fathomflow.operators import evaluation, factors, metrics, records, retrieval, rules
 from fathomflow.sources import market
 
 
@@ -52,7 +54,17 @@ def test_perfect_factor_has_a_coefficient_of_one(spark):
     assert all(abs(r.ic - 1) < 1e-9 and abs(r.rank_ic - 1) < 1e-9 for r in evaluation.ic_series(rows).collect())
     constant = rows.withColumn("factor", F.lit(1.0))
     assert all(r.ic is None for r in evaluation.ic_series(constant).collect())
-    assert abs(evaluation.p_value(1.96) - 0.05) < 1e-3
+    ts = [0.0, 0.3, -1.96, 2.5, 6.0]
+    found = spark.createDataFrame([(t,) for t in ts], "t double").select(evaluation.p_value(F.col("t")).alias("p")).collect()
+    assert all(abs(r.p - math.erfc(abs(t) / math.sqrt(2))) < 1e-6 for t, r in zip(ts, found, strict=True))
+
+
+def test_a_total_loss_stays_total(spark):
+    rows = spark.createDataFrame([(1, 0.1), (2, -1.0), (3, 0.1)], "date int, ret double")
+    assert [round(r.equity, 9) for r in metrics.equity_curve(rows).orderBy("date").collect()] == [1.1, 0.0, 0.0]
+    found = metrics.performance(rows).first()
+    assert (found.total_return, found.max_drawdown, found.annual_return) == (-1.0, -1.0, -1.0)
+    assert abs(metrics.performance(spark.createDataFrame([(1, -1.5), (2, -1.5)], "date int, ret double")).first().total_return + 0.75) < 1e-9
 
 
 @pytest.mark.parametrize("rule", ["a >", "(a > 1", "a > b", "1 > a", "a > 1 )", "a ! 1", ""])
