@@ -211,7 +211,7 @@ tops AS (SELECT date, coalesce(list(code) FILTER (bin = 5), []) AS top FROM tb G
 turns AS (SELECT d.date, coalesce(t.turnover, 0) AS turnover FROM (SELECT DISTINCT date FROM rows) d LEFT JOIN (
   SELECT date, CASE WHEN len(coalesce(before, [])) = 0 THEN 1.0 ELSE 1 - len(list_intersect(top, before)) / greatest(len(top), 1) END AS turnover FROM (SELECT date, top, lag(top) OVER (ORDER BY date) AS before FROM tops)) t USING (date))"""
 _STATS = "stats AS (SELECT avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n, avg((ic > 0)::INT) AS win, avg(rank_ic) AS rank_ic FROM series WHERE ic IS NOT NULL)"
-_MEANS = 'means AS (SELECT avg(ret) FILTER ("group" = 1) * 100 AS low, avg(ret) FILTER ("group" = 5) * 100 AS high FROM returns)'
+_MEANS = 'means AS (SELECT coalesce(avg(ret) FILTER ("group" = 1), 0) * 100 AS low, coalesce(avg(ret) FILTER ("group" = 5), 0) * 100 AS high FROM returns)'
 
 query(
     "A34_evaluation_record",
