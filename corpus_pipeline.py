@@ -1,6 +1,11 @@
 """A training corpus from documents: quality rules, near-duplicate removal, passage removal, mixing and packing.
 
 Each stage takes the documents that the one before kept and is written as Parquet before the next reads it.
+
+Defined results: null and empty texts fail the quality rules; of rows that share an id and a text one is kept, and of a group of
+near duplicates the least id (one row, where none has an id); texts that lose all their bytes stay as empty texts of size 0,
+which the mix drops unless their source is taken whole; missing lang and source columns count as null; columns of any name
+are left as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
