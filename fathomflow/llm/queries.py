@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, language_model, mixing, near_dedup, packing, passages, quality, sql, token_files, urls
+from . import ann, exact_dedup, html, infill, language_model, mixing, near_dedup, packing, passages, quality, source_audit, sql, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_pack_sequences, op2_extract_text, op3_near_duplicates, op4_nearest_vectors, op5_repeated_passages, op6_language_model, op7_quality_rules,
+    op8_mix_sources, op9_url_verdicts, op10_token_files, op11_source_divergence, op12_exact_duplicates, op13_fill_in_middle,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_extract_text, op3_near_duplicates, op4_nearest_vectors, op5_repeated_passages, op6_language_model, op7_quality_rules, op8_mix_sources, op9_url_verdicts, op10_token_files)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": sql.MIX}
+    return {"op8_mix_sources": sql.MIX, "op11_source_divergence": sql.AUDIT, "op12_exact_duplicates": sql.COPIES, "op13_fill_in_middle": sql.INFILL}

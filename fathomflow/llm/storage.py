@@ -9,11 +9,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch on its way to a Python worker (one row may hold more).
 BATCH_BYTES = "4m"
+#: Tables of short rows are broadcast up to this many rows.
+SMALL_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,3 +58,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Marks a table of short rows for broadcast where it has SMALL_ROWS rows at most; beyond, it is joined by shuffle."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
