@@ -5,8 +5,8 @@ exploded with their positions; running sums over them give each run its first un
 for two cuts by unit ordinal; the requests join the runs by ordinal, the offsets found are gathered per document, and the
 text is cut by substring. A cut's last step is taken inside of its run, which is short.
 
-Runs are exploded where the texts are read, and only their lengths are shuffled, 24 bytes for each 512 units; a text's lengths go to one
-window. Texts are shuffled once, to their offsets, which number as many as the texts do.
+Runs are exploded where the texts are read, and only their lengths are shuffled, 24 bytes a run; a text's lengths go to one window. Texts
+that are cut are shuffled once, to their offsets, which number as many as the texts do; texts that stay plain are not.
 
 Form and cuts depend on the seed and the document's id alone: of the eight-digit groups of the SHA-256 of ``seed:doc_id``, the
 first two are cuts modulo the number of units plus one, the third leaves PLAIN_PERCENT of documents as they are, the fourth
@@ -31,7 +31,7 @@ from .storage import written
 CODE_POINT = r"(?s:.)"
 WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+|[\x20\x09-\x0D]++"
 LINE = r"[^\n]*+\n|[^\n]++"
-RUN = 512
+RUN = 2048
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = "1"
 PLAIN_PERCENT = 10
@@ -43,11 +43,14 @@ def _digits(doc_id: Column, seed: str, place: int) -> Column:
     return F.conv(F.substring(digest, 8 * place - 7, 8), 16, 10).cast("long")
 
 
+def _units(text: Column, unit: str) -> Column:
+    return (F.char_length(text) if unit == CODE_POINT else F.regexp_count(text, F.lit(unit))).cast("long")
+
+
 def _runs(numbered: DataFrame, unit: str, run: int) -> DataFrame:
     """(row, doc_id, run, chars, first_unit, first_char, n) of each run of up to ``run`` units of a text that is not empty; n is the text's number of units."""
     matches = numbered.select("row", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:{unit}){{1,{run}}}+"), F.lit(0))).alias("run", "piece"))
-    units = F.char_length("piece") if unit == CODE_POINT else F.regexp_count("piece", F.lit(unit))
-    sized = matches.select("row", "doc_id", "run", units.cast("long").alias("units"), F.char_length("piece").cast("long").alias("chars"))
+    sized = matches.select("row", "doc_id", "run", _units(F.col("piece"), unit).alias("units"), F.char_length("piece").cast("long").alias("chars"))
     text = Window.partitionBy("row")
     before = text.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = sized.withColumns({"first_unit": F.sum("units").over(before) - F.col("units"), "first_char": F.sum("chars").over(before) - F.col("chars"), "n": F.sum("units").over(text)})
@@ -72,27 +75,33 @@ def _chars_before(cut: int, unit: str) -> Column:
     if unit == CODE_POINT:
         return begin + rest
     piece = F.substring(F.col("text"), begin.cast("int") + 1, F.col(f"chars{cut}").cast("int"))
-    return begin + F.char_length(F.regexp_extract(piece, F.concat(F.lit(f"^(?:{unit}){{"), rest.cast("string"), F.lit("}")), F.lit(0)))
+    return begin + F.char_length(F.call_function("regexp_extract", piece, F.concat(F.lit(f"^(?:{unit}){{"), rest.cast("string"), F.lit("}+")), F.lit(0)))
 
 
 def infill(docs: DataFrame, unit: str = CODE_POINT, run: int = RUN, seed: str = SEED) -> DataFrame:
-    """All columns of a table of files (doc_id, text), which is read twice, with n (units), form, prefix_chars, middle_chars (code points; null where plain) and output, the
+    """All columns of a table of files (doc_id, text), which is read three times, with n (units), form, prefix_chars, middle_chars (code points; null where plain) and output, the
     transformed text. Given columns of these names make place for the new ones; ``text`` stays."""
     names = ["n", "form", "prefix_chars", "middle_chars", "output"]
-    others = F.struct(*docs.columns).alias("doc")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), others)
-    offsets = _offsets(_runs(numbered.select("row", "doc_id", "text"), unit, run), run, seed)
-    joined = numbered.join(offsets.hint("shuffle_hash"), "row", "left")
+    text = F.coalesce("text", F.lit(""))
     third, fourth = (_digits(F.col("doc_id"), seed, i) % 100 for i in (3, 4))
-    marked = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
-    form = F.when((F.col("text") == "") | marked | (third >= 100 - PLAIN_PERCENT), "plain").when(fourth < SPM_PERCENT, "spm").otherwise("psm")
-    cut = joined.withColumns({"form": form, "at": _chars_before(0, unit).cast("int"), "to": _chars_before(1, unit).cast("int"), "n": F.coalesce("n", F.lit(0).cast("long"))})
-    text = F.col("text")
-    prefix, middle, suffix = F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + 1, F.col("to") - F.col("at")), F.substring(text, F.col("to") + 1, F.char_length(text))
-    output = F.when(F.col("form") == "plain", text).when(F.col("form") == "psm", F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)).otherwise(F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle))
-    told = {"prefix_chars": F.when(F.col("form") != "plain", F.col("at").cast("long")), "middle_chars": F.when(F.col("form") != "plain", (F.col("to") - F.col("at")).cast("long")), "output": output}
-    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in names]
-    return cut.withColumns(told).select(*kept, *names)
+    marked = text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE)
+    form = F.when((text == "") | marked | (third >= 100 - PLAIN_PERCENT), "plain").when(fourth < SPM_PERCENT, "spm").otherwise("psm")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", form.alias("form"), F.struct(*(c for c in docs.columns if c != "text")).alias("doc"))
+    kept = [(F.col("text") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c.lower() not in names]
+
+    plain = numbered.where("form = 'plain'")
+    none = F.lit(None).cast("long")
+    same = plain.select(*kept, _units(text, unit).alias("n"), "form", none.alias("prefix_chars"), none.alias("middle_chars"), text.alias("output"))
+
+    asked = numbered.where("form <> 'plain'")
+    offsets = _offsets(_runs(asked.select("row", "doc_id", "text"), unit, run), run, seed)
+    joined = asked.join(offsets.hint("shuffle_hash"), "row").withColumns({"at": _chars_before(0, unit).cast("int"), "to": _chars_before(1, unit).cast("int")})
+    text, at, to = F.col("text"), F.col("at"), F.col("to")
+    parts = joined.withColumns({"prefix": F.substring(text, F.lit(1), at), "middle": F.substring(text, at + 1, to - at), "suffix": F.substring(text, to + 1, F.char_length(text))})
+    psm, spm = F.concat(F.lit(PREFIX), "prefix", F.lit(SUFFIX), "suffix"), F.concat(F.lit(SUFFIX), "suffix", F.lit(PREFIX), "prefix")
+    output = F.concat(F.when(F.col("form") == "psm", psm).otherwise(spm), F.lit(MIDDLE), F.col("middle"))
+    cut = parts.select(*kept, "n", "form", at.cast("long").alias("prefix_chars"), (to - at).cast("long").alias("middle_chars"), output.alias("output"))
+    return same.unionByName(cut)
 
 
 def restored(form: Column, output: Column) -> Column:

@@ -54,41 +54,45 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, n
     return pc.dictionary_encode(flat.filter(some)), rows.filter(some).to_numpy()
 
 
-@tidy
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of the task's documents, summed as far as HELD_ROWS allow."""
-    groups: dict[tuple[str, str], int] = {}
-    held: list[pa.Table] = []
-
-    def summed() -> pa.Table:
-        found = pa.concat_tables(held).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-        return found.rename_columns(["group", "term", "n", "docs"])
-
-    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        names = list(groups)
-        langs, sources = pa.array([x for x, _ in names], pa.string()), pa.array([x for _, x in names], pa.string())
-        for batch in table.combine_chunks().to_batches(max_chunksize=50_000):
-            group = batch.column("group")
-            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), batch.column("term").cast(pa.string()), batch.column("n"), batch.column("docs")], names=["lang", "source", "term", "n", "docs"])
-
-    for batch in batches:
-        keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
-        group = np.array([groups.setdefault(key, len(groups)) for key in keys], np.int64)
-        for chunk in text_chunks(batch.column("text")):
-            terms, rows = _terms(chunk.data, chunk.offsets)
-            width = max(1, len(terms.dictionary))
-            pairs, n = np.unique(rows * width + terms.indices.to_numpy().astype(np.int64), return_counts=True)
-            places, at = np.unique(group[chunk.lo + pairs // width] * width + pairs % width, return_inverse=True)
-            total = np.zeros(len(places), np.int64)
-            np.add.at(total, at, n)
-            held.append(pa.table({"group": places // width, "term": terms.dictionary.take(pa.array(places % width)), "n": total, "docs": np.bincount(at, minlength=len(places))}))
-        if sum(map(len, held)) > HELD_ROWS:
-            held = [summed()]
-            if len(held[0]) > HELD_ROWS // 2:
-                yield from told(held[0])
-                held = []
-    if held:
-        yield from told(summed())
+def _counted(held_rows: int):
+    """A function that gives (lang, source, term, n, docs) of a task's documents, summed as far as so many rows allow."""
+
+    @tidy
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+            return found.rename_columns(["group", "term", "n", "docs"])
+
+        def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            names = list(groups)
+            langs, sources = pa.array([x for x, _ in names], pa.string()), pa.array([x for _, x in names], pa.string())
+            for batch in table.combine_chunks().to_batches(max_chunksize=50_000):
+                group = batch.column("group")
+                yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), batch.column("term").cast(pa.string()), batch.column("n"), batch.column("docs")], names=["lang", "source", "term", "n", "docs"])
+
+        for batch in batches:
+            keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+            group = np.array([groups.setdefault(key, len(groups)) for key in keys], np.int64)
+            for chunk in text_chunks(batch.column("text")):
+                terms, rows = _terms(chunk.data, chunk.offsets)
+                width = max(1, len(terms.dictionary))
+                pairs, n = np.unique(rows * width + terms.indices.to_numpy().astype(np.int64), return_counts=True)
+                places, at = np.unique(group[chunk.lo + pairs // width] * width + pairs % width, return_inverse=True)
+                total = np.zeros(len(places), np.int64)
+                np.add.at(total, at, n)
+                held.append(pa.table({"group": places // width, "term": terms.dictionary.take(pa.array(places % width)), "n": total, "docs": np.bincount(at, minlength=len(places))}))
+            if sum(map(len, held)) > held_rows:
+                held = [summed()]
+                if len(held[0]) > held_rows // 2:
+                    yield from told(held[0])
+                    held = []
+        if held:
+            yield from told(summed())
+
+    return run
 
 
 def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -96,7 +100,7 @@ def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFram
     bounded_batches(docs.sparkSession)
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     # Tasks have summed already, so terms are dealt once, and all that is asked of a term stands where it is.
-    counts = given.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counts = given.mapInArrow(_counted(HELD_ROWS), "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     sums = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     spread = sums.withColumns({"in_docs": F.sum("docs").over(term), "lang_n": F.sum("n").over(term), "first": F.col("source") == F.min("source").over(term)})
@@ -123,7 +127,7 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _baselines(rows: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _baselines(rows: pa.Table, crossing: bool, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs and their sums with terms that occur in one of them at most: V times the baseline, and counts that occur in either."""
     place, p, p0, m, kept = (rows.column(c).to_numpy() for c in ("place", "p", "p0", "m", "kept"))
     order = np.argsort(place, kind="stable")
@@ -134,13 +138,13 @@ def _baselines(rows: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray,
     for x in range(len(ids)):
         total[:, x] += np.add.reduceat(m * (_f(p, none[x]) - _f(p0, none[x])), begins)
         total[x, :] += np.add.reduceat(m * (_f(none[x], p) - _f(none[x], p0)), begins)
-    block = ids // BLOCK
+    block = ids // size
     asked = block[:, None] != block[None, :] if crossing else ids[:, None] != ids[None, :]
     a, b = np.nonzero(asked)
     return ids[a], ids[b], total[a, b]
 
 
-def _corrections(rows: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _corrections(rows: pa.Table, crossing: bool, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs that share terms of the bucket, and what their baselines lack for these."""
     term = pc.dictionary_encode(rows.column("term").combine_chunks()).indices.to_numpy()
     order = np.argsort(term, kind="stable")
@@ -158,7 +162,7 @@ def _corrections(rows: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray
         left = np.repeat(np.arange(begins[lo], begins[lo] + len(own)), own)
         within = np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
         right = np.repeat(np.repeat(begins[lo:hi], sizes[lo:hi]), own) + within
-        apart = place[left] // BLOCK != place[right] // BLOCK if crossing else left != right
+        apart = place[left] // size != place[right] // size if crossing else left != right
         left, right = left[apart], right[apart]
         more = _f(p[left], p[right]) - _f(p[left], p0[right]) - _f(p0[left], p[right]) + _f(p0[left], p0[right])
         np.add.at(total, (at[left], at[right]), more)
@@ -167,11 +171,15 @@ def _corrections(rows: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray
     return ids[a], ids[b], total[a, b]
 
 
-def _summed_pairs(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """(lang, a, b, value) of the pairs of two blocks (or of one with itself): their baselines, or what a bucket of terms adds."""
-    lang, one, other, bucket = (x.as_py() for x in key)
-    a, b, value = (_baselines if bucket < 0 else _corrections)(rows, one != other)
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "value": pa.array(value, pa.int64())})
+def _summed_pairs(size: int):
+    """A function that gives (lang, a, b, value) of the pairs of two blocks of so many sources, or of one with itself: their baselines, or what a bucket of terms adds."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lang, one, other, bucket = (x.as_py() for x in key)
+        a, b, value = (_baselines if bucket < 0 else _corrections)(rows, one != other, size)
+        return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "value": pa.array(value, pa.int64())})
+
+    return run
 
 
 def _pairs(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -188,7 +196,7 @@ def _pairs(counts: DataFrame, totals: DataFrame) -> DataFrame:
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / BLOCK))).alias("with")
     dealt = empty.unionByName(often).unionByName(shared).select("*", own.alias("own"), blocks)
     dealt = dealt.select("lang", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "bucket", "place", "p0", "p", "m", "kept", "term")
-    sums = dealt.groupBy("lang", "one", "other", "bucket").applyInArrow(_summed_pairs, "lang string, a int, b int, value long")
+    sums = dealt.groupBy("lang", "one", "other", "bucket").applyInArrow(_summed_pairs(BLOCK), "lang string, a int, b int, value long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     names = broadcast_if_small(totals.select("lang", "place", "source"))
     named = sums.join(names.withColumnRenamed("place", "a"), ["lang", "a"])
