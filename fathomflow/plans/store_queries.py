@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize
 from ..operators import catalog, records, retrieval, rules
+from ..sources.index_store import IndexStore
+from ..sources.shared import new_path, written
 from .registry import query, rounded, table
 
 _DUCK_TOKENS = r"regexp_extract_all({0}, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+')"
@@ -26,30 +28,25 @@ _RANK = "{0}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r
 _RRF = "rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM bm_r UNION ALL SELECT query_id, chunk_id, rank FROM cos__r) GROUP BY 1, 2)"
 
 
-def _terms(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _terms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    chunk_terms = retrieval.postings(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
-    return chunk_terms, retrieval.postings(items.withColumnRenamed("item_id", "query_id"), "query_id"), docs.agg(F.count("*").alias("n"))
+    return retrieval.postings(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), retrieval.postings(items.withColumnRenamed("item_id", "query_id"), "query_id")
 
 
-def _exact(scores: DataFrame) -> DataFrame:
-    """Scores rounded before ranking, so that the order of sums cannot change ranks."""
-    return scores.withColumn("score", F.round("score", 9))
+def _index(spark, sf_dir, vectors: bool = True) -> tuple[retrieval.Index, DataFrame]:
+    """An index of the documents, of which texts are read once, and the terms of the queries."""
+    store = IndexStore(spark, new_path(spark, "index"))
+    store.rebuild(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), stored=[], vectors=vectors)
+    return store.index(), written(retrieval.postings(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id"), "query-terms")
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
-    return _exact(retrieval.bm25(*_terms(spark, sf_dir)))
-
-
-def _cosine(spark, sf_dir) -> DataFrame:
-    chunk_terms, query_terms, _ = _terms(spark, sf_dir)
-    return _exact(retrieval.sparse_cosine(retrieval.hash_vectors(query_terms, "query_id"), retrieval.hash_vectors(chunk_terms, "chunk_id")))
+    """Scores rounded before ranking, so that the order of sums cannot change ranks."""
+    return retrieval.bm25(*_index(spark, sf_dir, vectors=False)).withColumn("score", F.round("score", 9))
 
 
 def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    chunk_terms, query_terms, _ = _terms(spark, sf_dir)
-    vectors = retrieval.cosine_top_k(retrieval.hash_vectors(query_terms, "query_id"), retrieval.hash_vectors(chunk_terms, "chunk_id"), 20)
-    return retrieval.top_k(_bm25(spark, sf_dir), 20), vectors
+    return retrieval.candidates(*_index(spark, sf_dir), 20)
 
 
 query("R01_source_id", "SELECT page_id, CASE WHEN length(url) > 0 THEN substr(md5(url), 1, 16) ELSE substr(md5(substr(html, 1, 32)), 1, 16) END AS source_id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", retrieval.source_id(F.lit(""), F.col("url"), F.col("html")).alias("source_id")))
@@ -74,7 +71,7 @@ def r08(spark, sf_dir):
 
 
 query("R10_bm25", f"WITH {_BM25}, {_RANK.format('bm')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm_r")(lambda s, d: rounded(retrieval.top_k(_bm25(s, d), 20)))
-query("T03_vector_top_k", f"WITH {_TERMS}, {_VECTORS}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM cos__r")(lambda s, d: rounded(retrieval.top_k(_cosine(s, d), 20)))
+query("T03_vector_top_k", f"WITH {_TERMS}, {_VECTORS}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM cos__r")(lambda s, d: rounded(_both(s, d)[1]))
 query("R11_rank_fusion", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')}, {_RRF} SELECT query_id, chunk_id, round(score, 6) AS score FROM rrf")(lambda s, d: rounded(retrieval.reciprocal_rank_fusion(*[(x, 1.0) for x in _both(s, d)])))
 query("R12_weighted_fusion", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')} SELECT query_id, chunk_id, round(sum(part), 10) AS score FROM (SELECT query_id, chunk_id, 0.7 * round(score, 9) AS part FROM cos__r UNION ALL SELECT query_id, chunk_id, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY query_id) * 0.3 FROM bm_r) GROUP BY 1, 2")(
     lambda s, d: rounded((lambda b, v: retrieval.weighted_fusion(v, b))(*_both(s, d)), 10)
@@ -215,13 +212,13 @@ query("Q09_abstract_cut", "SELECT doc_id, CASE WHEN instr(lower(text), 'the ') >
 # Retrieval as a whole, and the catalog of factors.
 
 query("R15_retrieve", f"WITH {_BM25}, {_VECTORS}, {_RANK.format('bm')}, {_RANK.format('cos_')}, {_RRF} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank FROM rrf JOIN documents ON doc_id = chunk_id WHERE lang = 'en' AND round(score, 9) >= 0.014 QUALIFY rank <= 5")(
-    lambda s, d: rounded(retrieval.retrieve(*_terms(s, d), top=5, min_score=0.014, keep=table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))))
+    lambda s, d: rounded(retrieval.retrieve(*_index(s, d), top=5, min_score=0.014, keep=table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))))
 )
 query(
     "R13_rerank",
     f"WITH {_BM25}, {_VECTORS}, wide_bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 50), wide_cos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cos_ QUALIFY rank <= 50), "
     "fused AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM wide_bm UNION ALL SELECT query_id, chunk_id FROM wide_cos)) SELECT query_id, chunk_id, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, chunk_id)::INTEGER AS rank FROM fused JOIN documents ON doc_id = chunk_id QUALIFY rank <= 5",
-)(lambda s, d: rounded(retrieval.retrieve(*_terms(s, d), top=5, rerank=lambda c: c.drop("score").join(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score")), "chunk_id").select("query_id", "chunk_id", "score"))))
+)(lambda s, d: rounded(retrieval.retrieve(*_index(s, d), top=5, rerank=lambda c: c.drop("score").join(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score")), "chunk_id").select("query_id", "chunk_id", "score"))))
 query("R20_filter_keys", "SELECT 'lang' AS key, array_to_string(list_sort(list(DISTINCT lang)), ',') AS found FROM documents UNION ALL SELECT 'source', array_to_string(list_sort(list(DISTINCT source)), ',') FROM documents")(lambda s, d: retrieval.filter_values(table(s, d, "documents"), ["lang", "source"]).withColumn("found", F.array_join("found", ",")))
 query("R08_l2", "SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(-list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) + 0.0 AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(-list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) DESC, e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5")(
     lambda s, d: (lambda v: rounded(retrieval.dense_top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 5, metric="l2")))(table(s, d, "embeddings"))
