@@ -37,7 +37,7 @@ def _index(spark, sf_dir, vectors: bool = True) -> tuple[retrieval.Index, DataFr
     """An index of the documents, of which texts are read once, and the terms of the queries."""
     store = IndexStore(spark, new_path(spark, "index"))
     store.rebuild(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), stored=[], vectors=vectors)
-    return store.index(), written(retrieval.postings(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id"), "query-terms")
+    return store.index(), written(retrieval.query_terms(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")), "query-terms")
 
 
 def _bm25(spark, sf_dir) -> DataFrame:

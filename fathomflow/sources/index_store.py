@@ -6,7 +6,8 @@ A segment holds one batch of chunks under ``segments/<table>/segment=<id>``:
 - ``postings``: (bucket, term, chunk_id, tf, length), in folders by bucket of the term, sorted by term, so a lookup reads its buckets and
   skips row groups of other terms; a common term's postings are split over files,
 - ``terms``: (term, df),
-- ``vectors``: (chunk_id, v), sparse vectors of hashed terms.
+- ``vectors``: (chunk_id, v), sparse vectors of hashed terms,
+- ``graphs``: navigable graphs of the chunks' own vectors, where they have a column ``vector``.
 
 An append writes a segment with the chunks that the index lacks, then one manifest file, whose rename is the commit: readers
 hold a version's list of segments and never see half of a batch. Of two writers that made the same version the first to be visible wins;
@@ -19,6 +20,7 @@ files staying where they are."""
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -27,11 +29,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import navigable, retrieval
 
 BUCKETS = 16
-TABLES = ("chunks", "postings", "terms", "vectors")
-_MANIFEST = "writer string, segments array<string>, chunks long, total_length long, mean_weight double, dim int, id_type string, vectors boolean"
+TABLES = ("chunks", "postings", "terms", "vectors", "graphs")
+_MANIFEST = "writer string, segments array<string>, chunks long, total_length long, mean_weight double, dim int, id_type string, vectors boolean, graphs boolean"
 
 
 class Conflict(RuntimeError):
@@ -47,6 +49,7 @@ class Snapshot(NamedTuple):
     dim: int
     id_type: str
     vectors: bool
+    graphs: bool
 
 
 def _distinct(chunks: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ class IndexStore:
         found = asked.orderBy(F.desc("version"), F.col("_metadata.file_modification_time"), "writer").first()
         if found is None or found.dim != self.dim:
             return None
-        return Snapshot(found.version, tuple(found.segments), found.chunks, found.total_length, found.mean_weight, found.dim, found.id_type, found.vectors)
+        return Snapshot(found.version, tuple(found.segments), found.chunks, found.total_length, found.mean_weight, found.dim, found.id_type, found.vectors, found.graphs)
 
     def table(self, name: str, snapshot: Snapshot) -> DataFrame:
         """A table of all segments of a version."""
@@ -94,6 +97,20 @@ class IndexStore:
             raise ValueError(f"no version {version or ''} of an index with {self.dim} dimensions in {self.root}")
         return retrieval.Index(self.table("postings", found), self.table("terms", found), self.table("vectors", found) if found.vectors else None, found.chunks, found.total_length, found.mean_weight, self.buckets)
 
+    def graphs(self, version: int | None = None) -> DataFrame:
+        """The navigable graphs of a version, for ``navigable.search``; shards of different segments are apart."""
+        found = self.snapshot(version)
+        if found is None or not found.graphs or not found.segments:
+            raise ValueError(f"no graphs in {self.root}")
+        parts = [self.spark.read.parquet(f"{self.root}/segments/graphs/segment={s}").withColumn("shard", (F.col("shard") * len(found.segments) + i).cast("int")) for i, s in enumerate(found.segments)]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def added(self, version: int) -> DataFrame:
+        """(chunk_id, version) of the chunks that a version brought."""
+        now, before = self.snapshot(version), self.snapshot(version - 1)
+        brought = [s for s in now.segments if before is None or s not in before.segments]
+        return self.table("chunks", now._replace(segments=tuple(brought))).select("chunk_id", F.lit(version).alias("version"))
+
     def append(self, chunks: DataFrame, stored: Sequence[str] | None = None, vectors: bool = True) -> Snapshot:
         """A version with the chunks (chunk_id, text and further columns) that the index lacks; ``stored`` names the columns kept besides the id (all, if not given). Without vectors it serves term weights alone."""
         base = self.snapshot()
@@ -123,9 +140,11 @@ class IndexStore:
         postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(path["terms"])
         if vectors:
             retrieval.vector_lists(postings, "chunk_id", self.dim).write.parquet(path["vectors"])
+        if "vector" in fresh.columns:
+            navigable.build((added if "vector" in columns else fresh).select("chunk_id", "vector")).write.parquet(path["graphs"])
 
         n = added.count()
-        whole = Snapshot((base.version if base else 0) + 1, (*segments, segment) if n else segments, n, 0, 0.0, self.dim, kind if n or not base else base.id_type, vectors and (not segments or base.vectors))
+        whole = Snapshot((base.version if base else 0) + 1, (*segments, segment) if n else segments, n, 0, 0.0, self.dim, kind if n or not base else base.id_type, vectors and (not segments or base.vectors), "vector" in fresh.columns and (not segments or base.graphs))
         kept = base.chunks if base and segments else 0
         lengths = postings.agg(F.sum("tf")).first()[0] or 0
         chunks, length = kept + n, (base.total_length if kept else 0) + lengths
@@ -133,7 +152,7 @@ class IndexStore:
         mean = df.agg(F.avg(retrieval.term_weight(F.lit(chunks), F.col("df")))).first()[0]
         whole = whole._replace(chunks=chunks, total_length=length, mean_weight=mean or 0.0)
         writer = uuid.uuid4().hex
-        row = self.spark.createDataFrame([(writer, list(whole.segments), whole.chunks, whole.total_length, whole.mean_weight, whole.dim, whole.id_type, whole.vectors)], _MANIFEST)
+        row = self.spark.createDataFrame([(writer, list(whole.segments), whole.chunks, whole.total_length, whole.mean_weight, whole.dim, whole.id_type, whole.vectors, whole.graphs)], _MANIFEST)
         row.coalesce(1).write.mode("append").json(f"{self.root}/manifest/version={whole.version}")
         if self.snapshot(whole.version) != whole:
             raise Conflict(f"version {whole.version} of {self.root} was committed by another writer")
