@@ -6,8 +6,9 @@ relaxed pruning keeps those that no kept neighbour is much nearer to; edges go b
 pruned again. A first pass prunes strictly, a second with ``ALPHA``. Queries, in groups, meet every shard's
 graph in a cogroup and run a beam search there; each query's best of all shards are merged.
 
-Inner products become distances by one more coordinate that gives all vectors of a shard the same norm. Graphs are of
-scaled single-precision vectors; scores are of the original ones, in double precision. A query goes to every shard, since
+Inner products become distances by one more coordinate that gives all vectors of a shard the same norm. Nodes that pruning cuts off get
+an edge from a near node, so all are reached, and beams are doubled until the nearest in them no longer change: a shard no larger than a
+beam is searched whole. Graphs are of scaled vectors, scores of the original ones, both in double precision. A query goes to every shard, since
 shards are dealt at random and each may hold some of its nearest: work grows as queries times shards, each at the
 logarithmic cost of a beam search, not as queries times rows.
 Every row is indexed; only ids beyond the k+1 least of equal vectors are left out, which no result can name.
@@ -35,36 +36,44 @@ DEGREE = 32
 #: Relaxation of the second pass, as a factor on distances.
 ALPHA = 1.2
 BUILD_BEAM = 48
-SEARCH_BEAM = 192
+SEARCH_BEAM = 320
 #: Nodes that one step of a beam search expands a query, and points or queries that go in step.
 EXPAND = 8
 BATCH = 256
+#: Nodes besides the entry that a search starts from, and places that a node keeps for nodes that lost their last edge.
+STARTS, SPARE = 8, 4
 
 
 class Graph:
     """A directed graph over the rows of a float32 matrix; absent neighbours are -1."""
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE):
-        norms = np.einsum("ij,ij->i", points, points, dtype=np.float64)
+        norms = np.einsum("ij,ij->i", points, points)
         lift = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
-        self.points = np.ascontiguousarray(np.hstack([points, lift[:, None]]), dtype=np.float32)
+        self.points = np.hstack([points, lift[:, None]])
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         self.degree = min(degree, max(1, len(points) - 1))
-        self.edges = np.full((len(points), self.degree), -1, np.int32)
+        self.edges = np.full((len(points), self.degree + SPARE), -1, np.int32)
         self.entry = int(np.argmin(((self.points - self.points.mean(axis=0)) ** 2).sum(axis=1))) if len(points) else -1
+        # Searches start at the longest vectors, too: they have the largest products with most targets.
+        longest = np.argsort(-norms, kind="stable")[:STARTS]
+        self.starts = np.unique(np.append(longest, self.entry)) if len(points) else longest
 
     def search(self, targets: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, squared distances up to a constant of the target) in the beams of targets, nearest first; -1 and inf fill up.
         The beams go on until all their nodes are expanded."""
         b, n = len(targets), len(self.points)
         nodes = np.full((b, beam), -1, np.int32)
-        far = np.full((b, beam), np.inf, np.float32)
+        far = np.full((b, beam), np.inf)
         done = np.ones((b, beam), bool)
         seen = np.zeros((b, n + 1), bool)  # one more column takes what -1 marks
         seen[:, -1] = True
-        nodes[:, 0], done[:, 0] = self.entry, False
-        far[:, 0] = self.norms[self.entry] - 2 * targets @ self.points[self.entry]
-        seen[:, self.entry] = True
+        starts = self.starts[:beam]
+        first = self.norms[starts] - 2 * targets @ self.points[starts].T
+        order = np.argsort(first, axis=1, kind="stable")
+        nodes[:, : len(starts)], done[:, : len(starts)] = starts[order], False
+        far[:, : len(starts)] = np.take_along_axis(first, order, axis=1)
+        seen[:, starts] = True
         while True:
             open_rank = np.cumsum(~done, axis=1)
             now = ~done & (open_rank <= expand)
@@ -108,7 +117,7 @@ class Graph:
         rows = np.arange(len(centres))
         alive = np.isfinite(own)
         chosen = np.full((len(centres), self.degree), -1, np.int32)
-        factor = np.float32(alpha * alpha)
+        factor = alpha * alpha
         for r in range(self.degree):
             some = alive.any(axis=1)
             if not some.any():
@@ -123,7 +132,7 @@ class Graph:
     def _insert(self, batch: np.ndarray, alpha: float, beam: int) -> None:
         found, _ = self.search(self.points[batch], beam, expand=4)
         kept = self.prune(batch, np.hstack([found, self.edges[batch]]), alpha)
-        self.edges[batch] = kept
+        self.edges[batch, : self.degree] = kept
         sources, targets = np.repeat(batch, self.degree), kept.ravel()
         sources, targets = sources[targets >= 0], targets[targets >= 0]
         order = np.argsort(targets, kind="stable")
@@ -134,29 +143,52 @@ class Graph:
             width = int(counts[part].max())
             at = first[part, None] + np.arange(width)
             incoming = np.where(np.arange(width) < counts[part, None], sources[np.minimum(at, len(sources) - 1)], -1)
-            have = self.edges[nodes[part]]
+            have = self.edges[nodes[part], : self.degree]
             free = (have >= 0).sum(axis=1) + counts[part] <= self.degree
             for i in np.flatnonzero(free):
                 own = np.union1d(have[i][have[i] >= 0], incoming[i][incoming[i] >= 0])
                 self.edges[nodes[lo + i], : len(own)] = own
             full = np.flatnonzero(~free)
             if len(full):
-                self.edges[nodes[lo + full]] = self.prune(nodes[lo + full], np.hstack([have[full], incoming[full]]), alpha)
+                self.edges[nodes[lo + full], : self.degree] = self.prune(nodes[lo + full], np.hstack([have[full], incoming[full]]), alpha)
 
     def build(self, beam: int = BUILD_BEAM, seed: int = 5) -> Graph:
         n = len(self.points)
         if n < 2:
             return self
         rng = np.random.default_rng(seed)
-        self.edges[:] = rng.integers(0, n, self.edges.shape)
+        self.edges[:, : self.degree] = rng.integers(0, n, (n, self.degree))
         self.edges[self.edges == np.arange(n)[:, None]] = self.entry
         self.edges[self.edges == np.arange(n)[:, None]] = -1
         for alpha in (1.0, ALPHA):
             order = rng.permutation(n)
             for lo in range(0, n, BATCH):
                 self._insert(order[lo : lo + BATCH], alpha, min(beam, n))
+        self._reach_all()
         return self
 
+    def _reached(self) -> np.ndarray:
+        """Which nodes a walk from the starts comes to."""
+        reached = np.zeros(len(self.points) + 1, bool)
+        now = self.starts
+        while len(now):
+            reached[now] = True
+            now = np.unique(self.edges[now])
+            now = now[(now >= 0) & ~reached[now]]
+        return reached[:-1]
+
+    def _reach_all(self) -> None:
+        """Gives every node that pruning has cut off an edge from the nearest node that has a spare place and is reached."""
+        while len(lost := np.flatnonzero(~self._reached())):
+            held = np.flatnonzero(self._reached() & (self.edges[:, -1] < 0))
+            part = lost[:BATCH]
+            # Every reached node brings SPARE places and every lost one needs one, so there always is a place.
+            far = self.norms[held] - 2 * self.points[part] @ self.points[held].T
+            for i, u in zip(np.argmin(far, axis=1), part, strict=True):
+                free = np.flatnonzero(self.edges[held[i]] < 0)
+                if len(free):
+                    self.edges[held[i], free[0]] = u
+
 
 _INDEX = "shard int, node int, entry boolean, vector array<{}>, ids array<long>, neighbours array<int>"
 
@@ -168,8 +200,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
 
 
 def _scaled(matrix: np.ndarray) -> np.ndarray:
-    """In single precision, with a largest component of 1: neither products nor very large components overflow."""
-    return (matrix / max(np.abs(matrix).max(initial=0), np.finfo(np.float64).tiny)).astype(np.float32)
+    """With a largest component of 1: products of very large components don't overflow."""
+    return matrix / max(np.abs(matrix).max(initial=0), np.finfo(np.float64).tiny)
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -205,6 +237,22 @@ def build_index(vectors: DataFrame, rows: int, k: int) -> DataFrame:
     return written(dealt.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(_build, schema), "vector-index")
 
 
+def _settled(graph: Graph, targets: np.ndarray, k: int, beam: int) -> list[np.ndarray]:
+    """The nodes of each target's beam, nearest first: beams are doubled until the k+1 nearest stay as they are, or the beam holds the shard."""
+    beam = min(beam, len(graph.points))
+    nodes, _ = graph.search(targets, beam)
+    found, open_ = [x[x >= 0] for x in nodes], np.arange(len(targets))
+    while beam < len(graph.points) and len(open_):
+        beam = min(2 * beam, len(graph.points))
+        nodes, _ = graph.search(targets[open_], beam)
+        wider = [x[x >= 0] for x in nodes]
+        moved = [i for i, x in enumerate(wider) if not np.array_equal(x[: k + 1], found[open_[i]][: k + 1])]
+        for i, x in zip(open_, wider, strict=True):
+            found[i] = x
+        open_ = open_[moved]
+    return found
+
+
 def _search(k: int, beam: int):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -218,12 +266,10 @@ def _search(k: int, beam: int):
         graph.entry = int(np.flatnonzero(index.column("entry").to_numpy())[0])
         members = index.column("ids").to_pylist()
         query_ids, targets = queries.column("vec_id").to_pylist(), _matrix(queries.column("vector"), np.float64)
-        lifted = np.hstack([_scaled(targets), np.zeros((len(targets), 1), np.float32)])
+        lifted = np.hstack([_scaled(targets), np.zeros((len(targets), 1))])
         out: tuple[list, list, list] = ([], [], [])
         for lo in range(0, len(targets), BATCH):
-            nodes, _ = graph.search(lifted[lo : lo + BATCH], min(beam, len(points)))
-            for i, found in enumerate(nodes):
-                found = found[found >= 0]
+            for i, found in enumerate(_settled(graph, lifted[lo : lo + BATCH], k, beam)):
                 scores = exact[found] @ targets[lo + i]
                 own, hits = query_ids[lo + i], []
                 # Nodes come nearest first; equal scores may be of different vectors, so all that reach the k-th count.

@@ -456,6 +456,34 @@ def test_nearest_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(table.where("vec_id in (20, 21)")).collect()] == [(20, 21)]
 
 
+@pytest.mark.parametrize("shape", ["gaussian", "mild norms", "wide norms"])
+def test_recall_of_nearest_where_norms_differ(spark, shape):
+    rng = np.random.default_rng(2)
+    n, size = (8000, 32) if shape == "gaussian" else (2000, 32)
+    x = rng.standard_normal((n, size))
+    if shape != "gaussian":
+        x *= np.exp((0.5 if shape == "mild norms" else 3) * rng.standard_normal((n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, hits = collections.defaultdict(list), 0
+    for r in ann.nearest(table).collect():
+        found[r.query_id].append(r.score)
+    for q in range(0, n, 20):
+        scores = np.delete(x @ x[q], q)
+        assert len(found[q]) == 20
+        hits += sum(s >= np.sort(scores)[-20] * (1 - 1e-12) - 1e-300 for s in found[q])
+    assert hits >= 0.95 * 20 * len(range(0, n, 20))
+
+
+def test_every_node_is_reached_and_small_tables_give_all_candidates(spark):
+    rng = np.random.default_rng(9)
+    for n in [*range(2, 40, 5), 900]:
+        graph = ann.Graph(rng.standard_normal((n, 4)) * np.exp(4 * rng.standard_normal((n, 1)))).build()
+        assert graph._reached().all()
+    rows = [(i, (rng.standard_normal(3) * np.exp(4 * rng.standard_normal())).tolist()) for i in range(40)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=60).collect()
+    assert collections.Counter(r.query_id for r in found) == {0: 39, 20: 39}
+
+
 def test_scores_of_double_vectors_are_exact(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 8)) * np.where(np.arange(300) % 50 == 0, 1e100, 1)[:, None]
