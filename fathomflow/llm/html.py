@@ -11,7 +11,7 @@ beyond it each page gets its own by a join.
 
 Defined results: a null page is empty; a page that ends anywhere is closed there; unclosed and stray tags are
 repaired; a null URL belongs to the empty host; null ids and repeated rows do not matter (equal pages of one
-host count once); other columns are not carried; an empty table gives no rows.
+host and pages with the same article count once); other columns are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ from .storage import bounded_batches, written
 from .urls import parse_url
 from .workers import tidy
 
-#: A subtree outside of an article is template when this many different pages of a host hold it, and this share.
+#: A subtree outside of an article is template when this many different pages of a host hold it, plus the binary logarithm of the host's
+#: pages: a notice of several wordings or the menu of a section is on many pages, not on most.
 MIN_PAGES = 4
-MIN_SHARE = 0.6
+#: Tags with a quote that never closes, after which quotes of a page no longer hide the end of a tag. Each costs a look at the rest of the page.
+OPEN_QUOTES = 32
 #: Inside of an article, where copies of texts recur too, most pages of a large host must hold it.
 MIN_ARTICLE_PAGES = 20
 MIN_ARTICLE_SHARE = 0.6
@@ -58,7 +60,11 @@ DROPPED_WORDS = frozenset(
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDS = frozenset("ul ol dl table article main section div body html td th aside nav footer header form blockquote".split())
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(>|\Z)|!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z))", re.S)
+_PLAIN = r"(?P<plain_close>/?)(?P<plain>[a-zA-Z][^\s/>]*)(?P<plain_attributes>[^>]*)(?P<plain_end>>|\Z)"
+_OTHERS = r"!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)"
+_TAG = re.compile(rf"<(?:(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?P<end>>|\Z)|{_OTHERS}|{_PLAIN})", re.S)
+#: The same without regard to quotes.
+_PLAIN_TAG = re.compile(rf"<(?:{_OTHERS}|{_PLAIN})", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: A class that begins or ends with one of these says what an element lacks, or what stands beside it.
@@ -77,20 +83,44 @@ class Element:
         self.tag, self.attributes, self.text, self.children, self.key, self.content = tag, attributes, text, [], 0, tag in CONTENT
 
 
-def _close(stack: list[Element], depth: int) -> None:
-    """Closes open elements down to a depth, hashing each subtree from its children's hashes."""
-    while len(stack) > depth:
-        element = stack.pop()
-        element.content = element.content or any(c.content for c in element.children)
-        parts = [str(c.key) for c in element.children if c.key]
-        if parts:
-            element.key = xxhash.xxh64_intdigest(f"{element.tag} {' '.join(parts)}") & _MASK
+class _Open:
+    """The open elements of a page; where the last one of a kind and the last bound stand is known without a walk."""
+
+    def __init__(self):
+        self.stack = [Element("")]
+        self.places: dict[str, list[int]] = {}
+        self.bounds = [0]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in _BOUNDS:
+            self.bounds.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, tag: str) -> int:
+        """The depth of the last open element of a kind, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, depth: int) -> None:
+        """Closes open elements down to a depth, hashing each subtree from its children's hashes."""
+        while len(self.stack) > depth:
+            element = self.stack.pop()
+            if self.stack:
+                self.places[element.tag].pop()
+                if element.tag in _BOUNDS:
+                    self.bounds.pop()
+            element.content = element.content or any(c.content for c in element.children)
+            parts = [str(c.key) for c in element.children if c.key]
+            if parts:
+                element.key = xxhash.xxh64_intdigest(f"{element.tag} {' '.join(parts)}") & _MASK
 
 
 def parse(page: str) -> Element:
-    """The tree of a page, however broken."""
-    root = Element("")
-    stack, at, n = [root], 0, len(page)
+    """The tree of a page, however broken, in a time that grows with its length alone."""
+    opened, at, n, broken = _Open(), 0, len(page), 0
+    stack = opened.stack
+    root = stack[0]
 
     def add_text(raw: str) -> None:
         if raw:
@@ -99,48 +129,57 @@ def parse(page: str) -> Element:
                 leaf.key = xxhash.xxh64_intdigest(words) & _MASK
             stack[-1].children.append(leaf)
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
+    while m := (_TAG if broken < OPEN_QUOTES else _PLAIN_TAG).search(page, at):
         add_text(page[at : m.start()])
         at = m.end()
-        tag = m[2] or m[6]
-        if not tag or not (m[4] or m[8]):  # a comment, a declaration, or a tag that the end of the page cuts
+        found = m.groupdict()
+        broken += found["plain"] is not None
+        tag = found["plain"] or found.get("tag")
+        if not tag or not (found["plain_end"] or found.get("end")):  # a comment, a declaration, or a tag that the end of the page cuts
             continue
         tag = tag.lower()
-        if m[1] or m[5]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    _close(stack, depth)
-                    break
+        if found["plain_close"] or found.get("close"):
+            if depth := opened.last(tag):
+                opened.close(depth)
             continue
         if tag in BLOCKS or tag in _CLOSES:
-            closing = _CLOSES.get(tag, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = stack[depth].tag
-                if open_tag in closing or (open_tag == "p" and tag in BLOCKS):
-                    _close(stack, depth)
-                    break
-                if open_tag in _BOUNDS:
-                    break
-        attributes = m[3] or m[7] or ""
+            depth = max(map(opened.last, _CLOSES.get(tag, ())), default=0)
+            if tag in BLOCKS:
+                depth = max(depth, opened.last("p"))
+            if depth and depth >= opened.bounds[-1]:
+                opened.close(depth)
+        attributes = found["plain_attributes"] or found.get("attributes") or ""
         element = Element(tag, attributes)
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             stop, after = (end.start(), end.end()) if end else (n, n)
             if tag not in DROPPED:
-                stack.append(element)
+                opened.push(element)
                 add_text(page[at:stop])
-                _close(stack, len(stack) - 1)
+                opened.close(len(stack) - 1)
             at = after
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
-            stack.append(element)
+            opened.push(element)
     add_text(page[at:] if at < n else "")
-    _close(stack, 0)
+    opened.close(0)
     return root
 
 
+def article_key(root: Element) -> int:
+    """A hash of the page's article and main elements, or of the whole page where it has none with text: copies of a page differ in nothing else that counts."""
+    if not root.content:
+        return root.key
+    keys, stack = [], [root]
+    while stack:
+        element = stack.pop()
+        if element.tag in CONTENT:
+            keys.append(element.key)
+        elif element.content:
+            stack.extend(element.children)
+    return xxhash.xxh64_intdigest(" ".join(map(str, keys)), 4) & _MASK if any(keys) else root.key
+
+
 def is_boilerplate(element: Element, in_content: bool) -> bool:
     """Whether an element is no article by its kind, role, class or id. A header inside of an article is kept: it holds the title."""
     tag = element.tag
@@ -252,15 +291,16 @@ _SUBTREES = "page_hash long, host_key long, key long, content int, body long"
 
 @tidy
 def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each subtree of each page with a hash of the whole page; a row with content -1 counts the page itself."""
+    """Each subtree of each page with a hash of its article; a row with content -1 counts the page itself."""
     for batch in batches:
         rows: list[tuple[int, int, int, int, int]] = []
         for page_hash, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_hash", "host", "html")), strict=True):
             root = parse(page or "")
             host_key = xxhash.xxh64_intdigest(host, 1) & _MASK
-            rows.append((page_hash, host_key, host_key, -1, root.key))
+            body = article_key(root)
+            rows.append((page_hash, host_key, host_key, -1, body))
             for content, keys in enumerate(subtree_keys(root)):
-                rows += [(page_hash, host_key, _scoped(host, k, bool(content)), content, root.key) for k in keys]
+                rows += [(page_hash, host_key, _scoped(host, k, bool(content)), content, body) for k in keys]
         columns = np.array(rows, dtype=np.int64).reshape(-1, 5).T
         yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.int32() if i == 3 else pa.int64()) for i in range(5)], names=["page_hash", "host_key", "key", "content", "body"])
 
@@ -301,7 +341,7 @@ def _templates(subtrees: DataFrame) -> DataFrame:
     counted = subtrees.select("host_key", "key", "content", "body").distinct().groupBy("host_key", "key", "content").agg(F.count("*").alias("n"))
     totals = counted.where("content = -1").select("host_key", F.col("n").alias("pages"))
     common = counted.where((F.col("content") >= 0) & (F.col("n") >= MIN_PAGES)).join(totals, "host_key")
-    outside = (F.col("content") == 0) & (F.col("n") >= MIN_SHARE * F.col("pages"))
+    outside = (F.col("content") == 0) & (F.col("n") >= MIN_PAGES + F.log2("pages"))
     inside = (F.col("content") == 1) & (F.col("pages") >= MIN_ARTICLE_PAGES) & (F.col("n") >= MIN_ARTICLE_SHARE * F.col("pages"))
     return common.where(outside | inside).select("key")
 
