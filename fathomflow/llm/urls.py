@@ -3,33 +3,28 @@
 Host labels are split into words by a unigram Viterbi search. The lexicon is counted over the tokens of all
 URLs (with the seed words); the substrings of each distinct label are joined with it, so no lexicon is broadcast.
 
-No URL comes with a label, so the multinomial naive Bayes starts from labelled features: a few seed words, each with
-fixed odds for block. Its other weights are learned from all URLs without the seed words: what stands beside them, in
-hosts or paths, speaks for block, and what stands in other URLs for allow. In a second round the first model's verdicts
-are the labels. So a host without any seed word is blocked if its other words are those of blocked ones, and one
-with a seed word is allowed if enough of its words are those of allowed ones. Tokens are hashed into FEATURES weights,
-which bounds the model that is broadcast; with many more tokens than that, some share a weight.
+No URL comes with a label, so the multinomial naive Bayes starts from labelled features: a few seed words. Hosts with one are the first
+labels; then a seed word has fixed odds for block that a host's prior alone outweighs, so its other words decide. The other weights are
+learned from all URLs without the seed words: what stands beside them, in hosts or paths, speaks for block, and what stands in other
+URLs for allow. In a second round the first model's verdicts are the labels. So a host without any seed word is blocked if its other words
+are those of blocked ones, and one with a seed word is allowed if its words are those of allowed ones. Token counts and weights are exact tables, joined
+to the tokens of each different (host, path shape), however many there are.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; where no
-URL holds a seed word, every URL without a rule is allowed; null ids, repeated rows and other columns do not matter; an
+URL holds a seed word, or each does, every URL without a rule is allowed; null ids, repeated rows and other columns do not matter; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, written
-from .workers import tidy
+from .storage import bounded_batches, broadcast_if_small, written
 
 
 @dataclass(frozen=True)
@@ -56,11 +51,11 @@ SEED_WORDS = tuple(
     "crack hack keygen malware phishing spyware torrent torrents virus warez ads adserver banner banners clicks popup tracker loan loans payday replica scam spam".split()
 )
 #: Log odds for block of a seed word, and how often the lexicon counts it at least.
-SEED_LOG_ODDS = math.log(1000)
+SEED_LOG_ODDS = math.log(10)
 LEXICON_COUNT = 20
 
-#: Token hash features of naive Bayes: this bounds the model that is broadcast.
-FEATURES = 1 << 18
+#: Labels that one task splits together.
+LABELS = 2000
 SMOOTHING = 0.1
 #: Rounds of training: the first has the seed words' labels, the next those of the model before.
 ROUNDS = 2
@@ -127,97 +122,74 @@ def segment(label: str, log_probability: dict[str, float], unknown: float) -> li
     return words[::-1]
 
 
-def _segment_group(total: int):
+def _segment_batch(total: int):
     log_total = math.log(max(total, 1))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        label = key[0]
-        known = {w: math.log(n) - log_total for w, n in zip(rows["word"], rows["n"], strict=True) if n > 0}
-        return pd.DataFrame({"label": [label], "words": [segment(label, known, math.log(10) - log_total)]})
+    def run(rows: pa.Table) -> pa.Table:
+        known: dict[str, dict[str, float]] = {}
+        for label, word, n in zip(*(rows.column(c).to_pylist() for c in ("label", "word", "n")), strict=True):
+            found = known.setdefault(label, {})
+            if n > 0:
+                found[word] = math.log(n) - log_total
+        words = [segment(label, found, math.log(10) - log_total) for label, found in known.items()]
+        return pa.table({"label": pa.array(list(known), pa.string()), "words": pa.array(words, pa.list_(pa.string()))})
 
     return run
 
 
 def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(label, words) of each distinct label: its substrings meet the lexicon in a join."""
+    """(label, words) of each distinct label: its substrings meet the lexicon in a join, and labels are split some LABELS at a time."""
     total = words.agg(F.sum("n")).first()[0] or 0
+    batches = max(1, -(-labels.count() // LABELS))
     size = F.length("label")
     pieces = labels.withColumn("start", F.explode(F.sequence(F.lit(1), size))).withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), size - F.col("start") + 1)))).select("label", F.expr("substring(label, start, length)").alias("word")).distinct()
     known = pieces.join(words, "word", "left").select("label", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("n > 0 or word = label")
-    return known.groupBy("label").applyInPandas(_segment_group(total), "label string, words array<string>")
-
-
-def _features(tokens: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(t.encode()) % FEATURES for t in tokens], dtype=np.int64)
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list[str], int]]:
-    """(tokens, seed words) of each URL."""
-    return zip(batch.column("tokens").to_pylist(), batch.column("seeds").to_pylist(), strict=True)
+    dealt = known.withColumn("batch", F.pmod(F.xxhash64("label"), F.lit(batches)))
+    return dealt.groupBy("batch").applyInArrow(_segment_batch(total), "label string, words array<string>")
 
 
 @dataclass
 class NaiveBayes:
-    """Log odds of block against allow: a prior, one number a feature, and one for each seed word."""
+    """Log odds of block against allow: a prior, a table (token, weight), and a number for each seed word. No weights: it says nothing."""
 
     prior: float
-    weights: np.ndarray
-
-    def score(self, tokens: list[str], seeds: int) -> float:
-        return self.prior + float(self.weights[_features(tokens)].sum()) + seeds * SEED_LOG_ODDS
-
-
-def _count(model: NaiveBayes | None):
-    @tidy
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for tokens, seeds in _rows(batch):
-                bad = int(seeds > 0 if model is None else model.score(tokens, seeds) > 0)
-                np.add.at(counts[bad], _features(tokens), 1)
-                rows[bad] += 1
-        for c in (0, 1):
-            at = np.flatnonzero(counts[c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, c)), pa.array(np.append(at, -1)), pa.array(np.append(counts[c][at], rows[c]))], names=["class", "feature", "n"])
-
-    return run
-
-
-def naive_bayes(counts: np.ndarray, seen: np.ndarray) -> NaiveBayes:
-    """The model of token counts (allow, block; a column a feature) and example counts. Without examples of both, it says nothing."""
-    if not seen.all():
-        return NaiveBayes(-math.inf, np.zeros(FEATURES))
-    found = counts.sum(axis=0) > 0
-    smooth = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * (found.sum() + 1)))
-    # Features that no example has say nothing for either class.
-    return NaiveBayes(float(np.log(seen[1] / seen[0])), np.where(found, smooth[1] - smooth[0], 0.0))
-
-
-def train(examples: DataFrame, rounds: int = ROUNDS) -> NaiveBayes:
-    """Multinomial naive Bayes over all rows (tokens without seed words, seeds); at most 2 * FEATURES counts come to the driver."""
-    model = None
-    for _ in range(rounds):
-        rows = examples.mapInArrow(_count(model), "class long, feature long, n long").groupBy("class", "feature").agg(F.sum("n").alias("n")).toPandas()
-        counts, seen = np.zeros((2, FEATURES)), np.zeros(2)
-        whole = rows["feature"] < 0
-        seen[rows["class"][whole]] = rows["n"][whole]
-        counts[rows["class"][~whole], rows["feature"][~whole]] = rows["n"][~whole]
-        model = naive_bayes(counts, seen)
+    weights: DataFrame | None
+    seed_log_odds: float
+
+    def scored(self, examples: DataFrame) -> DataFrame:
+        """Adds ``log_odds`` to rows (host, shape, tokens, seeds), rounded so that the order of sums does not show; tokens that no training URL has say nothing."""
+        if self.weights is None:
+            return examples.withColumn("log_odds", F.lit(-math.inf))
+        parts = examples.select("host", "shape", F.explode("tokens").alias("token")).join(broadcast_if_small(self.weights), "token")
+        sums = parts.groupBy("host", "shape").agg(F.sum("weight").alias("weight"))
+        whole = self.prior + F.coalesce("weight", F.lit(0.0)) + F.col("seeds") * self.seed_log_odds
+        some = (F.size("tokens") > 0) | (F.col("seeds") > 0)
+        return examples.join(sums, ["host", "shape"], "left").withColumn("log_odds", F.when(some, F.round(whole, 9)).otherwise(-math.inf)).drop("weight")
+
+
+def _fitted(labelled: DataFrame, seed_log_odds: float) -> NaiveBayes:
+    """The model of rows (tokens, n, bad)."""
+    seen = labelled.agg(F.sum(F.when(F.col("bad"), F.col("n"))), F.sum(F.when(~F.col("bad"), F.col("n")))).first()
+    if not (seen[0] and seen[1]):
+        return NaiveBayes(-math.inf, None, seed_log_odds)
+    each = labelled.select("n", "bad", F.explode("tokens").alias("token"))
+    counts = written(each.groupBy("token").agg(*(F.sum(F.when(F.col("bad") == bad, F.col("n")).otherwise(0)).alias(c) for c, bad in (("block", True), ("allow", False)))), "token-counts")
+    block, allow, vocabulary = (x or 0 for x in counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first())
+    share = lambda c, total: F.log((F.col(c) + SMOOTHING) / (total + SMOOTHING * (vocabulary + 1)))
+    weights = written(counts.select("token", (share("block", block) - share("allow", allow)).alias("weight")), "token-weights")
+    return NaiveBayes(math.log(seen[0] / seen[1]), weights, seed_log_odds)
+
+
+def train(examples: DataFrame, rounds: int = ROUNDS, seed_log_odds: float = SEED_LOG_ODDS) -> NaiveBayes:
+    """Multinomial naive Bayes over rows (host, shape, tokens without seed words, seeds, n), each standing for n URLs."""
+    model = _fitted(examples.withColumn("bad", F.col("seeds") > 0), seed_log_odds)
+    for _ in range(rounds - 1):
+        if model.weights is not None:
+            model = _fitted(written(model.scored(examples).withColumn("bad", F.col("log_odds") > 0), "url-labels"), seed_log_odds)
     return model
 
 
-def _score(model: NaiveBayes):
-    @tidy
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.score(t, s) if t or s else -math.inf for t, s in _rows(batch)]
-            kept = [batch.column(c) for c in ("page_id", "host", "path", "rule", "rule_verdict")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "rule_verdict", "log_odds"])
-
-    return run
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seed_log_odds: float = SEED_LOG_ODDS) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) of each row of (page_id, url)."""
     bounded_batches(pages.sparkSession)
     host, path = parse_url(F.col("url"))
@@ -232,14 +204,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     by_host = labels.join(split, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
     segmented = written(hosts.join(by_host, "host", "left").select("host", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words")), "url-hosts")
 
+    # A URL's path counts by its tokens alone, so that URLs of one host and shape are one example.
+    shaped = urls.withColumn("shape", F.concat_ws(" ", _tokens(F.col("path"))))
     seeds = F.array(*map(F.lit, SEED_WORDS))
-    joined = urls.join(segmented, "host").withColumns(
-        {
-            "tokens": F.concat(F.filter("host_words", lambda w: ~F.array_contains(seeds, w)), F.transform(_tokens(F.col("path")), lambda t: F.concat(F.lit("/"), t))),
-            "seeds": F.size(F.filter("host_words", lambda w: F.array_contains(seeds, w))),
-        }
-    )
-    model = train(joined.where("host != ''").select("tokens", "seeds"))
-    scored = joined.select("page_id", "host", "path", "rule", "rule_verdict", "tokens", "seeds").mapInArrow(_score(model), "page_id long, host string, path string, rule string, rule_verdict string, log_odds double")
+    kinds = shaped.groupBy("host", "shape").agg(F.count("*").alias("n")).join(segmented, "host")
+    path_tokens = F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("shape", " "), lambda t: F.concat(F.lit("/"), t)))
+    tokens = F.concat(F.filter("host_words", lambda w: ~F.array_contains(seeds, w)), path_tokens)
+    examples = written(kinds.select("host", "shape", "n", tokens.alias("tokens"), F.size(F.filter("host_words", lambda w: F.array_contains(seeds, w))).alias("seeds")), "url-examples")
+    model = train(examples.where("host != ''"), seed_log_odds=seed_log_odds)
+    scores = written(model.scored(examples).select("host", "shape", "log_odds"), "url-scores")
     own = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "log_odds")
+    return shaped.join(broadcast_if_small(scores), ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "log_odds")

@@ -521,6 +521,16 @@ def test_url_rules_and_verdicts(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_seed_words_alone_block_nothing_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    blocked = {r.host for r in urls.judge(pages).where("rule is null and verdict = 'block'").select("host").distinct().collect()}
+    assert blocked
+    # A seed word's odds over the prior stay below even: it takes the learned weights of the other words.
+    hosts = urls.judge(pages).where("host != ''").groupBy("host").count().collect()
+    share = sum(r["count"] for r in hosts if r.host in blocked) / sum(r["count"] for r in hosts)
+    assert urls.SEED_LOG_ODDS + math.log(share / (1 - share)) < 0
+
+
 def test_segmentation():
     p = {"casino": -3.0, "win": -4.0, "online": -4.0}
     assert urls.segment("casinowinonline", p, -9.0) == ["casino", "win", "online"]
