@@ -48,17 +48,6 @@ def update(table: DataFrame, changes: DataFrame, key: str, skip_empty: bool = Fa
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 
-def token_overlaps(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(left_id, right_id, overlap) of rows (id, text) whose shared share of the left's tokens exceeds the threshold.
-
-    Tokens are words of three letters or more in lower case. Only rows that share a token ever meet."""
-    cut = lambda t, name: t.select(F.col("id").alias(name), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w{3,}"), F.lit(0)))).alias("token"))
-    a, b = cut(left, "left_id"), cut(right, "right_id")
-    sizes = a.groupBy("left_id").agg(F.count("*").alias("n"))
-    shared = a.join(b, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
-    return shared.join(sizes, "left_id").select("left_id", "right_id", (F.col("common") / F.col("n")).alias("overlap")).where(F.col("overlap") > threshold)
-
-
 def counts_by(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, n): the rows by each column alone, and in all, in one pass of grouping sets."""
     keyed = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns], F.struct(F.lit("*").alias("field"), F.lit(None).cast("string").alias("value")))).alias("x"))

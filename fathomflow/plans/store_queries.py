@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..operators import catalog, records, retrieval, rules
+from ..operators import catalog, records, retrieval, rules, similarity
 from ..sources.index_store import IndexStore
 from ..sources.shared import new_path, written
 from .registry import query, rounded, table
@@ -121,7 +121,7 @@ query("J07_full_outer", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_char
 query("J08_lookup_join", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "supplier").join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name"))
 query("J09_left_by_name", "SELECT p_partkey, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")(lambda s, d: table(s, d, "part").join(table(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "n"))
 query("J10_token_overlap", r"WITH t AS (SELECT DISTINCT n AS id, unnest(regexp_extract_all(lower(n), '\w{3,}')) AS token FROM (SELECT DISTINCT p_name || ' ' || p_type AS n FROM part)), s AS (SELECT id, count(*) AS n FROM t GROUP BY 1) SELECT a.id AS left_id, b.id AS right_id, round(count(*) / max(n), 6) AS overlap FROM t a JOIN t b USING (token) JOIN s ON s.id = a.id GROUP BY 1, 2 HAVING count(*) / max(n) > 0.8")(
-    lambda s, d: rounded((lambda t: records.token_overlaps(t, t))(table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("id")).distinct().withColumn("text", F.col("id"))))
+    lambda s, d: rounded((lambda t: similarity.token_overlaps(t, t))(table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("id")).distinct().withColumn("text", F.col("id"))))
 )
 query("T01_sort_desc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")(lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey"))
 query("T02_top_3", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 3")(lambda s, d: table(s, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(3).select("s_suppkey"))
