@@ -72,10 +72,11 @@ def rolling_performance(returns: DataFrame, window: int = 63, periods: int = PER
 
 
 def rolling_correlation_ic(rows: DataFrame, window: int = 12, least: int = 10) -> DataFrame:
-    """(date, ic, cumulative): correlation of factor and forward over the ``window`` rows before each row, and its running sum."""
-    before = Window.orderBy("date").rowsBetween(-window, -1)
+    """(code, date, ic, cumulative): correlation of a code's factor and forward over the ``window`` rows before each row, and its running sum."""
+    by_code = Window.partitionBy("code").orderBy("date")
+    before = by_code.rowsBetween(-window, -1)
     known = F.when(F.col("factor").isNotNull() & F.col("forward").isNotNull(), F.lit(1))
     f, g = F.when(known == 1, F.col("factor")), F.when(known == 1, F.col("forward"))
     spread = F.stddev_samp(f).over(before) * F.stddev_samp(g).over(before)
     ic = F.when((F.count(known).over(before) >= least) & (spread > 0), F.covar_samp(f, g).over(before) / spread)
-    return rows.select("date", ic.alias("ic")).withColumn("cumulative", F.sum(F.coalesce("ic", F.lit(0.0))).over(_past()))
+    return rows.select("code", "date", ic.alias("ic")).withColumn("cumulative", F.sum(F.coalesce("ic", F.lit(0.0))).over(by_code.rowsBetween(Window.unboundedPreceding, 0)))

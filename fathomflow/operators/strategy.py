@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .evaluation import with_bins
 
 
@@ -68,7 +69,7 @@ def target_weights(market: DataFrame, config: StrategyConfig) -> DataFrame:
     """(date, code, weight) of each rebalance date with factors enough; a date without a top bin has one row without a code."""
     calendar = rebalance_dates(market, config.frequency)
     priced = expanding_volatility(market) if config.weighting == "risk_parity" else market
-    chosen = with_bins(priced.join(F.broadcast(calendar), "date", "left_semi").where("factor is not null"), config.groups)
+    chosen = with_bins(priced.join(calendar, "date", "left_semi").where("factor is not null"), config.groups)
     top = config.top_group if config.top_group > 0 else config.groups
     by = Window.partitionBy("date")
     long = chosen.where(F.col("bin") == top).withColumn("weight", clip_weights(_leg_weight(config.weighting, by), config.max_weight)).select("date", "code", "weight")
@@ -85,7 +86,7 @@ def trades(weights: DataFrame, market: DataFrame, config: StrategyConfig) -> Dat
     """(date, turnover, cost) of each date that sets weights: half and all of the change in weights. The last day sets none."""
     set_dates = weights.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))
     now = weights.where("code is not null").select("date", "code", F.col("weight").alias("delta"))
-    gone = weights.where("code is not null").join(F.broadcast(set_dates), "date").where("next is not null").select(F.col("next").alias("date"), "code", (-F.col("weight")).alias("delta"))
+    gone = weights.where("code is not null").join(set_dates, "date").where("next is not null").select(F.col("next").alias("date"), "code", (-F.col("weight")).alias("delta"))
     change = now.unionByName(gone).groupBy("date", "code").agg(F.abs(F.sum("delta")).alias("moved")).groupBy("date").agg(F.sum("moved").alias("moved"))
     found = set_dates.select("date").join(change, "date", "left").select("date", F.coalesce("moved", F.lit(0.0)).alias("moved"))
     return found.select("date", (F.col("moved") / 2).alias("turnover"), (F.col("moved") * config.cost_rate).alias("cost"))
@@ -95,13 +96,16 @@ def run_strategy(market: DataFrame, config: StrategyConfig = StrategyConfig()) -
     """(date, ret, turnover, cost, equity, drawdown): each day's weights times the same day's returns, less the cost of a rebalance."""
     from .metrics import equity_curve
 
+    # The panel and the weights are read many times below; each is computed once.
+    market = written(market.select("date", "code", "ret", "factor", *(c for c in ("market_cap",) if c in market.columns)), "strategy-panel")
     dates = market.select("date").distinct()
     last = dates.agg(F.max("date").alias("last"))
     weights = target_weights(market, config).join(F.broadcast(last), F.col("date") < F.col("last")).drop("last")
+    weights = written(weights, "strategy-weights")
     sets = weights.select("date").distinct()
     marked = dates.join(sets.withColumn("set_date", F.col("date")), "date", "left")
     held = marked.select("date", F.last("set_date", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("set_date"))
-    position = market.select("date", "code", "ret").join(F.broadcast(held), "date").join(weights.select(F.col("date").alias("set_date"), "code", "weight"), ["set_date", "code"])
+    position = market.select("date", "code", "ret").join(held, "date").join(weights.select(F.col("date").alias("set_date"), "code", "weight"), ["set_date", "code"])
     gross = position.groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
     first = dates.agg(F.min("date").alias("first"))
     costs = trades(weights, market, config).join(F.broadcast(first)).select("date", "turnover", F.when(F.col("date") > F.col("first"), F.col("cost")).otherwise(0.0).alias("cost"))

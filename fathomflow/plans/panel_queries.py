@@ -160,18 +160,19 @@ def _series(spark, sf_dir) -> DataFrame:
 
 
 query("W11_equity_drawdown", on_panel("SELECT date, round(equity, 6) AS equity, round(drawdown, 6) + 0.0 AS drawdown FROM curve", _SERIES, _CURVE))(lambda s, d: rounded(metrics.equity_curve(_series(s, d)).select("date", "equity", "drawdown")))
-query("A20_performance", on_panel("""SELECT n, round(power(g, 252.0 / n) - 1, 6) AS annual_return, round(sd * sqrt(252), 6) AS annual_volatility, round(m * 252 / (sd * sqrt(252)), 6) AS sharpe, round(m * 252 / (down * sqrt(252)), 6) AS sortino, round(mdd, 6) AS max_drawdown,
+_PERFORMANCE = """SELECT n, round(power(g, 252.0 / n) - 1, 6) AS annual_return, round(sd * sqrt(252), 6) AS annual_volatility, round(m * 252 / (sd * sqrt(252)), 6) AS sharpe, round(m * 252 / (down * sqrt(252)), 6) AS sortino, round(mdd, 6) AS max_drawdown,
   CASE WHEN healed > 0 THEN after_n - healed + 1 ELSE after_n END AS drawdown_days, round(wins / n, 6) AS win_rate, round(g - 1, 6) AS total_return, round((power(g, 252.0 / n) - 1) / abs(mdd), 6) AS calmar
   FROM (SELECT count(*) AS n, exp(sum(ln(1 + ret))) AS g, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(ret) FILTER (ret < 0) AS down, min(drawdown) AS mdd, count(*) FILTER (ret > 0) AS wins FROM curve),
-  (SELECT count(*) AS after_n, count(*) FILTER (drawdown >= 0) AS healed FROM curve WHERE i >= (SELECT min(i) FROM curve WHERE drawdown = (SELECT min(drawdown) FROM curve)))""", _SERIES, _CURVE))(lambda s, d: rounded(metrics.performance(_series(s, d))))
+  (SELECT count(*) AS after_n, count(*) FILTER (drawdown >= 0) AS healed FROM curve WHERE i >= (SELECT min(i) FROM curve WHERE drawdown = (SELECT min(drawdown) FROM curve)))"""
+query("A20_performance", on_panel(_PERFORMANCE, _SERIES, _CURVE))(lambda s, d: rounded(metrics.performance(_series(s, d))))
 query("A18_monthly_returns", on_panel("SELECT strftime(date, '%Y-%m') AS month, round(exp(sum(ln(1 + ret))) - 1, 6) + 0.0 AS ret FROM series GROUP BY 1", _SERIES))(lambda s, d: rounded(metrics.monthly_returns(_series(s, d))))
 query("A19_monthly_matrix", on_panel("SELECT year(date)::INTEGER AS year, " + ", ".join(f"coalesce(round(exp(sum(ln(1 + ret)) FILTER (month(date) = {m})) - 1, 6), 0) + 0.0 AS m{m}" for m in range(1, 13)) + " FROM series GROUP BY 1", _SERIES))(lambda s, d: rounded(metrics.monthly_matrix(metrics.monthly_returns(_series(s, d)))))
 query("W07_rolling_performance", on_panel("SELECT date, round(power(g, 4.0) - 1, 6) + 0.0 AS annual_return, round(sd * sqrt(252), 6) AS annual_volatility, round(m * 252 / (sd * sqrt(252) + 1e-8), 6) + 0.0 AS sharpe FROM (SELECT date, count(*) OVER w AS n, exp(sum(ln(1 + ret)) OVER w) AS g, stddev_samp(ret) OVER w AS sd, avg(ret) OVER w AS m FROM series WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n >= 63", _SERIES))(lambda s, d: rounded(metrics.rolling_performance(_series(s, d))))
 
 
-@query("W08_rolling_correlation", on_panel("SELECT date, round(ic, 5) + 0.0 AS ic, round(sum(coalesce(ic, 0)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS cumulative FROM (SELECT date, CASE WHEN count(k) OVER w >= 10 AND stddev_samp(f) OVER w * stddev_samp(g) OVER w > 0 THEN covar_samp(f, g) OVER w / (stddev_samp(f) OVER w * stddev_samp(g) OVER w) END AS ic FROM (SELECT date, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN factor END AS f, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN forward END AS g, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN 1 END AS k FROM rows WHERE code = 'S03') WINDOW w AS (ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))", _FACTOR))
+@query("W08_rolling_correlation", on_panel("SELECT code, date, round(ic, 5) + 0.0 AS ic, round(sum(coalesce(ic, 0)) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS cumulative FROM (SELECT code, date, CASE WHEN count(k) OVER w >= 10 AND stddev_samp(f) OVER w * stddev_samp(g) OVER w > 0 THEN covar_samp(f, g) OVER w / (stddev_samp(f) OVER w * stddev_samp(g) OVER w) END AS ic FROM (SELECT code, date, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN factor END AS f, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN forward END AS g, CASE WHEN factor IS NOT NULL AND forward IS NOT NULL THEN 1 END AS k FROM rows) WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))", _FACTOR))
 def w08(spark, sf_dir):
-    return rounded(metrics.rolling_correlation_ic(_rows(spark, sf_dir).where("code = 'S03'")), 5)
+    return rounded(metrics.rolling_correlation_ic(_rows(spark, sf_dir)), 5)
 
 
 # Strategies.
@@ -223,20 +224,21 @@ query(
         + ", CASE WHEN n > 10 THEN 'ok' ELSE 'insufficient_data' END AS status FROM stats, means",
         _FACTOR, _PAIRS, _IC, _BINNED.format("pairs", 10), _GROUPS, _RECORD, _TURN, _STATS, _MEANS,
     ),
-)(lambda s, d: rounded(reports.evaluation_record(_rows(s, d), "momentum")))
+)(lambda s, d: rounded(reports.evaluation_record(_rows(s, d), "momentum").drop(*reports.NESTED)))
+query("A34_record_details", on_panel('SELECT \'quantile\' AS part, \'Q\' || "group" AS key, round(avg(ret), 6) + 0.0 AS value FROM returns GROUP BY 2 UNION ALL SELECT \'ic\', date::VARCHAR, round(ic, 4) + 0.0 FROM series WHERE ic IS NOT NULL UNION ALL SELECT \'rank_ic\', date::VARCHAR, round(rank_ic, 4) + 0.0 FROM series WHERE rank_ic IS NOT NULL', _FACTOR, _PAIRS, _IC, _BINNED.format("pairs", 10), _GROUPS))(lambda s, d: rounded(reports.record_details(reports.evaluation_record(_rows(s, d), "momentum"))))
 
 
 @query(
     "A35_report_summary",
     on_panel(
-        "SELECT 2 AS n_factors, round((SELECT avg(m) FROM (SELECT avg(ic) AS m FROM series HAVING count(ic) > 10 UNION ALL SELECT avg(ic) FROM series5 HAVING count(ic) > 10)), 4) AS mean_ic, round(exp(sum(ln(1 + ret))) - 1, 6) AS total_return, count(*) AS n FROM daily_ret",
-        _FACTOR, _PAIRS, _IC, *[x.replace("rows", "rows5").replace("pairs", "pairs5").replace("series AS", "series5 AS").replace("21", "5") for x in (_FACTOR, _PAIRS, _IC)], "daily_ret AS (SELECT date, avg(ret) / 10 AS ret FROM market GROUP BY date)",
+        "SELECT 2 AS n_factors, round((SELECT avg(m) FROM (SELECT avg(ic) AS m FROM series HAVING count(ic) > 10 UNION ALL SELECT avg(ic) FROM series5 HAVING count(ic) > 10)), 4) AS mean_ic, p.* FROM (" + _PERFORMANCE + ") p",
+        _FACTOR, _PAIRS, _IC, *[x.replace("rows", "rows5").replace("pairs", "pairs5").replace("series AS", "series5 AS").replace("21", "5") for x in (_FACTOR, _PAIRS, _IC)], _SERIES.replace("series AS", "daily_ret AS"), _CURVE.replace("FROM series", "FROM daily_ret"),
     ),
 )
 def a35(spark, sf_dir):
     short = evaluation.with_forward(formula.compute(_market(spark, sf_dir), "pct_change(close, 5)", "factor"), 5).select("date", "code", "close", "factor", "forward")
     records = reports.evaluation_record(_rows(spark, sf_dir), "momentum").unionByName(reports.evaluation_record(short, "short momentum"))
-    return rounded(reports.report_summary(records, metrics.performance(_series(spark, sf_dir))).select("n_factors", "mean_ic", "total_return", "n"))
+    return rounded(reports.report_summary(records, metrics.performance(_series(spark, sf_dir))))
 
 
 _CHARTS = """SELECT 'equity' AS chart, date::VARCHAR AS x, '' AS series, round(equity, 6) AS y FROM curve UNION ALL SELECT 'drawdown', date::VARCHAR, '', round(drawdown, 6) + 0.0 FROM curve

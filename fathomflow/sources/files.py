@@ -62,19 +62,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(F.col(first).alias("﻿" + first), *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _first_rows(df: DataFrame, limit: int) -> tuple[list, str]:
+    """The first rows, and what to say where there are more."""
+    rows = df.limit(limit + 1).collect()
+    return rows[:limit], f"The first {limit} rows of {df.count()}." if len(rows) > limit else ""
+
+
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
-    """A Markdown table of the first rows of a report."""
-    rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v).replace("|", "\\|") for v in r] for r in df.limit(limit).collect()]]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
+    """A Markdown table of the first rows of a report; a line below it says so if there are more."""
+    found, more = _first_rows(df, limit)
+    rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v).replace("|", "\\|") for v in r] for r in found]]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n" + (f"\n{more}\n" if more else "")
 
 
 def html_report(title: str, tables: dict[str, DataFrame], series: dict[str, Sequence[float]] | None = None, limit: int = 500) -> str:
-    """A report page that needs no other file: tables of small aggregates, and series as embedded JSON drawn as lines."""
+    """A report page that needs no other file: tables of small aggregates (a line says where rows are left out), and series as embedded JSON drawn as lines."""
     parts = [f"<h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(limit).collect())
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        found, more = _first_rows(df, limit)
+        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in found)
+        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>" + (f"<p>{more}</p>" if more else ""))
     for name, values in (series or {}).items():
         lo, hi = min(values, default=0), max(values, default=1)
         points = " ".join(f"{600 * i / max(1, len(values) - 1):.1f},{200 - 200 * (v - lo) / ((hi - lo) or 1):.1f}" for i, v in enumerate(values))

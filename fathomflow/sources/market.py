@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ def derived_rows(spark: SparkSession, sf_dir: str, codes: int = DERIVED_CODES) -
 
 
 def densify(rows: DataFrame) -> DataFrame:
-    """One row for each date and code of the market; both sides of the spine are distinct values, so it is no larger than the panel."""
-    spine = rows.select("date").distinct().join(F.broadcast(rows.select("code").distinct()))
+    """One row for each date and code of the market. The trading days are one array, so each code brings its own rows and no number of codes is broadcast."""
+    days = rows.agg(F.array_sort(F.collect_set("date")).alias("days"))
+    spine = rows.select("code").distinct().join(F.broadcast(days)).select(F.explode("days").alias("date"), "code")
     return spine.join(rows, ["date", "code"], "left")
 
 
@@ -64,7 +66,7 @@ def universe(market: DataFrame, top: int) -> DataFrame:
 
 def broadcast_snapshot(market: DataFrame, snapshot: DataFrame, column: str) -> DataFrame:
     """One value a code (code, value) repeated on every date."""
-    return market.drop(column).join(F.broadcast(snapshot.select("code", F.col("value").alias(column))), "code", "left")
+    return market.drop(column).join(snapshot.select("code", F.col("value").alias(column)), "code", "left")
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, key: str = "code", at: str = "date") -> DataFrame:
@@ -105,8 +107,8 @@ def local_rows(spark: SparkSession, folder: str) -> DataFrame:
     for name in ("volume", "market_cap"):
         try:
             more = spark.read.parquet(f"{folder}/{name}.parquet")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = rows.withColumn(name, F.lit(None).cast("double"))
         else:

@@ -4,6 +4,7 @@ The windowed counts over event time are beyond the batch operators."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +23,13 @@ def index_new(stream: DataFrame, index_path: str, checkpoint: str, key: str = "c
         fresh = batch.dropDuplicates([key])
         try:
             known = batch.sparkSession.read.parquet(index_path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         else:
-            fresh = fresh.join(known, key, "left_anti")
+            # The batch's range of keys is pushed down, so files and row groups of other keys are not read.
+            low, high = fresh.agg(F.min(key), F.max(key)).first()
+            fresh = fresh.join(known.where(F.col(key).between(low, high)), key, "left_anti")
         fresh.write.mode("append").parquet(index_path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
