@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expansion
 from ..operators import navigable, retrieval
+from ..sources import market, paged
 from ..sources.index_store import IndexStore
 from ..sources.shared import new_path
-from .registry import query, rounded, table
+from .registry import on_panel, query, rounded, table
 from .store_queries import _BM25, _RANK, _VECTORS, _index
 
 
@@ -66,3 +67,24 @@ query(
 fused AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score FROM (SELECT query_id, chunk_id, 0.7 * round(score, 9) AS part FROM cos__r UNION ALL SELECT query_id, chunk_id, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY query_id) * 0.3 FROM bm_r) GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused QUALIFY rank <= 5""",
 )(lambda s, d: rounded(retrieval.retrieve(*_index(s, d), top=5, fusion="weighted")))
+
+
+@query("S21_paper_search", "SELECT doc_id, source, lang, n_chars FROM documents WHERE source IN ('src1', 'src2', 'src3') AND DATE '2020-01-01' + (doc_id % 1500)::INTEGER >= DATE '2022-01-01' AND contains(lower(text), 'the')")
+def s21(spark, sf_dir) -> DataFrame:
+    """Papers of some categories since a day that hold a word; the categories are fetched in pages, newest first."""
+    papers = table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.expr("timestamp'2020-01-01' + make_dt_interval(cast(doc_id % 1500 as int))").alias("at"), "doc_id", "lang", "n_chars", "text")
+    location = new_path(spark, "service")
+    paged.serve(papers, location)
+    found = paged.read_paged(spark, location if "://" in location else f"file://{location}", "collection string, at timestamp, doc_id long, lang string, n_chars long, text string")
+    recent = found.where(F.col("collection").isin("src1", "src2", "src3") & (F.col("at") >= F.lit("2022-01-01").cast("timestamp")))
+    return recent.where(F.contains(F.lower("text"), F.lit("the"))).select("doc_id", F.col("collection").alias("source"), "lang", "n_chars")
+
+
+@query("S09_fetched_prices", on_panel("SELECT code, count(*) AS n, round(max(close), 6) AS high FROM raw GROUP BY 1 HAVING count(*) > 100"))
+def s09(spark, sf_dir) -> DataFrame:
+    """Price series of codes, fetched in pages; series of a hundred rows or fewer are left out."""
+    prices = market.derived_rows(spark, sf_dir).select(F.col("code").alias("collection"), F.col("date").cast("timestamp").alias("at"), "close")
+    location = new_path(spark, "service")
+    paged.serve(prices, location)
+    found = paged.read_paged(spark, location if "://" in location else f"file://{location}", "collection string, at timestamp, close double")
+    return rounded(found.groupBy(F.col("collection").alias("code")).agg(F.count("*").alias("n"), F.max("close").alias("high")).where("n > 100"))
