@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expansion
-from ..operators import navigable, retrieval
+from ..operators import encoding, navigable, retrieval
 from ..sources import market, paged
 from ..sources.index_store import IndexStore
 from ..sources.shared import new_path
@@ -88,3 +88,12 @@ def s09(spark, sf_dir) -> DataFrame:
     paged.serve(prices, location)
     found = paged.read_paged(spark, location if "://" in location else f"file://{location}", "collection string, at timestamp, close double")
     return rounded(found.groupBy(F.col("collection").alias("code")).agg(F.count("*").alias("n"), F.max("close").alias("high")).where("n > 100"))
+
+
+@query("R07_encoded_texts", f"WITH {_BM25.split(',' + chr(10) + 'len_')[0]}, {_VECTORS.split(',' + chr(10) + 'qv')[0]} SELECT chunk_id, bucket::INTEGER AS bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)), 6) AS value FROM cv")
+def r07(spark, sf_dir) -> DataFrame:
+    """Documents encoded behind a cache that holds those in English already."""
+    docs, cache = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text"), new_path(spark, "encodings")
+    encoding.encode(docs.where("lang = 'en'"), "hash-256", encoding.HashEncoder, cache)
+    vectors = encoding.encode(docs, "hash-256", encoding.HashEncoder, cache)
+    return rounded(vectors.select("chunk_id", F.posexplode("vector").alias("bucket", "value")).where("value > 0"))
