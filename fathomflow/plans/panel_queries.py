@@ -30,7 +30,6 @@ def s05(spark, sf_dir):
     return rounded(market.broadcast_snapshot(market.densify(rows), snapshot, "market_cap").select("date", "code", "market_cap"))
 
 
-query("S06_synthetic_market")(lambda s, d: market.synthetic_rows(s))
 query("S07_load_panel", on_panel("SELECT date, code, round(close, 6) AS close, round(volume, 6) AS volume, round(market_cap, 6) AS market_cap, round(ret, 6) + 0.0 AS ret FROM market"))(lambda s, d: rounded(market.providers.load("derived", s, sf_dir=d).select("date", "code", "close", "volume", "market_cap", "ret")))
 
 
@@ -149,6 +148,23 @@ query("A09_legacy_ic", on_panel("SELECT round(avg(ic), 6) AS mean_ic, round(avg(
 query("A10_legacy_groups", on_panel('SELECT bin::INTEGER AS "group", round(avg(ret), 6) + 0.0 AS mean_ret FROM (SELECT date, bin, avg(forward) AS ret FROM binned WHERE bin IS NOT NULL GROUP BY 1, 2) GROUP BY 1', _FACTOR, _PAIRS, _BINNED.format("pairs", 15)))(lambda s, d: rounded(evaluation.legacy_groups(_rows(s, d))))
 query("W06_rolling_ic", on_panel("SELECT date, CASE WHEN count(ic) OVER w >= 5 THEN round(avg(ic) OVER w, 6) + 0.0 END AS rolling_ic FROM series WHERE ic IS NOT NULL WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)", _FACTOR, _PAIRS, _IC))(lambda s, d: rounded(evaluation.rolling_mean_ic(evaluation.ic_series(_rows(s, d)))))
 
+_DRAW = lambda *parts: "sqrt(-2 * ln({0})) * cos(2 * pi() * {1})".format(*[f"((('0x' || substr(md5(concat_ws(':', '42', '{n}', {', '.join(parts)})), 1, 13))::BIGINT + 0.5) / 4503599627370496)" for n in ("a", "b")])
+
+
+@query(
+    "S06_synthetic_market",
+    on_panel(
+        f"""SELECT DATE '2023-01-02' + ((day // 5) * 7 + day % 5)::INTEGER AS date, 'STK' || lpad(c::VARCHAR, 4, '0') AS code, round(100 * exp(sum(0.08 / 252 + 0.05 / sqrt(days) * {_DRAW("'exposure'", "c")} + volatility / sqrt(252) * {_DRAW("'step'", "c", "day")}) OVER (PARTITION BY c ORDER BY day)), 6) AS close, 1e6 * (1 + c) AS volume, 1e9 * (1 + c) AS market_cap
+FROM (SELECT days, volatility, unnest(range(codes)) AS c FROM size_) JOIN (SELECT unnest(range(days)) AS day FROM size_) ON true""",
+        "size_ AS (SELECT count(DISTINCT date) AS days, count(DISTINCT code) AS codes, round(stddev_samp(ret) / 10, 4) AS volatility FROM market)",
+    ),
+)
+def s06(spark, sf_dir):
+    """A market of as many days and codes as the derived one has, and a volatility taken from it."""
+    size = _market(spark, sf_dir).agg(F.count_distinct("date").alias("days"), F.count_distinct("code").alias("codes"), F.round(F.stddev_samp("ret") / 10, 4).alias("volatility")).first()
+    return rounded(market.synthetic_rows(spark, market.Synthetic(days=size.days, codes=size.codes, volatility=size.volatility)))
+
+
 # Metrics: the series is the mean return of the market.
 
 _SERIES = "series AS (SELECT date, avg(ret) / 10 AS ret FROM market GROUP BY date)"

@@ -53,7 +53,17 @@ query("R01_source_id", "SELECT page_id, CASE WHEN length(url) > 0 THEN substr(md
 query("R02_paragraphs", r"SELECT doc_id, len(p)::INTEGER AS n, list_sum(list_transform(p, lambda x: length(x)))::BIGINT AS chars FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])\n|\n[ \t]*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM documents)")(
     lambda s, d: table(s, d, "documents").select("doc_id", retrieval.paragraphs(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 )
-query("R03_window_chunks")(lambda s, d: retrieval.chunks(table(s, d, "documents").select(F.col("doc_id").alias("source_id"), "text")))
+_LAST = r"CASE WHEN regexp_matches(tail, '{0}') THEN length(regexp_extract(tail, '(?s)^(.*){0}', 1)) ELSE -1 END"
+_WINDOWS = rf"""WITH RECURSIVE parts AS (SELECT doc_id::VARCHAR AS source_id, (generate_subscripts(p, 1) - 1)::INTEGER AS paragraph, unnest(p) AS part FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])\n|\n[ \t]*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM documents)),
+spans AS (
+  SELECT source_id, paragraph, part, -1 AS a, 0 AS b, 0 AS next FROM parts WHERE length(part) > 800
+  UNION ALL SELECT source_id, paragraph, part, a, stop, greatest(stop - 200, a + 1) FROM (
+    SELECT source_id, paragraph, part, a, CASE WHEN found >= 0 AND e - 100 + found + 1 > a + 600 THEN e - 100 + found + 1 ELSE e END AS stop FROM (
+      SELECT *, CASE WHEN e = length(part) THEN -1 WHEN sign_ >= 0 THEN sign_ ELSE {_LAST.format('[.!?。！？]')} END AS found FROM (
+        SELECT *, {_LAST.format(r'[$\])+=-]')} AS sign_ FROM (SELECT source_id, paragraph, part, next AS a, least(next + 800, length(part)) AS e, substr(part, least(next + 800, length(part)) - 99, 100) AS tail FROM spans WHERE b < length(part))))))
+SELECT source_id, paragraph, 0 AS start, length(part)::INTEGER AS "end", part AS text FROM parts WHERE length(part) <= 800
+UNION ALL SELECT source_id, paragraph, a::INTEGER, b::INTEGER, substr(part, a + 1, b - a) FROM spans WHERE a >= 0"""
+query("R03_window_chunks", _WINDOWS)(lambda s, d: retrieval.chunks(table(s, d, "documents").select(F.col("doc_id").alias("source_id"), "text")))
 query("R04_title_prefix", "SELECT item_id, '标题: ' || item_id::VARCHAR || chr(10) || chr(10) || text AS text FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", retrieval.with_title(F.col("item_id").cast("string"), F.col("text")).alias("text")))
 query("R05_tokens", f"SELECT doc_id, len({_DUCK_TOKENS.replace('{0}', 'text')})::INTEGER AS n FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(retrieval.tokens(F.col("text"))).alias("n")))
 query("R06_hash_vectors", f"WITH {_TERMS}, {_VECTORS} SELECT chunk_id, bucket::INTEGER AS bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)), 6) AS value FROM cv")(lambda s, d: rounded(retrieval.hash_vectors(_terms(s, d)[0], "chunk_id")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import strategy, summaries
+from ..operators import align, strategy, summaries
+from ..sources import market, results
+from ..sources.shared import new_path
 from .panel_queries import _CHOSEN, _EQUAL, _FACTOR, _REBALANCE, _rows
 from .registry import on_panel, query, rounded, table
 
@@ -72,3 +74,21 @@ keys AS (SELECT conv_id, string_agg(w, ', ' ORDER BY n DESC, first) AS k FROM (S
 parts AS (SELECT conv_id, max('开场: ' || substr(f, 1, 80)) FILTER (i = 1 AND f <> '') AS a, max('最近: ' || substr(f, 1, 80)) FILTER (i = n AND n > 1 AND f <> '') AS b, max('用户: ' || substr(f, 1, 60)) FILTER (role = 'user' AND i > 1 AND i < n AND u = 1 AND f <> '') AS c, max('用户: ' || substr(f, 1, 60)) FILTER (role = 'user' AND i > 1 AND i < n AND u = 2 AND f <> '') AS d FROM said GROUP BY 1)
 SELECT conv_id, NULL::BIGINT AS turn, 'summary' AS role, coalesce(nullif(concat_ws(' | ', a, b, c, d, '关键词: ' || k), ''), '[history compacted]') AS text FROM parts LEFT JOIN keys USING (conv_id) UNION ALL SELECT conv_id, turn, role, text FROM placed WHERE i > n - 6""",
 )(lambda s, d: summaries.compacted(table(s, d, "conversations")))
+
+query("P02_reindexed", on_panel("SELECT m.date, m.code, f.value FROM (SELECT DISTINCT date, code FROM market) m LEFT JOIN (SELECT date, code, max(volume) AS value FROM market WHERE volume > 60 GROUP BY 1, 2) f ON f.date = m.date AND f.code = m.code"))(
+    lambda s, d: (lambda m: align.reindexed(m.where("volume > 60").select("date", "code", F.col("volume").alias("value")), m))(market.panel(s, d))
+)
+query("P03_inner_aligned", on_panel("SELECT a.date, a.code, round(a.close, 6) AS price, b.volume FROM market a JOIN market b ON a.date = b.date AND a.code = b.code WHERE a.close IS NOT NULL AND b.volume > 60"))(
+    lambda s, d: (lambda m: rounded(align.inner((m.where("close is not null").withColumn("value", F.col("close")), "price"), (m.where("volume > 60").withColumn("value", F.col("volume")), "volume"))))(market.panel(s, d))
+)
+query("J01_known_pairs", on_panel("SELECT date, code, round(close, 6) AS factor, volume AS forward FROM market WHERE close IS NOT NULL AND volume > 90 QUALIFY count(*) OVER (PARTITION BY date) >= 3"))(
+    lambda s, d: (lambda m: rounded(align.known_pairs(m.withColumn("value", F.col("close")), m.where("volume > 90").withColumn("value", F.col("volume")))))(market.panel(s, d))
+)
+
+
+@query("S16_results_read_back", "SELECT strftime(o_orderdate, '%Y-%m') AS run_id, o_orderpriority AS factor_name, round(avg(o_totalprice), 4) AS ic, count(*) AS n_dates FROM orders GROUP BY 1, 2")
+def s16(spark, sf_dir) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.col("o_orderpriority").alias("factor_name")).agg(F.avg("o_totalprice").alias("ic"), F.count("*").alias("n_dates"))
+    path = new_path(spark, "results")
+    results.write_results(runs, path)
+    return rounded(results.read_results(spark, path, "factor_name string, ic double, n_dates long"), 4)

@@ -6,12 +6,12 @@ distinct dates times the distinct codes, with nulls where a code has no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Codes of the panel that is derived from line items.
@@ -90,15 +90,24 @@ class Synthetic:
     seed: int = 42
 
 
+def _normal(seed: int, *parts: Column | str) -> Column:
+    """A draw from the standard normal distribution that depends on the seed and the parts alone, by two digests (Box and Muller)."""
+    text = lambda n: F.concat_ws(":", F.lit(f"{seed}"), F.lit(n), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    even = [(F.conv(F.substring(F.md5(text(n)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) for n in ("a", "b")]
+    return F.sqrt(-2 * F.ln(even[0])) * F.cos(2 * math.pi * even[1])
+
+
 def synthetic_rows(spark: SparkSession, spec: Synthetic = Synthetic()) -> DataFrame:
-    """A geometric random walk a code on business days from 2023-01-02, with a factor exposure that returns follow."""
-    rng = np.random.default_rng(spec.seed)
-    exposure = rng.standard_normal(spec.codes)
-    steps = spec.drift / 252 + spec.ic * exposure / np.sqrt(spec.days) + spec.volatility / np.sqrt(252) * rng.standard_normal((spec.days, spec.codes))
-    close = 100 * np.exp(np.cumsum(steps, axis=0))
-    dates = np.busday_offset("2023-01-02", np.arange(spec.days), roll="forward")
-    rows = [(d.astype(object), f"STK{c:04d}", float(close[i, c]), float(1e6 * (1 + c)), float(1e9 * (1 + c))) for i, d in enumerate(dates) for c in range(spec.codes)]
-    return spark.createDataFrame(rows, "date date, code string, close double, volume double, market_cap double")
+    """A geometric random walk a code on business days from 2023-01-02, with a factor exposure that returns follow. Each row's draws depend on its code and
+    day, so rows are made where they are needed, and reruns agree."""
+    grid = spark.range(spec.days * spec.codes).select((F.col("id") % spec.codes).alias("c"), F.floor(F.col("id") / spec.codes).cast("int").alias("day"))
+    exposure, noise = _normal(spec.seed, "exposure", F.col("c")), _normal(spec.seed, "step", F.col("c"), F.col("day"))
+    step = spec.drift / 252 + spec.ic / math.sqrt(spec.days) * exposure + spec.volatility / math.sqrt(252) * noise
+    walk = F.sum("step").over(Window.partitionBy("c").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    walked = grid.withColumn("step", step).withColumn("close", 100 * F.exp(walk))
+    date = F.date_add(F.to_date(F.lit("2023-01-02")), (F.floor(F.col("day") / 5) * 7 + F.col("day") % 5).cast("int"))
+    code = F.concat(F.lit("STK"), F.lpad(F.col("c").cast("string"), 4, "0"))
+    return walked.select(date.alias("date"), code.alias("code"), "close", (1e6 * (1 + F.col("c"))).alias("volume"), (1e9 * (1 + F.col("c"))).alias("market_cap"))
 
 
 def local_rows(spark: SparkSession, folder: str) -> DataFrame:
