@@ -43,7 +43,7 @@ class Rule:
         return "/" + self.pattern.partition("/")[2]
 
 
-RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("block", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
+RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
 
 # Words of usual block list categories (adult, gambling, medicines, malware and piracy, advertising, fraud).
 SEED_WORDS = tuple(
