@@ -19,8 +19,8 @@ def words(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\w{3,}"), F.lit(0)), F.array().cast("array<string>"))))
 
 
-def token_overlaps(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(left_id, right_id, overlap) of rows (id, text) whose shared share of the left's tokens exceeds the threshold."""
+def _set_pairs(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(left_tokens, right_tokens, overlap) of different token sets above the threshold, and the rows (id, tokens) of both sides."""
     a, b = (written(t.select(F.col("id"), words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0), "token-sets") for t in (left, right))
     sets_a, sets_b = (t.select("tokens").distinct() for t in (a, b))
     lists = written(sets_b.withColumn("right_set", F.xxhash64("tokens")).select("right_set", "tokens", F.explode("tokens").alias("token")), "token-lists")
@@ -30,11 +30,22 @@ def token_overlaps(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     looked_up = parts.withColumn("place", rarest).where((F.col("place") <= F.col("n") - F.floor(F.col("n") * threshold)) & F.col("often").isNotNull())
     met = looked_up.select(F.col("tokens").alias("left_tokens"), "token").join(lists.select("token", F.col("tokens").alias("right_tokens")), "token").select("left_tokens", "right_tokens").distinct()
     overlap = F.size(F.array_intersect("left_tokens", "right_tokens")) / F.size("left_tokens")
-    pairs = met.withColumn("overlap", overlap).where(F.col("overlap") > threshold)
+    return met.withColumn("overlap", overlap).where(F.col("overlap") > threshold), a, b
+
+
+def token_overlaps(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(left_id, right_id, overlap) of rows (id, text) whose shared share of the left's tokens exceeds the threshold."""
+    pairs, a, b = _set_pairs(left, right, threshold)
     named = pairs.join(a.select(F.col("id").alias("left_id"), F.col("tokens").alias("left_tokens")), "left_tokens")
     return named.join(b.select(F.col("id").alias("right_id"), F.col("tokens").alias("right_tokens")), "right_tokens").select("left_id", "right_id", "overlap")
 
 
+def overlapping(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id) of the left rows that have such a right row. Copies are not paired: a left row meets the token sets that do overlap, not their rows."""
+    pairs, a, _ = _set_pairs(left, right, threshold)
+    return a.join(pairs.select(F.col("left_tokens").alias("tokens")).distinct(), "tokens", "left_semi").select("id")
+
+
 def first_of_similar(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows (id, place, text) that one after another, by place, would be let in if each is held against those let in before it: a row stays out if one
     of them has more than the share of its tokens. Places are distinct. Each round settles all rows that wait for no undecided one, written between rounds."""

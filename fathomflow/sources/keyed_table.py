@@ -91,7 +91,7 @@ class KeyedTable:
         fresh = written(fresh.join(table.select(self.key), self.key, "left_anti"), "fresh")
         if definition:
             named = lambda t, *more: t.select(F.col(self.key).alias("id"), F.col(definition).alias("text"), *more)
-            known = similarity.token_overlaps(named(fresh), named(table), threshold).select(F.col("left_id").alias(self.key)).distinct()
+            known = similarity.overlapping(named(fresh), named(table), threshold).select(F.col("id").alias(self.key))
             fresh = written(fresh.join(known, self.key, "left_anti"), "fresh")
             if within:
                 order = F.col(place) if place else F.col(self.key)

@@ -94,3 +94,14 @@ def test_appended_records_have_defaults(spark, tmp_path):
     rows = {r.content: r for r in spark.read.parquet(f"{tmp_path}/m").collect()}
     assert (rows["a"].role, rows["a"].topic, rows["a"].tokens, rows["a"].source, rows["a"].month) == ("", "general", 0, "hot", "2024-02")
     assert rows["b"].role == "user" and rows["c"].month == "2024-05"
+
+
+def test_copies_of_definitions_are_not_paired(spark, tmp_path):
+    """20,000 new rows and 5,000 known ones share a definition: 100 million pairs, of which none is listed."""
+    rows = spark.range(25_000).select(F.col("id").alias("name"), F.lit("small blue widget of steel").alias("definition"))
+    more = spark.createDataFrame([(30_000, "another green gadget of brass")], "name long, definition string")
+    store = KeyedTable(spark, f"{tmp_path}/t", "name").create(rows.where("name < 5000"))
+    known = similarity.overlapping(*(t.withColumnsRenamed({"name": "id", "definition": "text"}) for t in (rows.where("name >= 5000").unionByName(more), rows.where("name < 5000"))))
+    assert known.count() == 20_000 and known.where("id = 30000").count() == 0
+    assert "right_id" not in known._jdf.queryExecution().optimizedPlan().toString()
+    assert store.insert(rows.unionByName(more), "2024-01-01 00:00:00", definition="definition", within=False) == 1
