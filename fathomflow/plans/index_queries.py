@@ -27,8 +27,7 @@ def _in_two_steps(spark, sf_dir) -> IndexStore:
 @query("S22_reopened_index", f"WITH {_BM25}, {_RANK.format('bm')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm_r")
 def s22(spark, sf_dir):
     terms = retrieval.query_terms(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"))
-    scored = retrieval.bm25(_in_two_steps(spark, sf_dir).index(), terms).withColumn("score", F.round("score", 9))
-    return rounded(retrieval.top_k(scored, 20))
+    return rounded(retrieval.top_k(retrieval.bm25(_in_two_steps(spark, sf_dir).index(), terms, 20), 20))
 
 
 @query("R18_incremental_index", "SELECT doc_id AS chunk_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version FROM documents")

@@ -3,8 +3,8 @@
 A segment holds one batch of chunks under ``segments/<table>/segment=<id>``:
 
 - ``chunks``: the stored columns of each chunk,
-- ``postings``: (bucket, term, chunk_id, tf, length), in folders by bucket of the term, sorted by term, so a lookup reads its buckets and
-  skips row groups of other terms; a common term's postings are split over files,
+- ``lists``: (chunk_id, length, terms, tf), a row a chunk with its distinct terms and their counts, with the stored columns; they are written
+  where the texts stand, without a shuffle, and scored in scans against all queries,
 - ``terms``: (term, df),
 - ``vectors``: (chunk_id, v), sparse vectors of hashed terms,
 - ``graphs``: navigable graphs of the chunks' own vectors, where they have a column ``vector``.
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators import navigable, retrieval
 
-BUCKETS = 16
-TABLES = ("chunks", "postings", "terms", "vectors", "graphs")
+TABLES = ("chunks", "lists", "terms", "vectors", "graphs")
 _MANIFEST = "writer string, segments array<string>, chunks long, total_length long, mean_weight double, dim int, id_type string, vectors boolean, graphs boolean"
 
 
@@ -62,8 +61,8 @@ def _distinct(chunks: DataFrame) -> DataFrame:
 class IndexStore:
     """The index under a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, dim: int = retrieval.HASH_DIM, buckets: int = BUCKETS):
-        self.spark, self.root, self.dim, self.buckets = spark, root.rstrip("/"), dim, buckets
+    def __init__(self, spark: SparkSession, root: str, dim: int = retrieval.HASH_DIM):
+        self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
 
     def snapshot(self, version: int | None = None) -> Snapshot | None:
         """The newest committed version, or the named one; None where there is none, or of other dimensions."""
@@ -82,7 +81,7 @@ class IndexStore:
 
     def table(self, name: str, snapshot: Snapshot) -> DataFrame:
         """A table of all segments of a version."""
-        schemas = {"postings": f"term string, chunk_id {snapshot.id_type}, tf long, length long, bucket int", "terms": "term string, df long", "vectors": f"chunk_id {snapshot.id_type}, v array<struct<bucket: int, value: double>>"}
+        schemas = {"lists": f"chunk_id {snapshot.id_type}, length long, terms array<string>, tf array<long>", "terms": "term string, df long", "vectors": f"chunk_id {snapshot.id_type}, v array<struct<bucket: int, value: double>>"}
         paths = [f"{self.root}/segments/{name}/segment={s}" for s in snapshot.segments]
         if not paths:
             return self.spark.createDataFrame([], schemas.get(name, f"chunk_id {snapshot.id_type}"))
@@ -95,7 +94,7 @@ class IndexStore:
         found = self.snapshot(version)
         if found is None:
             raise ValueError(f"no version {version or ''} of an index with {self.dim} dimensions in {self.root}")
-        return retrieval.Index(self.table("postings", found), self.table("terms", found), self.table("vectors", found) if found.vectors else None, found.chunks, found.total_length, found.mean_weight, self.buckets)
+        return retrieval.Index(self.table("lists", found), self.table("terms", found), self.table("vectors", found) if found.vectors else None, found.chunks, found.total_length, found.mean_weight)
 
     def graphs(self, version: int | None = None) -> DataFrame:
         """The navigable graphs of a version, for ``navigable.search``; shards of different segments are apart."""
@@ -129,24 +128,25 @@ class IndexStore:
         read = self.spark.read
         kind = fresh.schema["chunk_id"].dataType.simpleString()
         columns = fresh.columns if stored is None else ["chunk_id", *(c for c in stored if c != "chunk_id")]
-        fresh.select(columns).write.parquet(path["chunks"])
-        added = read.schema(fresh.select(columns).schema).parquet(path["chunks"])
-        # Texts come from the segment where it keeps them, so they are judged against the index once.
-        texts = added if "text" in columns else fresh.select("chunk_id", "text")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        counted = retrieval.postings(texts, "chunk_id").withColumn("bucket", bucket)
-        counted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path["postings"])
-        postings = read.schema(f"term string, chunk_id {kind}, tf long, length long, bucket int").parquet(path["postings"])
-        postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(path["terms"])
+        # One pass over the texts; the stored columns are kept beside the term lists until the chunks are copied from there.
+        carried = [c for c in dict.fromkeys([*columns, *(["vector"] if "vector" in fresh.columns else [])])]
+        told = [f"_{i}" for i in range(len(carried))]
+        plain = fresh.select(*[F.col(c).alias(a) for c, a in zip(carried, told, strict=True)], "text")
+        retrieval.term_lists(plain, told).withColumnRenamed(told[carried.index("chunk_id")], "chunk_id").write.parquet(path["lists"])
+        whole_lists = read.parquet(path["lists"])
+        added = whole_lists.select(*[F.col("chunk_id" if c == "chunk_id" else a).alias(c) for c, a in zip(carried, told, strict=True)])
+        added.select(columns).write.parquet(path["chunks"])
+        lists = read.schema(f"chunk_id {kind}, length long, terms array<string>, tf array<long>").parquet(path["lists"])
+        lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(path["terms"])
         if vectors:
-            retrieval.vector_lists(postings, "chunk_id", self.dim).write.parquet(path["vectors"])
+            retrieval.list_vectors(lists, self.dim).write.parquet(path["vectors"])
         if "vector" in fresh.columns:
-            navigable.build((added if "vector" in columns else fresh).select("chunk_id", "vector")).write.parquet(path["graphs"])
+            navigable.build(added.select("chunk_id", "vector")).write.parquet(path["graphs"])
 
         n = added.count()
         whole = Snapshot((base.version if base else 0) + 1, (*segments, segment) if n else segments, n, 0, 0.0, self.dim, kind if n or not base else base.id_type, vectors and (not segments or base.vectors), "vector" in fresh.columns and (not segments or base.graphs))
         kept = base.chunks if base and segments else 0
-        lengths = postings.agg(F.sum("tf")).first()[0] or 0
+        lengths = lists.agg(F.sum("length")).first()[0] or 0
         chunks, length = kept + n, (base.total_length if kept else 0) + lengths
         df = self.table("terms", whole).groupBy("term").agg(F.sum("df").alias("df"))
         mean = df.agg(F.avg(retrieval.term_weight(F.lit(chunks), F.col("df")))).first()[0]

@@ -105,3 +105,20 @@ def test_a_failing_reranker_leaves_the_fused_order(spark, chunks, tmp_path):
     assert 0 < weighted.score <= 1.0
     with pytest.raises(ValueError):
         retrieval.retrieve(store.index(), terms, fusion="other")
+
+
+def test_best_scores_of_batches_are_the_best_of_all_and_nothing_is_shuffled(spark, tmp_path):
+    """Copies of a text tie; queries come in several groups; vectors of term lists are those of postings."""
+    texts = {i: f"w{i % 7} w{i % 3} common {'w1 ' * (i % 5)}" for i in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(3)
+    store = IndexStore(spark, f"{tmp_path}/index")
+    store.append(rows, stored=[])
+    asked = ["w1 w2 common", "w1 w1", "absent", "w6 w0"]
+    found = retrieval.bm25(store.index(), queries(spark, *asked), k=4, together=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for q, text in enumerate(asked):
+        want = sorted(((k, s.expected) for k, s in by_hand(texts, text).items()), key=lambda x: (-round(x[1], 9), x[0]))[:4]
+        got = retrieval.top_k(found, 4).where(f"query_id = {q}").orderBy("rank").collect()
+        assert [r.chunk_id for r in got] == [k for k, _ in want] and [r.score for r in got] == pytest.approx([s for _, s in want])
+    vectors = {r.chunk_id: {x.bucket: round(x.value, 12) for x in r.v} for r in store.index().vectors.collect()}
+    assert vectors == {r.chunk_id: {x.bucket: round(x.value, 12) for x in r.v} for r in retrieval.vector_lists(retrieval.postings(rows, "chunk_id"), "chunk_id").collect()}
