@@ -22,6 +22,8 @@ from .retrieval import HASH_DIM, TOKEN
 
 #: Texts that a model sees at once.
 BATCH = 64
+#: Tokens whose places an encoder remembers.
+KNOWN_TOKENS = 200_000
 _models: dict[str, Encoder] = {}
 
 
@@ -36,12 +38,21 @@ class HashEncoder:
 
     def __init__(self, dim: int = HASH_DIM):
         self.dim, self.token = dim, re.compile(TOKEN)
+        self._places: dict[str, int] = {}
+
+    def _place(self, token: str) -> int:
+        """The token's component; each is hashed once, as long as no more than KNOWN_TOKENS are held."""
+        place = self._places.get(token)
+        if place is None:
+            if len(self._places) >= KNOWN_TOKENS:
+                self._places.clear()
+            place = self._places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        return place
 
     def encode(self, texts: list[str]) -> np.ndarray:
         found = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            for token in self.token.findall(text):
-                found[i, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim] += 1
+            found[i] = np.bincount([self._place(t) for t in self.token.findall(text)] or np.zeros(0, np.int64), minlength=self.dim)
         norms = np.linalg.norm(found, axis=1, keepdims=True)
         return found / np.where(norms > 0, norms, 1)
 

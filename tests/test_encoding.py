@@ -57,3 +57,20 @@ def test_a_worker_loads_a_model_once():
     encoding._models.pop("one", None)
     run = encoding._encoding("one", lambda: loads.append(1) or One())
     assert sum(b.num_rows for b in run([batch, batch])) == 400 and loads == [1]
+
+
+def test_a_token_is_hashed_once(monkeypatch):
+    """Results are those of plain counts, also where the encoder's memory is emptied on the way."""
+    encoder, hashed, md5 = encoding.HashEncoder(16), [], encoding.hashlib.md5
+    monkeypatch.setattr(encoding.hashlib, "md5", lambda x: hashed.append(x) or md5(x))
+    found = encoder.encode(["a b a 因", "", "b b"])
+    assert sorted(hashed) == sorted({b"a", b"b", "因".encode()})
+    place = lambda t: int(md5(t.encode()).hexdigest()[:8], 16) % 16
+    want = np.zeros((3, 16))
+    for row, text in enumerate(("ab因a", "", "bb")):
+        for t in text:
+            want[row, place(t)] += 1
+    norms = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.array_equal(found, want / np.where(norms > 0, norms, 1))
+    monkeypatch.setattr(encoding, "KNOWN_TOKENS", 1)
+    assert np.array_equal(encoding.HashEncoder(16).encode(["a b a 因", "", "b b"]), found)
