@@ -41,7 +41,7 @@ def _index(spark, sf_dir, vectors: bool = True) -> tuple[retrieval.Index, DataFr
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
-    """Scores rounded before ranking, so that the order of sums cannot change ranks; those of the 20 best of each batch of chunks."""
+    """Scores of the 20 best of each batch of chunks."""
     return retrieval.bm25(*_index(spark, sf_dir, vectors=False), 20)
 
 
