@@ -3,7 +3,7 @@
 A segment holds one batch of chunks under ``segments/<table>/segment=<id>``:
 
 - ``chunks``: the stored columns of each chunk,
-- ``lists``: (chunk_id, length, terms, tf), a row a chunk with its distinct terms and their counts, with the stored columns; they are written
+- ``lists``: (chunk_id, length, terms, tf), a row a chunk with its distinct terms in a line and their counts packed, with the stored columns; they are written
   where the texts stand, without a shuffle, and scored in scans against all queries,
 - ``terms``: (term, df),
 - ``vectors``: (chunk_id, v), sparse vectors of hashed terms,
@@ -81,7 +81,7 @@ class IndexStore:
 
     def table(self, name: str, snapshot: Snapshot) -> DataFrame:
         """A table of all segments of a version."""
-        schemas = {"lists": f"chunk_id {snapshot.id_type}, length long, terms array<string>, tf array<long>", "terms": "term string, df long", "vectors": f"chunk_id {snapshot.id_type}, v array<struct<bucket: int, value: double>>"}
+        schemas = {"lists": f"chunk_id {snapshot.id_type}, {retrieval.LISTED}", "terms": "term string, df long", "vectors": f"chunk_id {snapshot.id_type}, v array<struct<bucket: int, value: double>>"}
         paths = [f"{self.root}/segments/{name}/segment={s}" for s in snapshot.segments]
         if not paths:
             return self.spark.createDataFrame([], schemas.get(name, f"chunk_id {snapshot.id_type}"))
@@ -136,8 +136,8 @@ class IndexStore:
         whole_lists = read.parquet(path["lists"])
         added = whole_lists.select(*[F.col("chunk_id" if c == "chunk_id" else a).alias(c) for c, a in zip(carried, told, strict=True)])
         added.select(columns).write.parquet(path["chunks"])
-        lists = read.schema(f"chunk_id {kind}, length long, terms array<string>, tf array<long>").parquet(path["lists"])
-        lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(path["terms"])
+        lists = read.schema(f"chunk_id {kind}, {retrieval.LISTED}").parquet(path["lists"])
+        retrieval.frequencies(lists).write.parquet(path["terms"])
         if vectors:
             retrieval.list_vectors(lists, self.dim).write.parquet(path["vectors"])
         if "vector" in fresh.columns:

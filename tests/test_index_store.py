@@ -124,3 +124,18 @@ def test_best_scores_of_batches_are_the_best_of_all_and_nothing_is_shuffled(spar
     assert any(r.score != round(r.score, 9) for r in found.collect())
     vectors = {r.chunk_id: {x.bucket: round(x.value, 12) for x in r.v} for r in store.index().vectors.collect()}
     assert vectors == {r.chunk_id: {x.bucket: round(x.value, 12) for x in r.v} for r in retrieval.vector_lists(retrieval.postings(rows, "chunk_id"), "chunk_id").collect()}
+
+
+def test_term_lists_hold_two_values_a_row_and_every_token(spark, tmp_path):
+    """Tokens are marked in bytes: they must be the pattern's, at borders of rows and of the character range as well."""
+    texts = ["a", "b1", None, "", "中a一鿿", "䷿ꀀ豈é1ń", "x_y-z", "龥", "中文 中文 2", "٠a", "😀9"] * 7
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    store = IndexStore(spark, f"{tmp_path}/index")
+    store.append(rows, stored=[])
+    lists = store.index().lists.drop("segment")
+    assert dict(lists.dtypes) == {"chunk_id": "bigint", "length": "bigint", "terms": "string", "tf": "binary"}
+    want = {i: Counter(re.findall(retrieval.TOKEN, t or "")) for i, t in enumerate(texts)}
+    found = {r.chunk_id: (r.length, Counter(dict(zip(r.terms.split(), memoryview(bytes(r.tf)).cast("i"), strict=True)))) for r in lists.collect()}
+    assert found == {i: (c.total(), c) for i, c in want.items()}
+    assert {r.term: r.df for r in store.table("terms", store.snapshot()).collect()} == Counter(t for c in want.values() for t in c)
+    assert {(r.chunk_id, r.term): r.tf for r in retrieval.postings(rows, "chunk_id").collect()} == {(i, t): n for i, c in want.items() for t, n in c.items()}
