@@ -154,3 +154,11 @@ def test_texts_are_not_sorted_to_leave_out_those_indexed(spark, monkeypatch):
             assert sorted(r.chunk_id for r in fresh.collect()) == list(range(1, 50, 2))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_least_similarities_count_and_many_ties_are_cut_by_id(spark):
+    asked = spark.sql("select 1L as query_id, array(named_struct('bucket', 0, 'value', 1.0D)) as v")
+    table = spark.sql("select id as chunk_id, array(named_struct('bucket', 0, 'value', if(id = 7, 1e-10D, 0.5D)), named_struct('bucket', 1, 'value', 1.0D)) as v from range(5, 9)")
+    assert [(r.chunk_id, r["rank"]) for r in retrieval.cosine_top_k(asked, table, 4).orderBy("rank").collect()] == [(5, 1), (6, 2), (8, 3), (7, 4)]
+    many = spark.range(3000).select(F.col("id").alias("chunk_id"), F.expr("array(named_struct('bucket', 0, 'value', 0.5D))").alias("v"))
+    assert [r.chunk_id for r in retrieval.cosine_top_k(asked, many, 3).orderBy("rank").collect()] == [0, 1, 2]
