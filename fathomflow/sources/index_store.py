@@ -3,10 +3,10 @@
 A segment holds one batch of chunks under ``segments/<table>/segment=<id>``:
 
 - ``chunks``: the stored columns of each chunk,
-- ``lists``: (chunk_id, length, terms, tf), a row a chunk with its distinct terms in a line and their counts packed, with the stored columns; they are written
-  where the texts stand, without a shuffle, and scored in scans against all queries,
-- ``terms``: (term, df),
-- ``vectors``: (chunk_id, v), sparse vectors of hashed terms,
+- ``lists``: (chunk_id, length, terms, tf), a row a chunk with its distinct terms in a line and their counts packed, with the stored columns and its sparse vector of
+  hashed terms (buckets, counts); they are written where the texts stand, in one pass without a shuffle, and scored in scans against all queries. A few rows
+  tell the terms of their task's chunks and in how many of these each is,
+- ``terms``: (term, df), added up from there,
 - ``graphs``: navigable graphs of the chunks' own vectors, where they have a column ``vector``.
 
 An append writes a segment with the chunks that the index lacks, then one manifest file, whose rename is the commit: readers
@@ -15,8 +15,8 @@ the other raises ``Conflict`` and may append again. What a version needs of the
 weight of terms) is in its manifest.
 
 Defined results: chunks with a null id are left out; of chunks that share an id within a batch one is taken; null texts have no terms but
-count as chunks; an empty batch makes a version without a new segment; an index of other dimensions than asked for reads as absent, its
-files staying where they are."""
+count as chunks; an empty batch makes a version without a new segment; an index of other dimensions than asked for, or of an earlier layout of lists, reads
+as absent, its files staying where they are."""
 
 from __future__ import annotations
 
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from ..operators import navigable, retrieval
 
-TABLES = ("chunks", "lists", "terms", "vectors", "graphs")
-_MANIFEST = "writer string, segments array<string>, chunks long, total_length long, mean_weight double, dim int, id_type string, vectors boolean, graphs boolean"
+TABLES = ("chunks", "lists", "terms", "graphs")
+#: Of term lists, as this version writes and reads them.
+LAYOUT = 2
+_MANIFEST = "writer string, segments array<string>, chunks long, total_length long, mean_weight double, dim int, id_type string, vectors boolean, graphs boolean, layout int"
 
 
 class Conflict(RuntimeError):
@@ -75,18 +77,21 @@ class IndexStore:
         asked = rows if version is None else rows.where(F.col("version") == version)
         # Versions are few, and so are writers of one version.
         found = asked.orderBy(F.desc("version"), F.col("_metadata.file_modification_time"), "writer").first()
-        if found is None or found.dim != self.dim:
+        if found is None or found.dim != self.dim or found.layout != LAYOUT:
             return None
         return Snapshot(found.version, tuple(found.segments), found.chunks, found.total_length, found.mean_weight, found.dim, found.id_type, found.vectors, found.graphs)
 
     def table(self, name: str, snapshot: Snapshot) -> DataFrame:
-        """A table of all segments of a version."""
-        schemas = {"lists": f"chunk_id {snapshot.id_type}, {retrieval.LISTED}", "terms": "term string, df long", "vectors": f"chunk_id {snapshot.id_type}, v array<struct<bucket: int, value: double>>"}
-        paths = [f"{self.root}/segments/{name}/segment={s}" for s in snapshot.segments]
+        """A table of all segments of a version; ``packed`` and ``vectors`` (chunk_id, v) are the lists' vectors, as stored and as arrays."""
+        if name == "vectors":
+            return retrieval.list_vectors(self.table("packed", snapshot), self.dim)
+        schemas = {"lists": f"chunk_id {snapshot.id_type}, {retrieval.LISTED}", "packed": f"chunk_id {snapshot.id_type}, {retrieval.PACKED}", "terms": "term string, df long"}
+        folder = f"{self.root}/segments/{'lists' if name == 'packed' else name}"
+        paths = [f"{folder}/segment={s}" for s in snapshot.segments]
         if not paths:
             return self.spark.createDataFrame([], schemas.get(name, f"chunk_id {snapshot.id_type}"))
         if name in schemas:
-            return self.spark.read.schema(schemas[name]).option("basePath", f"{self.root}/segments/{name}").parquet(*paths)
+            return self.spark.read.schema(schemas[name]).option("basePath", folder).parquet(*paths)
         return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
     def index(self, version: int | None = None) -> retrieval.Index:
@@ -94,7 +99,7 @@ class IndexStore:
         found = self.snapshot(version)
         if found is None:
             raise ValueError(f"no version {version or ''} of an index with {self.dim} dimensions in {self.root}")
-        return retrieval.Index(self.table("lists", found), self.table("terms", found), self.table("vectors", found) if found.vectors else None, found.chunks, found.total_length, found.mean_weight)
+        return retrieval.Index(self.table("lists", found), self.table("terms", found), self.table("vectors", found) if found.vectors else None, found.chunks, found.total_length, found.mean_weight, self.table("packed", found) if found.vectors else None)
 
     def graphs(self, version: int | None = None) -> DataFrame:
         """The navigable graphs of a version, for ``navigable.search``; shards of different segments are apart."""
@@ -132,27 +137,25 @@ class IndexStore:
         carried = [c for c in dict.fromkeys([*columns, *(["vector"] if "vector" in fresh.columns else [])])]
         told = [f"_{i}" for i in range(len(carried))]
         plain = fresh.select(*[F.col(c).alias(a) for c, a in zip(carried, told, strict=True)], "text")
-        retrieval.term_lists(plain, told).withColumnRenamed(told[carried.index("chunk_id")], "chunk_id").write.parquet(path["lists"])
+        retrieval.term_lists(plain, told, self.dim if vectors else None).withColumnRenamed(told[carried.index("chunk_id")], "chunk_id").write.parquet(path["lists"])
         whole_lists = read.parquet(path["lists"])
         added = whole_lists.select(*[F.col("chunk_id" if c == "chunk_id" else a).alias(c) for c, a in zip(carried, told, strict=True)])
         added.select(columns).write.parquet(path["chunks"])
-        lists = read.schema(f"chunk_id {kind}, {retrieval.LISTED}").parquet(path["lists"])
-        retrieval.frequencies(lists).write.parquet(path["terms"])
-        if vectors:
-            retrieval.list_vectors(lists, self.dim).write.parquet(path["vectors"])
+        retrieval.frequencies(read.schema(retrieval.TOLD).parquet(path["lists"])).write.parquet(path["terms"])
         if "vector" in fresh.columns:
             navigable.build(added.select("chunk_id", "vector")).write.parquet(path["graphs"])
 
-        n = added.count()
+        n, lengths = whole_lists.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         whole = Snapshot((base.version if base else 0) + 1, (*segments, segment) if n else segments, n, 0, 0.0, self.dim, kind if n or not base else base.id_type, vectors and (not segments or base.vectors), "vector" in fresh.columns and (not segments or base.graphs))
         kept = base.chunks if base and segments else 0
-        lengths = lists.agg(F.sum("length")).first()[0] or 0
         chunks, length = kept + n, (base.total_length if kept else 0) + lengths
-        df = self.table("terms", whole).groupBy("term").agg(F.sum("df").alias("df"))
+        df = self.table("terms", whole)
+        if len(whole.segments) > 1:
+            df = df.groupBy("term").agg(F.sum("df").alias("df"))
         mean = df.agg(F.avg(retrieval.term_weight(F.lit(chunks), F.col("df")))).first()[0]
         whole = whole._replace(chunks=chunks, total_length=length, mean_weight=mean or 0.0)
         writer = uuid.uuid4().hex
-        row = self.spark.createDataFrame([(writer, list(whole.segments), whole.chunks, whole.total_length, whole.mean_weight, whole.dim, whole.id_type, whole.vectors, whole.graphs)], _MANIFEST)
+        row = self.spark.createDataFrame([(writer, list(whole.segments), whole.chunks, whole.total_length, whole.mean_weight, whole.dim, whole.id_type, whole.vectors, whole.graphs, LAYOUT)], _MANIFEST)
         row.coalesce(1).write.mode("append").json(f"{self.root}/manifest/version={whole.version}")
         if self.snapshot(whole.version) != whole:
             raise Conflict(f"version {whole.version} of {self.root} was committed by another writer")

@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,53 @@ def test_the_least_similarities_count_and_many_ties_are_cut_by_id(spark):
     assert [(r.chunk_id, r["rank"]) for r in retrieval.cosine_top_k(asked, table, 4).orderBy("rank").collect()] == [(5, 1), (6, 2), (8, 3), (7, 4)]
     many = spark.range(3000).select(F.col("id").alias("chunk_id"), F.expr("array(named_struct('bucket', 0, 'value', 0.5D))").alias("v"))
     assert [r.chunk_id for r in retrieval.cosine_top_k(asked, many, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_one_pass_lists_terms_packs_vectors_and_tells_document_counts(monkeypatch):
+    """Counts are told whenever their terms fill the bound, and at the end; added up they are those of all texts, whatever the bound."""
+    texts = [" ".join(f"t{(i * j) % 37} 中{j}" for j in range(i % 9)) or None for i in range(60)]
+    want = Counter(t for x in texts for t in set(re.findall(retrieval.TOKEN, x or "")))
+    batches = [pa.record_batch({"chunk_id": list(range(i, i + 5)), "text": pa.array(texts[i : i + 5], pa.string())}) for i in range(0, 60, 5)]
+    batches.insert(3, batches[0].slice(0, 0))
+    for bound, rows in ((1 << 24, 1), (40, 12)):
+        monkeypatch.setattr(retrieval, "_TOLD_BYTES", bound)
+        listed = pa.Table.from_batches(list(retrieval._listed(16)(batches)))
+        assert listed["chunk_id"].to_pylist() == list(range(60))
+        told = [(w.split(), np.frombuffer(d, "<i8")) for w, d in zip(listed["words"].to_pylist(), listed["df"].to_pylist(), strict=True) if w is not None]
+        assert len(told) == rows
+        found = Counter()
+        for words, df in told:
+            found.update(dict(zip(words, df.tolist(), strict=True)))
+        assert found == want
+        assert sum(int(np.frombuffer(c, "<i4").sum()) for c in listed["counts"].to_pylist()) == sum(listed["length"].to_pylist())
+    assert set(pa.Table.from_batches(list(retrieval._listed(None)(batches)))["buckets"].to_pylist()) == {None}
+
+
+def test_a_task_passes_on_what_may_be_among_its_best_alone():
+    """Later batches pass on nothing that is less than the k best before; ties stay, since ids of later batches may be lesser."""
+    rng = np.random.default_rng(0)
+    scores = np.round(rng.random((3, 4000)), 2)
+    scores[2] = 0.0
+    ids = rng.permutation(4000)
+    scores[0, ids == 0], scores[0, ids == 3999] = 1e-10, 1.0
+    held, passed = np.zeros((3, 5)), []
+    for lo in range(0, 4000, 50):
+        q, c = retrieval._best(scores[:, lo : lo + 50], pa.array(ids[lo : lo + 50]), 5, held)
+        passed += [(int(a), -float(scores[a, lo + b]), int(ids[lo + b])) for a, b in zip(q, c, strict=True)]
+    for query in range(2):
+        want = sorted((-float(scores[query, j]), int(ids[j])) for j in range(4000))[:5]
+        assert sorted(x[1:] for x in passed if x[0] == query)[:5] == want
+    assert len(passed) < 3 * 5 * 80 / 4 and all(x[0] < 2 for x in passed)
+    few = retrieval._best(np.array([[1e-10, 0.0, 0.5]]), pa.array([1, 2, 3]), 5, np.zeros((1, 5)))
+    assert few[1].tolist() == [2, 0]
+
+
+def test_vectors_are_stored_beside_the_lists_and_other_layouts_read_as_absent(spark, chunks, tmp_path, monkeypatch):
+    store = IndexStore(spark, f"{tmp_path}/index")
+    store.append(chunks)
+    assert set(store.index().packed.columns) >= {"chunk_id", "buckets", "counts"} and not (tmp_path / "index/segments/vectors").exists()
+    asked = retrieval.vector_lists(queries(spark, "momentum", "value factor"), "query_id")
+    packed, plain = (sorted(map(tuple, retrieval.cosine_top_k(asked, v, 3).collect())) for v in (store.index().packed, store.index().vectors))
+    assert packed and packed == plain
+    monkeypatch.setattr("fathomflow.sources.index_store.LAYOUT", 3)
+    assert store.snapshot() is None
