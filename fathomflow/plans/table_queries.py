@@ -61,7 +61,7 @@ known AS (SELECT DISTINCT a.id FROM (SELECT a.id, o.set_id, count(*) AS c FROM t
 SELECT id AS name, definition, CASE WHEN p_size <= 3 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN p_size > 3 THEN 'single' END AS modality FROM rows_ WHERE p_size <= 3 OR id NOT IN (SELECT id FROM known)""",
 )
 def u01(spark, sf_dir) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("definition"), "p_size")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.concat("p_name", F.lit(" "), "p_type").alias("definition"), "p_size")
     records = KeyedTable(spark, new_path(spark, "records"), "name").create(parts.where("p_size <= 3").select("name", "definition", F.lit("approved").alias("status")))
     records.insert(parts.drop("p_size"), _AT, definition="definition", within=False)
     return records.read().select("name", "definition", "status", "modality")

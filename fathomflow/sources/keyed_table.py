@@ -3,7 +3,8 @@ the changed keys alone, by dynamic partition overwrite.
 
 A merge is joined and written aside before it replaces anything, so a failing join changes nothing; rerunning a merge gives the same table. Each
 changed record carries the run and the source it came from, and when. Defined results: changes of unknown keys are left out of updates and
-counted; of several changes of a key the last by ``order`` counts; null keys are not stored."""
+counted; of several changes of a key the last by ``order`` counts; null keys are not stored. The columns of the table do not hang on its rows: a file
+without rows names them, in a folder that no key falls into, so they are there after a merge that stores no row, and in a table without rows."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from .shared import broadcast_if_small, written
 
 BUCKETS = 16
 _BUCKET = "_bucket"
+#: The folder of the file that names the columns; keys fall into those from 0 on.
+_COLUMNS_BUCKET = -1
 
 #: What a new record has where it says nothing.
 RECORD_DEFAULTS: dict[str, object] = {"status": "pending", "modality": "single", "quality_score": 0, "notes": ""}
@@ -53,9 +56,10 @@ class KeyedTable:
         return self.spark.read.option("mergeSchema", True).parquet(self.path).drop(_BUCKET)
 
     def _replace(self, rows: DataFrame) -> None:
-        """Replaces the folders that rows fall into."""
+        """Replaces the folders that rows fall into, and the columns by those of rows, which are the table's and new ones."""
         placed = self._placed(rows).hint("rebalance", _BUCKET)
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(self.path)
+        rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/{_BUCKET}={_COLUMNS_BUCKET}")
 
     def _of(self, changes: DataFrame) -> DataFrame:
         """The records in the folders that changes fall into."""

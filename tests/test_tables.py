@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fathomflow.operators import similarity
+from fathomflow.plans import ORACLES, QUERIES
 from fathomflow.sources.keyed_table import KeyedTable, append_records
 
 AT = "2024-06-01 00:00:00"
@@ -105,3 +107,33 @@ def test_copies_of_definitions_are_not_paired(spark, tmp_path):
     assert known.count() == 20_000 and known.where("id = 30000").count() == 0
     assert "right_id" not in known._jdf.queryExecution().optimizedPlan().toString()
     assert store.insert(rows.unionByName(more), "2024-01-01 00:00:00", definition="definition", within=False) == 1
+
+
+def test_columns_do_not_hang_on_rows(spark, tmp_path):
+    """Merges that store no row leave the columns that they bring, in tables with and without rows."""
+    rows = spark.createDataFrame([(1, "small blue widget", "approved"), (2, "old red anvil", "approved")], "name long, definition string, status string")
+    store = KeyedTable(spark, f"{tmp_path}/full", "name").create(rows)
+    assert store.insert(rows.drop("status").withColumn("name", F.col("name") + 10), AT, definition="definition", within=False) == 0
+    assert store.update(rows.where("false").select("name", F.lit(2.5).alias("revenue")), "run", "formula", AT) == 0
+    found = store.read().select("name", "status", "modality", "added_at", "revenue", "run_id").orderBy("name").collect()
+    assert [tuple(r) for r in found] == [(1, "approved", None, None, None, None), (2, "approved", None, None, None, None)]
+    empty = KeyedTable(spark, f"{tmp_path}/empty", "name").create(rows.where("false"))
+    assert empty.read().count() == 0 and empty.read().columns == rows.columns
+    assert empty.update(rows.select("name", F.lit(2.5).alias("revenue")), "run", "formula", AT) == 0 and "revenue" in empty.read().columns
+    assert empty.insert(rows, AT, definition="definition") == 2
+    assert {(r.name, r.status, r.modality, r.revenue) for r in empty.read().collect()} == {(1, "approved", "single", None), (2, "approved", "single", None)}
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [[("blue ring", 1), ("ring blue", 9), ("blue ring", 50)], [("blue ring", 9), ("blue ring", 9)], [("blue ring", 1), ("hot rod", 3)], [("hot rod", 2), (None, 9), (None, 3), ("", 9), ("ab", 9), ("hot red", 9)]],
+    ids=["all known", "none approved", "none pending", "nulls"],
+)
+def test_guarded_inserts_of_parts_equal_sql(spark, tmp_path, parts):
+    rows = [(k, name, "SMALL" if name else "XL", size) for k, (name, size) in enumerate(parts)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["U01_insert_guarded"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        want = db.sql(ORACLES["U01_insert_guarded"]).fetchall()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
